@@ -89,7 +89,7 @@ def indexer_score(title: Column, seeds: Column) -> Column:
 
 
 def positions_within(
-    df: DataFrame, group: Sequence[str], level: Sequence[str], tie: Sequence[str], name: str
+    df: DataFrame, group: Sequence[str], level: Sequence[str], tie: Sequence[str | Column], name: str
 ) -> DataFrame:
     """Row number of every row in its group, ordered by level then tie.
 
@@ -137,6 +137,27 @@ def previous_row(
     )
 
 
+def running_total(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, bucket: Column, name: str
+) -> DataFrame:
+    """Add the running sum of value per key, also for hot keys (see previous_row)."""
+    keyed = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    sums = keyed.groupBy(*key, "_bucket").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sums.select(
+        *[F.col(c).alias(f"_{c}") for c in key],
+        F.col("_bucket").alias("_b"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"),
+    )
+    same = [F.col(c) == F.col(f"_{c}") for c in key] + [F.col("_bucket") == F.col("_b")]
+    inner = Window.partitionBy(*key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        keyed.join(shift, same, "inner")
+        .withColumn(name, F.col("_shift") + F.sum("_value").over(inner))
+        .drop("_bucket", "_b", "_value", "_shift", *[f"_{c}" for c in key])
+    )
+
+
 def change_points(
     df: DataFrame, key: str, at: Sequence[str], watched: Sequence[str], bucket: Column
 ) -> DataFrame:

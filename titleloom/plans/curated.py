@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from titleloom.functions import attributes as A
@@ -22,7 +22,7 @@ def curate(listings: DataFrame, link_prefix: str, arrival: list[str]) -> DataFra
 
 
 def search(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """All hits per request in catalogue order."""
+    """All hits, sorted by request and catalogue order (one range-partitioned sort)."""
     hits = id_then_title(requests, catalogue, "work_id", "raw_title")
     order = rank.catalogue_order(F.col("tier"), F.col("seeders"), F.col("raw_title"), F.col("link"))
-    return hits.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
+    return hits.orderBy("request_id", *order)
