@@ -1 +1,143 @@
-"""stub"""
+"""State over time: batch forms with oracles, streams driven to completion."""
+
+from pyspark.sql import functions as F
+
+from titleloom.functions import attributes as A
+from titleloom.queries.base import query, table
+from titleloom.queries.ranks import _upsert_sql
+from titleloom.streaming import jobs, sessions, ttl, upsert
+from titleloom.workspace import new_folder
+
+GAP_SECONDS = 6 * 3600
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def change_log(events):
+    """Purchases set, errors delete, all other events read."""
+    op = F.when(F.col("event_type") == "purchase", "set").when(F.col("event_type") == "error", "delete").otherwise("get")
+    return events.select(
+        F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        op.alias("op"), F.col("value").cast("string").alias("value"),
+    )
+
+
+_LOG = "e AS (SELECT user_id, event_id, ts, value, CASE event_type WHEN 'purchase' THEN 'set' WHEN 'error' THEN 'delete' ELSE 'get' END AS op FROM events)"
+_READS = f"""WITH {_LOG},
+s AS (SELECT r.event_id, r.user_id, r.ts, max_by(w.event_id, struct_pack(a := w.ts, b := w.event_id)) AS seen FROM e r LEFT JOIN e w ON w.user_id=r.user_id AND w.op<>'get' AND (w.ts<r.ts OR (w.ts=r.ts AND w.event_id<r.event_id)) WHERE r.op='get' GROUP BY ALL)
+SELECT s.event_id AS seq, CAST(s.user_id AS VARCHAR) AS key, CASE WHEN w.op='set' AND s.ts-w.ts <= INTERVAL 6 HOURS THEN w.value END AS value"""
+
+
+@query(
+    "x1_ttl_reads",
+    _READS + ", CASE WHEN w.op='set' AND s.ts-w.ts <= INTERVAL 6 HOURS THEN epoch_us(s.ts)-epoch_us(w.ts) END AS age_micros FROM s LEFT JOIN e w ON w.event_id=s.seen",
+)
+def x1(spark, sf):
+    found = ttl.reads(change_log(table(spark, sf, "events")), GAP_SECONDS)
+    return found.select("seq", "key", F.col("value").cast("double").alias("value"), "age_micros")
+
+
+@query(
+    "x1_ttl_live",
+    f"""WITH {_LOG}, l AS (SELECT user_id, max_by(event_id, struct_pack(a := ts, b := event_id)) AS id FROM e WHERE op<>'get' GROUP BY user_id)
+SELECT CAST(e.user_id AS VARCHAR) AS key, e.value FROM l JOIN e ON e.event_id=l.id WHERE op='set' AND (SELECT max(ts) FROM e)-e.ts <= INTERVAL 6 HOURS""",
+)
+def x1_live(spark, sf):
+    events = table(spark, sf, "events")
+    now = events.agg(F.max("ts").alias("now")).scalar()
+    return ttl.live(change_log(events), now, GAP_SECONDS).select("key", F.col("value").cast("double").alias("value"))
+
+
+_SESSIONS = """WITH f AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts-lag(ts) OVER w > INTERVAL 6 HOURS THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, CAST(sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM f),
+g AS (SELECT user_id, session, CAST(min(ts) AS VARCHAR) AS started_at, CAST(max(ts) AS VARCHAR) AS last_used, count(*) AS requests FROM n GROUP BY user_id, session)"""
+
+
+@query("x2_idle_sessions", _SESSIONS + " SELECT * FROM g")
+def x2(spark, sf):
+    out = sessions.idle_sessions(table(spark, sf, "events"), "user_id", "ts", ["event_id"], GAP_SECONDS)
+    return out.select(
+        "user_id", "session", F.col("started_at").cast("string").alias("started_at"),
+        F.col("last_used").cast("string").alias("last_used"), "requests",
+    )
+
+
+@query(
+    "x4_job_outcomes",
+    """WITH s AS (SELECT job_id, min(ts) AS started_at FROM v_job GROUP BY job_id),
+t AS (SELECT job_id, min(ts) AS ts, min_by(status, struct_pack(a := ts, b := event_id)) AS status FROM v_job WHERE status IN ('downloaded','magnet_error','virus','dead','error') GROUP BY job_id)
+SELECT s.job_id, CASE WHEN t.ts IS NULL OR t.ts-s.started_at >= INTERVAL 720 MINUTES THEN 'stalled' WHEN status='downloaded' THEN 'success' ELSE 'failure' END AS outcome,
+ CASE WHEN t.ts-s.started_at < INTERVAL 720 MINUTES THEN CAST(t.ts AS VARCHAR) END AS finished_at, CASE WHEN t.ts-s.started_at < INTERVAL 720 MINUTES THEN status END AS status
+FROM s LEFT JOIN t USING (job_id)""",
+)
+def x4(spark, sf):
+    out = jobs.outcomes(table(spark, sf, "v_job"), limit_minutes=720)
+    return out.select("job_id", "outcome", F.col("finished_at").cast("string").alias("finished_at"), "status")
+
+
+# --- streams over the same tables, run until their input is used up --------
+
+
+def event_stream(spark, sf, name="events"):
+    """The table as a stream of one file, with an instant instead of a wall-clock time."""
+    path = f"{sf}/{name}.parquet"
+    # the glob lets the stream take a single file as well as a folder
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+
+
+def drain(spark, stream, name):
+    """Run a stream to the end of its input and read what it wrote."""
+    out, state = new_folder(spark, name), new_folder(spark, f"{name}-state")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    run = stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append")
+    run.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("x1_ttl_reads_stream", _READS + " FROM s LEFT JOIN e w ON w.event_id=s.seen")
+def x1_stream(spark, sf):
+    found = drain(spark, ttl.read_stream(change_log(event_stream(spark, sf)), GAP_SECONDS), "ttl")
+    return found.select("seq", "key", F.col("value").cast("double").alias("value"))
+
+
+@query(
+    "x2_session_stream",
+    _SESSIONS + " SELECT user_id, started_at, last_used, requests FROM g WHERE CAST(last_used AS TIMESTAMP) + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+)
+def x2_stream(spark, sf):
+    closed = sessions.session_stream(event_stream(spark, sf), "user_id", "ts", "6 hours", "1 hour")
+    return drain(spark, closed, "sessions").select(
+        "user_id", F.col("started_at").cast("string").alias("started_at"), F.col("last_used").cast("string").alias("last_used"), "requests"
+    )
+
+
+@query("x3_upsert_stream", _upsert_sql("work_id, link"))
+def x3(spark, sf):
+    """Listings arrive as files; the table equals the batch upsert of all rows."""
+    landing, target, state = (new_folder(spark, n) for n in ("landing", "upserted", "upserted-state"))
+    keys, arrival = ["work_id", "link"], ["arrived_at", "row_key"]
+    rows = table(spark, sf, "v_listing").select(
+        A.base_id(F.col("composite_id")).alias("work_id"), "link", "row_key", "raw_title", "arrived_at"
+    )
+    rows.repartition(3, "row_key").write.parquet(landing)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    writer = upsert.upsert_stream(stream, target, state, keys, arrival)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    now = upsert.current(spark, target, keys, arrival)
+    return now.select(*keys, "row_key", "raw_title", F.col("first_arrival.row_key").alias("first_row"))
+
+
+@query(
+    "x4_job_outcome_stream",
+    """WITH s AS (SELECT job_id, min(ts) AS started_at FROM v_job GROUP BY job_id),
+t AS (SELECT job_id, min(ts) AS ts, min_by(status, struct_pack(a := ts, b := event_id)) AS status FROM v_job WHERE status IN ('downloaded','magnet_error','virus','dead','error') GROUP BY job_id)
+SELECT CAST(s.job_id AS VARCHAR) AS job_id, CASE WHEN t.ts IS NULL OR t.ts-s.started_at >= INTERVAL 720 MINUTES THEN 'stalled' WHEN status='downloaded' THEN 'success' ELSE 'failure' END AS outcome,
+ CASE WHEN t.ts-s.started_at < INTERVAL 720 MINUTES THEN status END AS status
+FROM s LEFT JOIN t USING (job_id)""",
+)
+def x4_stream(spark, sf):
+    status = F.expr(
+        "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'downloading' WHEN 'click' THEN 'uploading' WHEN 'purchase' THEN 'downloaded' ELSE 'dead' END"
+    )
+    rows = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id", status.alias("status"))
+    return drain(spark, jobs.outcome_stream(rows, 720), "jobs").select("job_id", "outcome", "status")

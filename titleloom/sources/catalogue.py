@@ -27,14 +27,15 @@ def curated_gate(entries: DataFrame, link_prefix: str = "magnet:?") -> DataFrame
 
 
 def read_catalogue(
-    spark: SparkSession, path: str | Sequence[str], as_of: Column, link_prefix: str = "magnet:?"
+    spark: SparkSession, path: str | Sequence[str], as_of: Column, link_prefix: str = "magnet:?", multi_line: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine) entries of JSON catalogue documents.
 
-    A document is one multi-line JSON file, so the unit of parallelism is the
-    file; documents without the array contribute nothing.
+    With multi_line a document is one file, which is then the unit of
+    parallelism; without it files hold one document per line and split freely.
+    Documents without the array contribute nothing.
     """
-    documents = spark.read.schema(schemas.CATALOGUE).option("multiLine", True).json(path)
+    documents = spark.read.schema(schemas.CATALOGUE).option("multiLine", multi_line).json(path)
     gated = curated_gate(entries_of(documents, "magnets", as_of), link_prefix)
     return quality.good(gated), quality.quarantine(gated)
 

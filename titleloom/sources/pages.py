@@ -63,6 +63,10 @@ def page_host(url: Column) -> Column:
     return F.regexp_extract(url, r"\A[a-z]+://([^/?#]+)", 1)
 
 
+def _paired(titles: Column, urls: Column) -> Column:
+    return F.transform(titles, lambda t, i: F.struct(t.alias("title"), F.get(urls, i).alias("link")))
+
+
 def extract_items(pages: DataFrame, site_rules: Sequence[dict], min_length: int = rules.MIN_TITLE_LENGTH) -> DataFrame:
     """Items of pages by site rule: page_id, tld, priority, position, title, link.
 
@@ -76,10 +80,7 @@ def extract_items(pages: DataFrame, site_rules: Sequence[dict], min_length: int
     for rule in site_rules:
         titles = F.regexp_extract_all("html", F.lit("(?s)" + rule["title_regex"]), 1)
         urls = F.regexp_extract_all("html", F.lit("(?s)" + rule["link_regex"]), 1)
-        items = F.transform(
-            titles,
-            lambda t, i, urls=urls: F.struct(t.alias("title"), F.get(urls, i).alias("link")),
-        )
+        items = _paired(titles, urls)
         branch = F.struct(F.lit(rule["priority"]).alias("priority"), items.alias("items"))
         hit = tld == rule["tld"]
         found = F.when(hit, branch) if found is None else found.when(hit, branch)
