@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from titleloom import rules
-from titleloom.functions.text import collapse_space
+from titleloom.functions.text import collapse_space, once
 
 
 def _has(c: Column, text: str) -> Column:
@@ -28,8 +28,11 @@ def _word(c: Column, body: str) -> Column:
 
 
 def number_in(c: Column, pattern: str, group: int = 1) -> Column:
-    """First match as a long; null when absent or out of range."""
-    return F.regexp_extract(c, pattern, group).try_cast("bigint")
+    """First match as a long; null when absent or out of range.
+
+    A failing try_cast costs an exception per row, so "no match" becomes null first.
+    """
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).try_cast("bigint")
 
 
 # --- tiers ----------------------------------------------------------------
@@ -156,23 +159,24 @@ def ordinal(path: Column, fix_season_episode: bool = False) -> Column:
     zero = F.lit(0).cast("bigint")
     nxm, sxe, words, ep, pair, whole = ORDINAL_PATTERNS
 
-    def item(pattern: str, season: Column, episode: Column) -> Column:
-        value = F.struct(
-            season.alias("season"), episode.alias("episode"),
-            F.regexp_extract(path, pattern, 0).alias("raw"),
-        )
-        return F.when(season.isNotNull() & episode.isNotNull(), value)
+    def item(pattern: str, read) -> Column:
+        def value(raw: Column) -> Column:
+            season, episode = read(raw)
+            row = F.struct(season.alias("season"), episode.alias("episode"), raw.alias("raw"))
+            return F.when((raw != "") & season.isNotNull() & episode.isNotNull(), row)
+
+        return once(F.regexp_extract(path, pattern, 0), value)
 
     def both(pattern: str) -> Column:
-        return item(pattern, number_in(path, pattern, 1), number_in(path, pattern, 2))
+        return item(pattern, lambda raw: (number_in(raw, pattern, 1), number_in(raw, pattern, 2)))
 
     def episode_only(pattern: str) -> Column:
-        return item(pattern, one, number_in(path, pattern, 1))
+        return item(pattern, lambda raw: (one, number_in(raw, pattern, 1)))
 
     digits = F.regexp_extract(path, r"\d+", 0)
     rest = F.struct(
         one.alias("season"),
-        F.coalesce(digits.try_cast("bigint"), zero).alias("episode"),
+        F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), zero).alias("episode"),
         F.when(digits == "", "unknown").otherwise(digits).alias("raw"),
     )
     return F.coalesce(
@@ -187,7 +191,7 @@ def ordinal(path: Column, fix_season_episode: bool = False) -> Column:
 def size_bytes(text: Column) -> Column:
     """Bytes of the first "number unit" as a double; 1.5 GiB when there is none."""
     pattern = r"(?i)(\d+\.?\d*)\s*(GB|MB|G|M)"
-    value = F.regexp_extract(text, pattern, 1).try_cast("double")
+    value = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
     unit = F.upper(F.substring(F.regexp_extract(text, pattern, 2), 1, 1))
     return F.coalesce(
         F.when(unit == "G", value * F.lit(1024.0 ** 3)).when(unit == "M", value * F.lit(1024.0 ** 2)),
@@ -272,7 +276,7 @@ def repeated_parameter(link: Column, name: str) -> Column:
 
 def seeders_number(text: Column, default: int = rules.DEFAULT_SEEDERS) -> Column:
     """Leading integer of a text; the default for blank, bad or negative text."""
-    value = F.regexp_extract(text, r"\A\s*([+-]?[0-9]+)", 1).try_cast("bigint")
+    value = number_in(text, r"\A\s*([+-]?[0-9]+)")
     return F.coalesce(F.when(value >= 0, value), F.lit(default).cast("bigint"))
 
 

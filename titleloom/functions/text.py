@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from titleloom import rules
 
-# Unicode white space; Java's \s is ASCII only.
-SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# White space beyond Java's ASCII \s.
+WIDE_SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _fold_map() -> tuple[str, str]:
@@ -32,18 +32,55 @@ def _fold_map() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _fold_map()
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value written and evaluated a single time.
+
+    Naming an expression several times in branches repeats it in the plan; here
+    it is bound to a lambda variable instead.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def alternation(words: Iterable[str]) -> str:
     """Regex alternation of literal words (safe in Java and RE2)."""
     return "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", w) for w in words)
 
 
+def is_ascii(c: Column) -> Column:
+    """One byte per character; much cheaper than walking the text with translate()."""
+    return F.length(c) == F.octet_length(c)
+
+
+def _by_first_letter(words: Iterable[str]) -> str:
+    """Alternation that fails on the first letter instead of trying every word."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        tails.setdefault(word[0], []).append(word[1:])
+    return "|".join(alternation([letter]) + f"(?:{alternation(ends)})" for letter, ends in tails.items())
+
+
 def strip_marks(c: Column) -> Column:
     """Fold accented Latin letters to ASCII and drop combining marks."""
-    return F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), r"[\u0300-\u036f]", "")
+
+    def fold(x: Column) -> Column:
+        return F.regexp_replace(F.translate(x, _FOLD_FROM, _FOLD_TO), r"[\u0300-\u036f]", "")
+
+    return once(c, lambda x: F.when(is_ascii(x), x).otherwise(fold(x)))
+
+
+def narrow_space(c: Column) -> Column:
+    """Any Unicode white space as a plain space; far cheaper than a wide regex class."""
+    spaces = " " * len(WIDE_SPACES)
+    return once(c, lambda x: F.when(is_ascii(x), x).otherwise(F.translate(x, WIDE_SPACES, spaces)))
+
+
+def single_space(c: Column) -> Column:
+    """Runs of white space as one space. Lone plain spaces do not match, so most rows stay as they are."""
+    return F.regexp_replace(narrow_space(c), r"\s{2,}|[\t\n\x0B\f\r]", " ")
 
 
 def collapse_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    return F.trim(single_space(c))
 
 
 def normalise_title(c: Column, stop_words: Sequence[str] = rules.STOP_WORDS) -> Column:
@@ -53,20 +90,20 @@ def normalise_title(c: Column, stop_words: Sequence[str] = rules.STOP_WORDS) ->
     are part of the result ("senhor dos aneis" -> "senhor  aneis").
     """
     words = F.regexp_replace(strip_marks(F.lower(c)), "[^A-Za-z0-9_]+", " ")
-    return F.trim(F.regexp_replace(words, rf"\b(?:{alternation(stop_words)})\b", ""))
+    return F.trim(F.regexp_replace(words, rf"\b(?:{_by_first_letter(stop_words)})\b", ""))
 
 
 def single_spaced(normalised: Column) -> Column:
-    return F.trim(F.regexp_replace(normalised, " +", " "))
+    return F.trim(F.regexp_replace(normalised, " {2,}", " "))
 
 
 def replace_first(c: Column, pattern: str, replacement: str = "") -> Column:
-    return F.regexp_replace(c, rf"(?s)\A(.*?)(?:{pattern})", "$1" + replacement)
+    return F.array_join(F.split(c, pattern, 2), replacement)
 
 
 def clean_listing_title(c: Column) -> Column:
     """Collapse white space, then drop bracketed tags (may leave two spaces)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, SPACE + "+", " "), r"\[[^\]]*\]", ""))
+    return F.trim(F.regexp_replace(single_space(c), r"\[[^\]]*\]", ""))
 
 
 def clean_page_title(c: Column, site_suffix: str = "IMDb") -> Column:
@@ -74,7 +111,7 @@ def clean_page_title(c: Column, site_suffix: str = "IMDb") -> Column:
     tail = alternation([site_suffix])
     c = F.regexp_replace(c, rf"- {tail}\z", "")
     c = replace_first(c, r"\([0-9]{4}\)")
-    return collapse_space(F.regexp_replace(c, rf"{SPACE}*-{SPACE}*{tail}{SPACE}*\z", ""))
+    return collapse_space(F.regexp_replace(narrow_space(c), rf"\s*-\s*{tail}\s*\z", ""))
 
 
 def clean_search_title(c: Column, words: Sequence[str] = rules.SEARCH_FORMAT_WORDS) -> Column:

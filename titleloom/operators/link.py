@@ -42,16 +42,16 @@ def _wanted(queries: DataFrame, query_id: str, title: str) -> DataFrame:
 def _offered(titles: DataFrame, title: str) -> DataFrame:
     rn = normalise_title(F.col(title))
     df = titles.select(F.col(title).alias("title"), rn.alias("rn"))
-    df = df.where(~blocked(F.col("rn")) & ~blocked(F.col("title")))
     df = df.withColumn("rc", single_spaced(F.col("rn"))).withColumn("r_words", _words(F.col("rc"), 2))
-    return df.withColumn(
-        "r_blocks",
-        F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.col("rc"))), F.col("r_words"))),
-    )
+    blocks = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.col("rc"))), F.col("r_words")))
+    # Blocked titles lose their blocks instead of being filtered: a filter would
+    # be pushed below the caller's distinct and run on every listing.
+    allowed = ~blocked(F.col("rn")) & ~blocked(F.col("title"))
+    return df.withColumn("r_blocks", F.when(allowed, blocks))
 
 
-def _match_rules() -> tuple[Column, Column]:
-    """(match_type, confidence), both null when the pair does not match."""
+def _judged(pairs: DataFrame) -> DataFrame:
+    """Apply the match rules in order: query_id, title, match_type, confidence."""
     qc, rc, words, found = F.col("qc"), F.col("rc"), F.col("q_words"), F.col("r_words")
     padded = F.concat(F.lit(" "), rc, F.lit(" "))
 
@@ -65,30 +65,31 @@ def _match_rules() -> tuple[Column, Column]:
         F.when((n_words >= 3) & holds(F.col("q_even")), F.col("q_even")),
         F.get(F.filter(F.col("q_long"), lambda w: F.array_contains(found, w)), F.lit(0)),
     )
-    coverage = F.length(phrase) / F.length("qn")
-    strong = F.length(phrase) > F.length("qn") * F.lit(0.8)
-
     shared = F.size(F.filter(words, lambda w: F.array_contains(found, w)))
     foreign = F.size(F.filter(found, lambda w: (F.length(w) > 3) & ~F.array_contains(words, w)))
-    strict = (n_words >= 3) & (shared >= n_words * F.lit(0.9)) & (foreign == 0)
-
-    match_type = (
-        F.when(qc == rc, "exact-clean")
-        .when(phrase.isNotNull() & strong, "exact")
-        .when(phrase.isNotNull(), "partial")
-        .when((n_words >= 3) & (shared == n_words), "exact-words")
-        .when(strict, "strict-keyword")
-        .when((n_words == 2) & (shared == 2), "exact-short")
+    facts = pairs.select(
+        "query_id", "title", (qc == rc).alias("same"), n_words.alias("n"), F.length("qn").alias("qn_length"),
+        F.length(phrase).alias("hit"), shared.alias("shared"), foreign.alias("foreign"),
     )
-    confidence = (
-        F.when(qc == rc, 1.0)
-        .when(phrase.isNotNull() & strong, F.greatest(F.least(coverage, F.lit(1.0)), F.lit(0.95)))
-        .when(phrase.isNotNull(), F.greatest(F.least(coverage, F.lit(1.0)), F.lit(0.8)))
-        .when((n_words >= 3) & (shared == n_words), 1.0)
-        .when(strict, F.greatest(shared / n_words, F.lit(0.9)))
-        .when((n_words == 2) & (shared == 2), 1.0)
+
+    same, n, hit, shared = F.col("same"), F.col("n"), F.col("hit"), F.col("shared")
+    coverage = F.least(hit / F.col("qn_length"), F.lit(1.0))
+    strong = hit > F.col("qn_length") * F.lit(0.8)
+    strict = (n >= 3) & (shared >= n * F.lit(0.9)) & (F.col("foreign") == 0)
+
+    def verdict(match_type: str, confidence: Column) -> Column:
+        return F.array(F.struct(F.lit(match_type).alias("match_type"), confidence.alias("confidence")))
+
+    verdicts = (
+        F.when(same, verdict("exact-clean", F.lit(1.0)))
+        .when(hit.isNotNull() & strong, verdict("exact", F.greatest(coverage, F.lit(0.95))))
+        .when(hit.isNotNull(), verdict("partial", F.greatest(coverage, F.lit(0.8))))
+        .when((n >= 3) & (shared == n), verdict("exact-words", F.lit(1.0)))
+        .when(strict, verdict("strict-keyword", F.greatest(shared / n, F.lit(0.9))))
+        .when((n == 2) & (shared == 2), verdict("exact-short", F.lit(1.0)))
     )
-    return match_type, confidence
+    # a pair without a verdict has nothing to inline, which drops it
+    return facts.select("query_id", "title", F.inline(verdicts))
 
 
 def link_titles(
@@ -111,11 +112,7 @@ def link_titles(
         F.col("block")
         == F.get(F.filter("q_blocks", lambda b: F.array_contains(F.col("r_blocks"), b)), F.lit(0))
     )
-    match_type, confidence = _match_rules()
-    return (
-        pairs.select("query_id", "title", match_type.alias("match_type"), confidence.alias("confidence"))
-        .where(F.col("match_type").isNotNull() & (F.col("confidence") >= min_confidence))
-    )
+    return _judged(pairs).where(F.col("confidence") >= min_confidence)
 
 
 # --- substring joins ------------------------------------------------------

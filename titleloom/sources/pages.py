@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import rules
-from titleloom.functions.text import SPACE, clean_page_title
+from titleloom.functions.text import clean_page_title, narrow_space
 from titleloom.operators.rank import top_k
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(narrow_space(c), r"\A\s+|\s+\z", "")
 
 
 def plain_text(html: Column) -> Column:
@@ -54,9 +54,11 @@ def localized_title(
     Pages in a language outside prefer or without a title do not take part.
     """
     place = F.array_position(F.array(*[F.lit(p) for p in prefer]), F.col(language))
-    usable = pages.where((place > 0) & F.col(title).isNotNull() & (F.col(title) != ""))
-    first = F.min_by(F.struct(language, title), F.struct(place, F.col(tie))).alias("row")
-    return usable.groupBy(key).agg(first).select(key, "row.*")
+    usable = (place > 0) & (F.col(title) != "")
+    entry = F.struct(place.alias("place"), F.col(tie).alias("tie"), F.col(language), F.col(title))
+    # rows that do not take part are null here, and min skips nulls
+    first = pages.groupBy(key).agg(F.min(F.when(usable, entry)).alias("row"))
+    return first.where(F.col("row").isNotNull()).select(key, f"row.{language}", f"row.{title}")
 
 
 def page_host(url: Column) -> Column:
