@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ def _wanted(queries: DataFrame, query_id: str, title: str) -> DataFrame:
     )
 
 
-def _offered(titles: DataFrame, title: str) -> DataFrame:
+def _offered(titles: DataFrame, title: str, keep: Sequence[str]) -> DataFrame:
     rn = normalise_title(F.col(title))
-    df = titles.select(F.col(title).alias("title"), rn.alias("rn"))
+    df = titles.select(F.col(title).alias("title"), rn.alias("rn"), *keep)
     df = df.withColumn("rc", single_spaced(F.col("rn"))).withColumn("r_words", _words(F.col("rc"), 2))
     blocks = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), F.col("rc"))), F.col("r_words")))
     # Blocked titles lose their blocks instead of being filtered: a filter would
@@ -50,7 +52,7 @@ def _offered(titles: DataFrame, title: str) -> DataFrame:
     return df.withColumn("r_blocks", F.when(allowed, blocks))
 
 
-def _judged(pairs: DataFrame) -> DataFrame:
+def _judged(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Apply the match rules in order: query_id, title, match_type, confidence."""
     qc, rc, words, found = F.col("qc"), F.col("rc"), F.col("q_words"), F.col("r_words")
     padded = F.concat(F.lit(" "), rc, F.lit(" "))
@@ -69,7 +71,7 @@ def _judged(pairs: DataFrame) -> DataFrame:
     foreign = F.size(F.filter(found, lambda w: (F.length(w) > 3) & ~F.array_contains(words, w)))
     facts = pairs.select(
         "query_id", "title", (qc == rc).alias("same"), n_words.alias("n"), F.length("qn").alias("qn_length"),
-        F.length(phrase).alias("hit"), shared.alias("shared"), foreign.alias("foreign"),
+        F.length(phrase).alias("hit"), shared.alias("shared"), foreign.alias("foreign"), *keep,
     )
 
     same, n, hit, shared = F.col("same"), F.col("n"), F.col("hit"), F.col("shared")
@@ -89,7 +91,7 @@ def _judged(pairs: DataFrame) -> DataFrame:
         .when((n == 2) & (shared == 2), verdict("exact-short", F.lit(1.0)))
     )
     # a pair without a verdict has nothing to inline, which drops it
-    return facts.select("query_id", "title", F.inline(verdicts))
+    return facts.select("query_id", "title", F.inline(verdicts), *keep)
 
 
 def link_titles(
@@ -99,20 +101,24 @@ def link_titles(
     query_title: str = "title",
     title: str = "title",
     min_confidence: float = 0.0,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(query_id, title, match_type, confidence) of all matching pairs.
+    """(query_id, title, match_type, confidence, *keep) of all matching pairs.
 
-    titles should hold each title once. The pairs come from one equi-join on
-    blocking words; a pair that shares several is kept only at its first shared
-    one, which needs no second shuffle. The blocking is lossless.
+    titles should hold each title once; keep names its columns to carry along,
+    which saves joining them back. The pairs come from one equi-join on blocking
+    words; a pair that shares several is kept only at its first shared one,
+    which needs no second shuffle. The blocking is lossless.
     """
-    wanted = _wanted(queries, query_id, query_title).withColumn("block", F.explode("q_blocks"))
-    offered = _offered(titles, title).withColumn("block", F.explode("r_blocks"))
+    # explode_outer: explode would infer a filter on the block list, which is
+    # pushed down and computes the list for every listing. The join drops nulls.
+    wanted = _wanted(queries, query_id, query_title).withColumn("block", F.explode_outer("q_blocks"))
+    offered = _offered(titles, title, keep).withColumn("block", F.explode_outer("r_blocks"))
     pairs = offered.join(wanted, "block").where(
         F.col("block")
         == F.get(F.filter("q_blocks", lambda b: F.array_contains(F.col("r_blocks"), b)), F.lit(0))
     )
-    return _judged(pairs).where(F.col("confidence") >= min_confidence)
+    return _judged(pairs, keep).where(F.col("confidence") >= min_confidence)
 
 
 # --- substring joins ------------------------------------------------------
@@ -135,7 +141,8 @@ def contains_join(
     length = F.length(F.col(needle))
     size = F.greatest(*[F.when(length >= n, n).otherwise(0) for n in sizes])
     keyed = needles.where(length > 0).withColumn("_gram", F.substr(F.col(needle), F.lit(1), size))
-    offered = texts.withColumn("_gram", F.explode(F.concat(*[_grams(F.col(text), n) for n in sizes])))
+    grams = F.concat(*[_grams(F.col(text), n) for n in sizes])
+    offered = texts.withColumn("_gram", F.explode_outer(grams))  # see link_titles
     return (
         offered.join(keyed, "_gram")
         .where(F.contains(F.col(text), F.col(needle)))

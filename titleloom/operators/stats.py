@@ -128,17 +128,17 @@ def flattened(nested: DataFrame, work_id: str) -> DataFrame:
     return nested.select(work_id, F.inline("entries"))
 
 
-def search_report(matches: DataFrame, best: DataFrame, total: DataFrame, repeated: Column) -> DataFrame:
+def search_report(
+    pairs: DataFrame, tiers: Sequence[str], best: DataFrame, total: DataFrame, repeated: Column
+) -> DataFrame:
     """One row per query: counts per tier, kept listings and their link metrics.
 
-    matches: query_id, tier, n (pre-counted). best: query_id, tier, link.
-    total: a one-row DataFrame, read as a scalar subquery.
+    pairs: query_id and the listing counts of each matched title, one column per
+    tier. best: query_id, tier, link. total: a one-row DataFrame, read as a
+    scalar subquery.
     """
-    tiers = rules.SEARCH_TIERS
-    matched = matches.groupBy("query_id").agg(
-        F.sum("n").alias("matched"),
-        *[F.sum(F.when(F.col("tier") == t, F.col("n")).otherwise(0)).alias(f"tier_{t.lower()}") for t in tiers],
-    )
+    matched = pairs.groupBy("query_id").agg(*[F.sum(t).alias(t) for t in tiers])
+    matched = matched.withColumn("matched", sum((F.col(t) for t in tiers[1:]), F.col(tiers[0])))
     kept = best.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("kept"),
         F.array_join(F.array_sort(F.collect_set("tier")), ",").alias("tiers"),

@@ -13,10 +13,14 @@ from titleloom.operators.link import link_titles
 
 
 def searchable(listings: DataFrame) -> DataFrame:
-    """Listings with clean title, tier and numeric seeders and size."""
+    """Listings with clean title, tier and numeric seeders and size.
+
+    The title is never null, so joins on it add no null filter that would
+    compute it a second time.
+    """
     return listings.select(
         "row_key", "link",
-        X.clean_listing_title(F.col("raw_title")).alias("title"),
+        F.coalesce(X.clean_listing_title(F.col("raw_title")), F.lit("")).alias("title"),
         A.tier(F.col("raw_title")).alias("tier"),
         F.coalesce("seeders", F.lit(0)).cast("bigint").alias("seeders"),
         A.size_bytes(F.col("size_text")).alias("size_bytes"),
@@ -24,41 +28,44 @@ def searchable(listings: DataFrame) -> DataFrame:
 
 
 def title_leaders(listings: DataFrame, k: int = rules.TOP_PER_TIER) -> DataFrame:
-    """The k best listings per (title, tier), whatever the query.
+    """(title, leaders): the k best listings per (title, tier), whatever the query.
 
     For one query all listings with the same title and tier share confidence,
     and their score only grows with seeders. So the best k per query and tier
     are among the best k per (title, tier): the listing table shrinks before
-    any join.
+    any join. leaders holds at most k rows per tier.
     """
     order = [F.col("seeders").desc(), F.col("size_bytes").desc(), F.col("row_key").asc()]
-    return rank.top_k(listings, ["title", "tier"], order, k, "place").drop("place")
+    best = rank.top_k(listings, ["title", "tier"], order, k, "place")
+    entry = F.struct("tier", "row_key", "link", "seeders", "size_bytes")
+    return best.groupBy("title").agg(F.collect_list(entry).alias("leaders"))
 
 
 def best_matches(queries: DataFrame, listings: DataFrame, k: int = rules.TOP_PER_TIER) -> DataFrame:
     """Best k listings per query and tier.
 
-    queries: query_id, title. listings: output of searchable.
+    queries: query_id, title. listings: output of searchable, read once.
     """
-    leaders = title_leaders(listings, k)
-    pairs = link_titles(queries, leaders.select("title").distinct())
-    return score_and_rank(pairs, leaders, k)
+    pairs = link_titles(queries, title_leaders(listings, k), keep=["leaders"])
+    return score_and_rank(pairs, k)
 
 
-def score_and_rank(pairs: DataFrame, leaders: DataFrame, k: int) -> DataFrame:
-    scored = pairs.join(leaders, "title").withColumn(
-        "relevance_score",
-        A.relevance_score(F.col("tier"), F.col("confidence"), F.col("title"), F.col("seeders")),
-    )
-    return rank.best_per_tier(scored, k=k)
+def score_and_rank(pairs: DataFrame, k: int) -> DataFrame:
+    rows = pairs.select("query_id", "title", "match_type", "confidence", F.inline("leaders"))
+    score = A.relevance_score(F.col("tier"), F.col("confidence"), F.col("title"), F.col("seeders"))
+    return rank.best_per_tier(rows.withColumn("relevance_score", score), k=k)
 
 
 def report(queries: DataFrame, listings: DataFrame, repeated: str) -> DataFrame:
-    """Search report per query; listings are counted per (title, tier) first."""
-    repeated_col = F.contains(F.col("link"), F.lit(repeated))
-    counts = listings.groupBy("title", "tier").agg(F.count(F.lit(1)).alias("n"))
-    pairs = link_titles(queries, counts.select("title").distinct())
-    matches = pairs.select("query_id", "title").join(counts, "title")
-    best = score_and_rank(pairs, title_leaders(listings), rules.TOP_PER_TIER)
-    total = listings.agg(F.count(F.lit(1)).alias("total"))
-    return stats.search_report(matches, best, total, repeated_col)
+    """Search report per query; listings are counted per title and tier first."""
+    tiers = [f"tier_{t.lower()}" for t in rules.SEARCH_TIERS]
+    counts = listings.groupBy("title").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("tier") == t).alias(c) for t, c in zip(rules.SEARCH_TIERS, tiers)],
+    )
+    titles = counts.drop("n").join(title_leaders(listings), "title")
+    pairs = link_titles(queries, titles, keep=["leaders", *tiers])
+    best = score_and_rank(pairs, rules.TOP_PER_TIER)
+    # the grand total comes from the per-title counts, not from another scan
+    total = counts.agg(F.sum("n").alias("total"))
+    return stats.search_report(pairs, tiers, best, total, F.contains(F.col("link"), F.lit(repeated)))
