@@ -91,12 +91,17 @@ def test_contains_join_equals_brute_force(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcé \n") for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", "😀abcdefghij", None]
     needles = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (1, 2, 3, 4, 7, 8, 9, 12) for _ in range(6)]
+    needles += ["a longestword b", "xa longestword bx", "longestword", " longestword "]
+    texts += ["a longestword b", "xxa longestword bxx", "alongestwordb", "longestword  longestword"]
     needles += [t[5:16] for t in texts[:40] if t and len(t) > 20] + ["", "😀", "😀abcdefgh", None]
     a = spark.createDataFrame([(n,) for n in sorted(set(n for n in needles if n is not None))] + [(None,)], "n STRING")
     b = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
     got = sorted((r["n"], r["i"]) for r in link.contains_join(a, b, "n", "t").collect())
     want = sorted((n, i) for n in set(needles) if n for i, t in enumerate(texts) if t and n in t)
     assert got == want
+    for by_key in (None, "i"):  # the ways beyond the broadcast limit
+        joined = link.contains_join(a, b, "n", "t", key=by_key, broadcast_bytes=0)
+        assert sorted((r["n"], r["i"]) for r in joined.collect()) == want
 
 
 def test_any_word_join(spark):
@@ -119,7 +124,8 @@ def test_dictionary_inline_and_joined_agree(spark):
     df = spark.createDataFrame([("a red bolt",), ("bolts and ring",), ("earring",), ("none",)], "t STRING")
     inline = {r["t"]: r["tag"] for r in link.tag_by_dictionary(df, dictionary, "t").collect()}
     joined = {r["t"]: r["tag"] for r in link.tag_by_dictionary(df, dictionary, "t", max_inline=2).collect()}
-    assert inline == joined == {"a red bolt": "d0", "bolts and ring": "d1", "earring": "d2", "none": None}
+    keyed = {r["t"]: r["tag"] for r in link.tag_by_dictionary(df, dictionary, "t", key="t", max_inline=2).collect()}
+    assert inline == joined == keyed == {"a red bolt": "d0", "bolts and ring": "d1", "earring": "d2", "none": None}
     made = link.tag_by_dictionary(df, dictionary, "t", generated_from="t").where("t = 'none'").first()["tag"]
     assert made.startswith("auto-") and len(made) == 17
 

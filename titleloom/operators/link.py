@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from titleloom.functions.text import normalise_title, single_spaced
 from titleloom.operators.quality import blocked
 
-GRAM_SIZES = (1, 2, 3, 8)
+GRAM_SIZES = (8, 3, 2, 1)
+WORD_LENGTH = 8
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 # --- title linkage --------------------------------------------------------
@@ -129,25 +131,57 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
+def _anchor(needle: Column) -> Column:
+    """struct<kind, anchor> by which a needle is looked up.
+
+    A word with spaces on both sides inside the needle stands as a word in
+    every text that contains the needle: long ones are the best anchor. Other
+    needles use their first characters, as many as the largest gram that fits.
+    """
+    parts = F.split(needle, " ")
+    inner = F.filter(parts, lambda w, i: (i > 0) & (i < F.size(parts) - 1))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    kind = F.when(longest["n"] >= WORD_LENGTH, F.lit(0))
+    for n in GRAM_SIZES:
+        kind = kind.when(F.length(needle) >= n, F.lit(n))
+    return F.struct(
+        kind.alias("kind"),
+        F.when(longest["n"] >= WORD_LENGTH, longest["w"]).otherwise(F.substr(needle, F.lit(1), kind)).alias("anchor"),
+    )
+
+
+def _anchors(text: Column, kinds: Sequence[int]) -> Column:
+    return F.array_distinct(F.concat(*[_grams(text, n) if n else F.split(text, " ") for n in kinds]))
+
+
 def contains_join(
-    needles: DataFrame, texts: DataFrame, needle: str, text: str, sizes: tuple[int, ...] = GRAM_SIZES
+    needles: DataFrame, texts: DataFrame, needle: str, text: str, key: str | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """All rows of needles x texts where text contains needle (as given, case matters).
 
-    Each needle looks up one gram of itself, the longest size that fits; texts
-    offer their distinct grams of these sizes. Equal grams, then a native
-    contains, so there is no cross join; empty needles match nothing.
+    Equal anchors first, then a native contains: no cross join, nothing lost,
+    and empty needles match nothing. One small job over needles learns which
+    kinds of anchor they use and how large they are. Up to broadcast_bytes they
+    are broadcast and texts do not move. Beyond that both sides shuffle on the
+    anchor; with key (unique in texts) only keys and anchors do, and the texts
+    join back for the candidates.
     """
-    length = F.length(F.col(needle))
-    size = F.greatest(*[F.when(length >= n, n).otherwise(0) for n in sizes])
-    keyed = needles.where(length > 0).withColumn("_gram", F.substr(F.col(needle), F.lit(1), size))
-    grams = F.concat(*[_grams(F.col(text), n) for n in sizes])
-    offered = texts.withColumn("_gram", F.explode_outer(grams))  # see link_titles
-    return (
-        offered.join(keyed, "_gram")
-        .where(F.contains(F.col(text), F.col(needle)))
-        .drop("_gram")
-    )
+    keyed = needles.where(F.length(needle) > 0).withColumn("_a", _anchor(F.col(needle)))
+    facts = keyed.agg(
+        F.sort_array(F.collect_set("_a.kind")).alias("kinds"),
+        F.coalesce(F.sum(F.octet_length(needle) + 100), F.lit(0)).alias("bytes"),
+    ).first()
+    kinds = facts["kinds"] or [GRAM_SIZES[0]]
+    keyed = keyed.withColumn("_anchor", F.col("_a.anchor")).drop("_a")
+    anchor = F.explode_outer(_anchors(F.col(text), kinds))  # outer: see link_titles
+    found = F.contains(F.col(text), F.col(needle))
+    if facts["bytes"] <= broadcast_bytes:
+        return texts.withColumn("_anchor", anchor).join(F.broadcast(keyed), "_anchor").where(found).drop("_anchor")
+    if key is None:
+        return texts.withColumn("_anchor", anchor).join(keyed, "_anchor").where(found).drop("_anchor")
+    candidates = texts.select(key, anchor.alias("_anchor")).join(keyed, "_anchor").drop("_anchor")
+    return texts.join(candidates, key).where(found)
 
 
 def any_word_join(queries: DataFrame, titles: DataFrame, longer_than: int = 2) -> DataFrame:
@@ -155,7 +189,7 @@ def any_word_join(queries: DataFrame, titles: DataFrame, longer_than: int = 2) -
     words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("word"))
     words = words.where(F.length("word") > longer_than)
     low = titles.select("title", F.lower("title").alias("low"))
-    hits = contains_join(words.select("word").distinct(), low, "word", "low", sizes=(3, 8))
+    hits = contains_join(words.select("word").distinct(), low, "word", "low")
     return hits.join(words, "word").select("query_id", "title").distinct()
 
 
@@ -183,13 +217,15 @@ def id_then_title(requests: DataFrame, listings: DataFrame, work_id: str, title:
 
 
 def tag_by_dictionary(
-    df: DataFrame, dictionary: DataFrame, text: str, max_inline: int = 64, generated_from: str | None = None
+    df: DataFrame, dictionary: DataFrame, text: str, key: str | None = None, max_inline: int = 64,
+    generated_from: str | None = None,
 ) -> DataFrame:
     """Add tag: id of the first dictionary phrase (by priority) found in text.
 
     dictionary: priority, phrase, dict_id. Reads at most max_inline + 1 of its
     rows; a dictionary that small becomes a constant in the plan, a larger one
-    goes through contains_join over the distinct texts. generated_from names a
+    goes through contains_join: per row by its unique key, or without a key over
+    the distinct texts (for short texts that repeat). generated_from names a
     column whose hash gives rows without a hit a stable generated id.
     """
     head = dictionary.select("priority", "phrase", "dict_id").limit(max_inline + 1).collect()
@@ -199,10 +235,14 @@ def tag_by_dictionary(
         tagged = df.withColumn("tag", F.coalesce(*hits) if hits else F.lit(None).cast("string"))
     else:
         phrases = dictionary.select("priority", "phrase", "dict_id")
-        texts = df.select(F.col(text).alias("_text")).distinct()
-        found = contains_join(phrases, texts, "phrase", "_text")
-        first = found.groupBy("_text").agg(F.min_by("dict_id", "priority").alias("tag"))
-        tagged = df.join(first, F.col(text) == F.col("_text"), "left").drop("_text")
+        if key is None:
+            texts = df.select(F.col(text).alias("_by"), F.col(text).alias("_text")).distinct()
+            found = contains_join(phrases, texts, "phrase", "_text")
+        else:
+            texts = df.select(F.col(key).alias("_by"), F.col(text).alias("_text"))
+            found = contains_join(phrases, texts, "phrase", "_text", key="_by")
+        first = found.groupBy("_by").agg(F.min_by("dict_id", "priority").alias("tag"))
+        tagged = df.join(first, F.col(key or text) == F.col("_by"), "left").drop("_by")
     if generated_from is None:
         return tagged
     made = F.concat(F.lit("auto-"), F.substring(F.md5(generated_from), 1, 12))

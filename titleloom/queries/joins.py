@@ -170,7 +170,7 @@ def j12_passages(spark, sf):
         F.col("item_id").alias("priority"), F.lower("text").alias("phrase"), F.col("item_id").alias("dict_id")
     )
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
-    return link.tag_by_dictionary(docs, dictionary, "low").select("doc_id", F.col("tag").cast("bigint").alias("tag"))
+    return link.tag_by_dictionary(docs, dictionary, "low", key="doc_id").select("doc_id", F.col("tag").cast("bigint").alias("tag"))
 
 
 @query(
