@@ -156,7 +156,7 @@ def _anchors(text: Column, kinds: Sequence[int]) -> Column:
 
 def contains_join(
     needles: DataFrame, texts: DataFrame, needle: str, text: str, key: str | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES, sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of needles x texts where text contains needle (as given, case matters).
 
@@ -165,10 +165,15 @@ def contains_join(
     kinds of anchor they use and how large they are. Up to broadcast_bytes they
     are broadcast and texts do not move. Beyond that both sides shuffle on the
     anchor; with key (unique in texts) only keys and anchors do, and the texts
-    join back for the candidates.
+    join back for the candidates. sized_by is a cheaper table that holds all the
+    needles, for when they are themselves the result of a join.
     """
-    keyed = needles.where(F.length(needle) > 0).withColumn("_a", _anchor(F.col(needle)))
-    facts = keyed.agg(
+
+    def anchored(df: DataFrame) -> DataFrame:
+        return df.where(F.length(needle) > 0).withColumn("_a", _anchor(F.col(needle)))
+
+    keyed = anchored(needles)
+    facts = anchored(needles if sized_by is None else sized_by).agg(
         F.sort_array(F.collect_set("_a.kind")).alias("kinds"),
         F.coalesce(F.sum(F.octet_length(needle) + 100), F.lit(0)).alias("bytes"),
     ).first()
@@ -184,20 +189,33 @@ def contains_join(
     return texts.join(candidates, key).where(found)
 
 
-def any_word_join(queries: DataFrame, titles: DataFrame, longer_than: int = 2) -> DataFrame:
-    """(query_id, title) pairs where the title contains any query word (F6 for many queries)."""
+def query_words(queries: DataFrame, longer_than: int = 2) -> DataFrame:
+    """(query_id, word): the lower-case words of each query that count."""
     words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("word"))
-    words = words.where(F.length("word") > longer_than)
+    return words.where(F.length("word") > longer_than)
+
+
+def titles_with_word(words: DataFrame, titles: DataFrame) -> DataFrame:
+    """(word, title) pairs where the title contains the word; both distinct."""
     low = titles.select("title", F.lower("title").alias("low"))
-    hits = contains_join(words.select("word").distinct(), low, "word", "low")
-    return hits.join(words, "word").select("query_id", "title").distinct()
+    return contains_join(words.select("word").distinct(), low, "word", "low").select("word", "title")
 
 
-def substring_search(requests: DataFrame, titles: DataFrame) -> DataFrame:
+def any_word_join(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, title) pairs where the title contains any query word."""
+    words = query_words(queries)
+    return titles_with_word(words, titles).join(words, "word").select("query_id", "title").distinct()
+
+
+def substring_search(requests: DataFrame, titles: DataFrame, sized_by: DataFrame | None = None) -> DataFrame:
     """(request_id, title) where the title contains the wanted text, case-insensitive."""
-    wanted = requests.select("request_id", F.lower("wanted").alias("needle"))
+
+    def needles(df: DataFrame) -> DataFrame:
+        return df.select("request_id", F.lower("wanted").alias("needle"))
+
     low = titles.select("title", F.lower("title").alias("low"))
-    return contains_join(wanted, low, "needle", "low").select("request_id", "title")
+    known = None if sized_by is None else needles(sized_by)
+    return contains_join(needles(requests), low, "needle", "low", sized_by=known).select("request_id", "title")
 
 
 def id_then_title(requests: DataFrame, listings: DataFrame, work_id: str, title: str) -> DataFrame:
@@ -209,10 +227,10 @@ def id_then_title(requests: DataFrame, listings: DataFrame, work_id: str, title:
         requests.select("request_id", F.col("work_id").alias("_wanted_id")),
         F.col(work_id) == F.col("_wanted_id"),
     ).drop("_wanted_id")
-    known = listings.select(F.col(work_id).alias("work_id")).distinct()
-    without = requests.join(known, "work_id", "left_anti")
-    pairs = substring_search(without, listings.select(F.col(title).alias("title")).distinct())
-    by_title = listings.join(pairs.withColumnRenamed("title", "_title"), F.col(title) == F.col("_title")).drop("_title")
+    without = requests.join(by_id.select("request_id").distinct(), "request_id", "left_anti")
+    titles = listings.select(F.col(title).alias("title")).distinct()
+    pairs = substring_search(without, titles, sized_by=requests).withColumnRenamed("title", "_title")
+    by_title = listings.join(pairs, F.col(title) == F.col("_title")).drop("_title")
     return by_id.withColumn("via", F.lit("id")).unionByName(by_title.withColumn("via", F.lit("title")))
 
 

@@ -9,7 +9,7 @@ from titleloom import rules
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
 from titleloom.operators import rank, stats
-from titleloom.operators.link import link_titles
+from titleloom.operators.link import link_titles, query_words, titles_with_word
 
 
 def searchable(listings: DataFrame) -> DataFrame:
@@ -56,6 +56,23 @@ def score_and_rank(pairs: DataFrame, k: int) -> DataFrame:
     return rank.best_per_tier(rows.withColumn("relevance_score", score), k=k)
 
 
+def any_word_search(queries: DataFrame, listings: DataFrame, k: int = rules.SOURCE_CAP) -> DataFrame:
+    """Best k listings per query whose title holds any of its words.
+
+    queries: query_id, title. listings: row_key, title, score. Scores belong to
+    listings, so the best k of a query are among the best k of its words, and
+    those among the best k of each title. Every step keeps k rows per group
+    before the next join.
+    """
+    order = [F.col("score").desc(), F.col("row_key").asc()]
+    leaders = rank.top_k(listings, ["title"], order, k, "place").drop("place")
+    words = query_words(queries)
+    hits = titles_with_word(words, leaders.select("title").distinct()).join(leaders, "title")
+    per_word = rank.top_k(hits, ["word"], order, k, "place").drop("place")
+    found = per_word.join(words, "word").dropDuplicates(["query_id", "row_key"])
+    return rank.top_k(found, ["query_id"], order, k)
+
+
 def report(queries: DataFrame, listings: DataFrame, repeated: str) -> DataFrame:
     """Search report per query; listings are counted per title and tier first."""
     tiers = [f"tier_{t.lower()}" for t in rules.SEARCH_TIERS]

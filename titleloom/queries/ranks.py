@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from titleloom import rules
 from titleloom.functions import attributes as A
 from titleloom.operators import rank
-from titleloom.operators.link import any_word_join
 from titleloom.plans import curated, delivery, search
 from titleloom.queries import sqltext as S
 from titleloom.queries.base import query, table
@@ -109,15 +108,11 @@ s AS (SELECT query_id, row_key, {S.tier_score('raw_title')} + coalesce(seeders,0
 SELECT query_id, row_key, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_key) AS INT) AS rank FROM s) x WHERE rank<=20""",
 )
 def w5(spark, sf):
+    title = F.col("raw_title")
     listings = table(spark, sf, "v_listing").select(
-        "row_key", "raw_title", rank.indexer_score(F.col("raw_title"), F.col("seeders")).alias("score")
+        "row_key", title.alias("title"), rank.indexer_score(title, F.col("seeders")).alias("score")
     )
-    order = [F.col("score").desc(), F.col("row_key").asc()]
-    # the best 20 of a query are among the best 20 of each title
-    leaders = rank.top_k(listings, ["raw_title"], order, rules.SOURCE_CAP)
-    pairs = any_word_join(table(spark, sf, "v_query"), leaders.select(F.col("raw_title").alias("title")).distinct())
-    hits = leaders.drop("rank").join(pairs.withColumnRenamed("title", "raw_title"), "raw_title")
-    best = rank.top_k(hits, ["query_id"], order, rules.SOURCE_CAP)
+    best = search.any_word_search(table(spark, sf, "v_query"), listings)
     return best.select("query_id", "row_key", F.round("score", 6).alias("score"), "rank")
 
 
