@@ -116,7 +116,8 @@ def previous_row(
     """Add the struct of values of the row before, per key, also for hot keys.
 
     lag runs inside (key, bucket); only the last row of each bucket travels to
-    the next non-empty one. bucket must not decrease along the order.
+    the next non-empty one. bucket must not decrease along the order; the result
+    keeps it as _bucket.
     """
     keyed = df.withColumn("_bucket", bucket)
     at = F.struct(*[F.col(c) for c in order])
@@ -133,15 +134,18 @@ def previous_row(
         keyed.join(carried, same, "inner")
         .withColumn("_first", F.row_number().over(inner) == 1)
         .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.lag(row).over(inner)))
-        .drop("_bucket", "_b", "_carried", "_first", *[f"_{c}" for c in key])
+        .drop("_b", "_carried", "_first", *[f"_{c}" for c in key])
     )
 
 
 def running_total(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, bucket: Column, name: str
+    df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column, name: str
 ) -> DataFrame:
-    """Add the running sum of value per key, also for hot keys (see previous_row)."""
-    keyed = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    """Add the running sum of value per key, also for hot keys.
+
+    df comes from previous_row: it has _bucket and is partitioned by it.
+    """
+    keyed = df.withColumn("_value", value)
     sums = keyed.groupBy(*key, "_bucket").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.select(
@@ -162,7 +166,7 @@ def change_points(
     df: DataFrame, key: str, at: Sequence[str], watched: Sequence[str], bucket: Column
 ) -> DataFrame:
     """Rows whose watched values differ from the row before (null-safe)."""
-    seen = previous_row(df, [key], at, watched, bucket)
+    seen = previous_row(df, [key], at, watched, bucket).drop("_bucket")
     same = F.lit(True)
     for c in watched:
         same = same & F.col(c).eqNullSafe(F.col("previous")[c])

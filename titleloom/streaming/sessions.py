@@ -25,7 +25,7 @@ def idle_sessions(
     idle = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("previous")[ts].cast("timestamp"))
     starts = F.when(F.coalesce(idle > gap_seconds * 1_000_000, F.lit(True)), 1).otherwise(0)
     flagged = seen.withColumn("_starts", starts).drop("previous")
-    numbered = running_total(flagged, [key], order, F.col("_starts"), slot, "session")
+    numbered = running_total(flagged, [key], order, F.col("_starts"), "session")
     return numbered.groupBy(key, "session").agg(
         F.min(ts).alias("started_at"), F.max(ts).alias("last_used"), F.count(F.lit(1)).alias("requests")
     )
