@@ -26,21 +26,19 @@ def as_of():
 
 
 def catalogue_documents(spark, sf):
-    """One JSON catalogue document per order; unset dates on line number 7."""
-    rows = table(spark, sf, "v_listing").select(
-        "content_hash",
-        F.struct(
-            F.col("composite_id").alias("imdbId"), F.col("raw_title").alias("title"), F.col("link").alias("magnet"),
-            A.curated_tier(F.col("raw_title")).alias("quality"), (F.col("seeders") - 5).cast("bigint").alias("seeds"),
-            F.col("size_text").alias("size"), F.lit("any").alias("category"),
-            A.language_tag(F.col("raw_title")).alias("language"),
-            F.when(F.col("seeders").isNotNull(), F.date_format("arrived_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("addedAt"),
-            F.col("row_key").alias("row_key"),
-        ).alias("entry"),
-    )
-    return rows.groupBy("content_hash").agg(
-        F.to_json(F.struct(F.lit("1.0.0").alias("version"), F.collect_list("entry").alias("magnets"))).alias("document")
+    """One JSON catalogue document per listing; unset dates on line number 7.
+
+    A document per order would gather a hot order in one row.
+    """
+    entry = F.struct(
+        F.col("composite_id").alias("imdbId"), F.col("raw_title").alias("title"), F.col("link").alias("magnet"),
+        A.curated_tier(F.col("raw_title")).alias("quality"), (F.col("seeders") - 5).cast("bigint").alias("seeds"),
+        F.col("size_text").alias("size"), F.lit("any").alias("category"),
+        A.language_tag(F.col("raw_title")).alias("language"),
+        F.when(F.col("seeders").isNotNull(), F.date_format("arrived_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("addedAt"),
     )
+    document = F.to_json(F.struct(F.lit("1.0.0").alias("version"), F.array(entry).alias("magnets")))
+    return table(spark, sf, "v_listing").select(document.alias("document"))
 
 
 @query(
@@ -83,19 +81,16 @@ def s2(spark, sf):
 
 
 def search_payloads(spark, sf):
-    """One search payload per order and provider, with the provider's base."""
-    rows = table(spark, sf, "v_listing").select(
-        "content_hash", "provider",
-        F.struct(
-            F.col("row_key").alias("info_hash"),
-            F.when(F.col("seeders").isNotNull() | F.contains("raw_title", F.lit("Dual")), F.col("raw_title")).alias("title"),
-            F.col("link").alias("magnet_link"), (F.col("seeders") - 1).alias("seed_count"), F.col("size_text").alias("size"),
-            F.date_format("arrived_at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
-        ).alias("result"),
+    """One search payload per listing, with its provider's base."""
+    result = F.struct(
+        F.col("row_key").alias("info_hash"),
+        F.when(F.col("seeders").isNotNull() | F.contains("raw_title", F.lit("Dual")), F.col("raw_title")).alias("title"),
+        F.col("link").alias("magnet_link"), (F.col("seeders") - 1).alias("seed_count"), F.col("size_text").alias("size"),
+        F.date_format("arrived_at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
     )
-    grouped = rows.groupBy("content_hash", "provider").agg(F.sort_array(F.collect_list("result")).alias("results"))
-    payload = F.to_json(F.struct("results", F.size("results").alias("count"))).alias("payload")
-    return grouped.select("provider", payload).join(table(spark, sf, "v_source_base"), "provider", "left")
+    payload = F.to_json(F.struct(F.array(result).alias("results"), F.lit(1).alias("count"))).alias("payload")
+    rows = table(spark, sf, "v_listing").select("provider", payload)
+    return rows.join(table(spark, sf, "v_source_base"), "provider", "left")
 
 
 _MAPPED = f"""row_key AS source_row, {S.cleaned('raw_title')} AS title, link,
@@ -116,20 +111,17 @@ def s3(spark, sf):
 
 
 def post_payloads(spark, sf):
-    """One array of posts per order and provider; size and link are in the content."""
+    """One array with one post per listing; size and link are in the content."""
     rendered = F.concat(
         F.lit("<p>"), F.coalesce("size_text", F.lit("n/a")), F.lit('</p><a href="'), F.col("link"), F.lit('">get</a>')
     )
-    rows = table(spark, sf, "v_listing").select(
-        "content_hash", "provider",
-        F.struct(
-            F.date_format("arrived_at", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"),
-            F.struct(F.col("raw_title").alias("rendered")).alias("title"),
-            F.struct(rendered.alias("rendered")).alias("content"),
-        ).alias("post"),
+    post = F.struct(
+        F.date_format("arrived_at", "yyyy-MM-dd'T'HH:mm:ss").alias("modified"),
+        F.struct(F.col("raw_title").alias("rendered")).alias("title"),
+        F.struct(rendered.alias("rendered")).alias("content"),
     )
-    grouped = rows.groupBy("content_hash", "provider").agg(F.to_json(F.collect_list("post")).alias("payload"))
-    return grouped.select("provider", "payload").join(table(spark, sf, "v_source_base"), "provider", "left")
+    rows = table(spark, sf, "v_listing").select("provider", F.to_json(F.array(post)).alias("payload"))
+    return rows.join(table(spark, sf, "v_source_base"), "provider", "left")
 
 
 def posts(spark, sf):
