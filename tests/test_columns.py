@@ -100,6 +100,7 @@ def test_link_attributes(values):
     assert values(A.display_name(x()), rows)[0] == "A b c d e"
     assert values(A.display_name(x()), rows)[2:] == [rules.DEFAULT_TITLE] * 2
     assert values(A.repeated_parameter(x(), "tr"), rows)[0] == ["u1", "u2"]
+    assert values(A.link_sources(x(), "m:"), ["m:?x=btih:AB1&y", "http://a"]) == [["dht:ab1"], ["http://a"]]
 
 
 def test_seeders(values):

@@ -259,6 +259,12 @@ def content_hash(link: Column, marker: str = "btih:") -> Column:
     return F.lower(F.nullif(found, F.lit("")))
 
 
+def link_sources(link: Column, prefix: str = "magnet:", marker: str = "btih:") -> Column:
+    """Source list of a delivered row: the content hash for hash links, else the link itself."""
+    by_hash = F.concat(F.lit("dht:"), content_hash(link, marker))
+    return F.array(F.when(F.startswith(link, F.lit(prefix)), by_hash).otherwise(link))
+
+
 def display_name(link: Column, default: str = rules.DEFAULT_TITLE) -> Column:
     """Decoded dn= parameter with separators as spaces.
 

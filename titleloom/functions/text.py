@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titleloom import rules
@@ -153,6 +153,17 @@ def first_link(found: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
+def each_link(df: DataFrame, found: Column, *keep: str) -> DataFrame:
+    """One row per link with its position; rows without links drop out.
+
+    The outer form keeps Spark from extracting the links twice (explode infers
+    a filter on the list).
+    """
+    rows = df.select(*keep, found.alias("_found"))
+    out = rows.select(*keep, F.posexplode_outer("_found").alias("position", "link"), F.get("_found", F.lit(0)).alias("first_link"))
+    return out.where(F.col("link").isNotNull())
+
+
 def longest_link(found: Column) -> Column:
     """Longest link, the first one on ties; no shuffle, it stays in the row."""
     ranked = F.transform(

@@ -169,7 +169,8 @@ def t14(spark, sf):
     "t15_link_attributes",
     r"""SELECT row_key, lower(nullif(regexp_extract(link, '(?i)id=([a-zA-Z0-9]+)', 1), '')) AS content_hash,
  trim(regexp_replace(replace(regexp_extract(link, 'dn=([^&]+)', 1), '+', ' '), '\s+', ' ', 'g')) AS name,
- array_to_string(regexp_extract_all(link, '[?&]n=([^&#]*)', 1), ',') AS numbers
+ array_to_string(regexp_extract_all(link, '[?&]n=([^&#]*)', 1), ',') AS numbers,
+ '1080p' AS tier, concat('dht:', lower(regexp_extract(link, '(?i)id=([a-zA-Z0-9]+)', 1))) AS source
 FROM v_listing""",
 )
 def t15(spark, sf):
@@ -177,6 +178,8 @@ def t15(spark, sf):
     return table(spark, sf, "v_listing").select(
         "row_key", A.content_hash(link, "id=").alias("content_hash"), A.display_name(link).alias("name"),
         F.array_join(A.repeated_parameter(link, "n"), ",").alias("numbers"),
+        A.curated_tier(A.display_name(link)).alias("tier"),
+        F.get(A.link_sources(link, "cat:", "id="), F.lit(0)).alias("source"),
     )
 
 
@@ -204,10 +207,7 @@ LINK_PATTERN = 'href="([^"]+)"'
 SELECT page_id, CAST(i-1 AS INT) AS position, found[i] AS link, found[1] AS first_link FROM (SELECT page_id, found, unnest(generate_series(1, len(found))) AS i FROM l) x""",
 )
 def t16(spark, sf):
-    found = table(spark, sf, "pages").select("page_id", X.links(F.col("html"), LINK_PATTERN, 1).alias("found"))
-    return found.select(
-        "page_id", F.posexplode("found").alias("position", "link"), X.first_link(F.col("found")).alias("first_link")
-    )
+    return X.each_link(table(spark, sf, "pages"), X.links(F.col("html"), LINK_PATTERN, 1), "page_id")
 
 
 @query(

@@ -86,8 +86,10 @@ def extract_items(pages: DataFrame, site_rules: Sequence[dict], min_length: int
         branch = F.struct(F.lit(rule["priority"]).alias("priority"), items.alias("items"))
         hit = tld == rule["tld"]
         found = F.when(hit, branch) if found is None else found.when(hit, branch)
-    rows = pages.select("page_id", tld.alias("tld"), found.alias("found")).where(F.col("found").isNotNull())
-    exploded = rows.select("page_id", "tld", F.col("found.priority").alias("priority"), F.posexplode("found.items"))
+    rows = pages.select("page_id", tld.alias("tld"), found.alias("found"))
+    # outer: posexplode would infer a filter that extracts everything twice; pages
+    # without items fall to the length filter
+    exploded = rows.select("page_id", "tld", F.col("found.priority").alias("priority"), F.posexplode_outer("found.items"))
     title = trimmed(plain_text(F.col("col.title")))
     return exploded.select(
         "page_id", "tld", "priority", F.col("pos").alias("position"), title.alias("title"), F.col("col.link").alias("link")

@@ -54,7 +54,9 @@ def from_search_payload(
     results = F.from_json(F.col(payload), schemas.SEARCH_PAYLOAD)["results"]
     if cap is not None:
         results = F.slice(results, 1, cap)
-    rows = df.select(F.col(provider).alias("provider"), F.col(base).alias("base"), F.inline(results))
+    # outer: inline would infer a filter that parses the payload a second time;
+    # the empty rows fall to the next filter
+    rows = df.select(F.col(provider).alias("provider"), F.col(base).alias("base"), F.inline_outer(results))
     usable = rows.where(_filled(F.col("title")) & _filled(F.col("magnet_link")))
     return usable.select(
         *_listing(
@@ -81,7 +83,7 @@ def from_post_payload(
     link: str = POST_LINK, markers: Sequence[str] = POST_LINK_MARKERS, fallbacks: Sequence[str] = POST_LINK_FALLBACKS,
 ) -> DataFrame:
     """Listings of arrays of posts with nested title, content and modified."""
-    posts = F.inline(F.from_json(F.col(payload), schemas.POST_PAYLOAD))
+    posts = F.inline_outer(F.from_json(F.col(payload), schemas.POST_PAYLOAD))  # outer: as above
     rows = df.select(F.col(provider).alias("provider"), F.col(base).alias("base"), posts)
     title, content = F.col("title.rendered"), F.col("content.rendered")
     usable = rows.where(F.length(title) >= rules.MIN_TITLE_LENGTH)
