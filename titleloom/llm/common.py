@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,17 +43,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces_of(values: list, most: int = 4096, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Slices of a batch of texts that hold a bounded number of rows and characters (one text at least)."""
+def pieces_of(texts: pa.Array, most: int = 4096, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Slices of a batch of texts that hold a bounded number of rows and bytes (one text at least)."""
     start = held = 0
-    for i, v in enumerate(values):
-        size = len(v) if v is not None else 0
-        if i > start and (i - start >= most or held + size > chars):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and (i - start >= most or held + (n or 0) > size):
             yield start, i
             start, held = i, 0
-        held += size
-    if start < len(values):
-        yield start, len(values)
+        held += n or 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
