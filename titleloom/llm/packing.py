@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from titleloom.llm.common import batch, documents, query, stored
-from titleloom.llm.tokens import encoder
+from titleloom.llm.tokens import WIDTH, encoder
 
 WINDOW, WINDOWS, FAN_IN, END = 1024, 64, 32, 0
-WIDTH = 4  # bytes of an id
+
 
 
 class Packer:

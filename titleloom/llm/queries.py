@@ -1,4 +1,4 @@
 """All queries of this package; importing the modules registers them."""
 
-from titleloom.llm import languages, licences, packing  # noqa: F401
+from titleloom.llm import counts, languages, licences, packing, sketches  # noqa: F401
 from titleloom.llm.common import ORACLES, QUERIES  # noqa: F401
