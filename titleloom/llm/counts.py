@@ -34,10 +34,8 @@ DELTA = "source STRING, lang STRING, version STRING, docs LONG, tokens LONG"
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """The columns of docs but the text, and `tokens`, the byte-level BPE ids of the whole text."""
-    if "tokens" in docs.columns:
-        raise ValueError("docs has a column tokens already")
-    names = [c for c in docs.columns if c != text_col]
+    """The columns of docs but the text, and `tokens`, the number of byte-level BPE ids of the whole text."""
+    names = [c for c in docs.columns if c not in (text_col, "tokens")]
     rows = docs.select(*names, text_col)
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("tokens", T.LongType())])
     arrow = to_arrow_schema(schema)

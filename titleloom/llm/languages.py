@@ -107,12 +107,10 @@ def coder_of(models: dict[str, tuple[bytes, int]]) -> Coder:
 
 
 def identify(docs: DataFrame, models: dict[str, tuple[bytes, int]], text_col: str = "text", min_margin: float = MIN_MARGIN, keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns (all) with lang_pred, lang_score and lang_rejected."""
-    names = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("text"))
+    """The `keep` columns (all) with lang_pred, lang_score and lang_rejected, which replace columns of these names."""
     added = [("lang_pred", T.StringType()), ("lang_score", T.DoubleType()), ("lang_rejected", T.BooleanType())]
-    if set(names) & {n for n, _ in added}:
-        raise ValueError("a kept column has the name of an added one; leave it out of `keep`")
+    names = [c for c in (docs.columns if keep is None else keep) if c not in dict(added)]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, t) for n, t in added]])
     arrow = to_arrow_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by languages x bytes_per_language
