@@ -35,6 +35,7 @@ from titleloom.llm.common import batch, documents, pieces_of, query, remainder
 TEXTS, BYTES_PER_LANGUAGE, PIECE, LEVEL = 400, 220_000, 2000, 3
 UNKNOWN = "und"
 MIN_MARGIN = 0.004
+ADDED = ("lang_pred", "lang_score", "lang_rejected")
 BETWEEN = re.compile(r"[\W\d_]+")
 
 
@@ -106,9 +107,9 @@ def coder_of(models: dict[str, tuple[bytes, int]]) -> Coder:
     return _CODERS[key]
 
 
-def identify(docs: DataFrame, models: dict[str, tuple[bytes, int]], text_col: str = "text", min_margin: float = MIN_MARGIN, keep: list[str] | None = None) -> DataFrame:
-    """The `keep` columns (all) with lang_pred, lang_score and lang_rejected, which replace columns of these names."""
-    added = [("lang_pred", T.StringType()), ("lang_score", T.DoubleType()), ("lang_rejected", T.BooleanType())]
+def identify(docs: DataFrame, models: dict[str, tuple[bytes, int]], text_col: str = "text", min_margin: float = MIN_MARGIN, keep: list[str] | None = None, names_added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """The `keep` columns (all) with prediction, score and rejection, which replace columns of these names."""
+    added = list(zip(names_added, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))
     names = [c for c in (docs.columns if keep is None else keep) if c not in dict(added)]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, t) for n, t in added]])
@@ -127,6 +128,13 @@ def identify(docs: DataFrame, models: dict[str, tuple[bytes, int]], text_col: st
     return rows.mapInArrow(per_partition, schema).toDF(*names, *[n for n, _ in added])
 
 
+def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs whose language is told clearly, learned from the labelled ones."""
+    models = learn(docs, text_col, lang_col)
+    names = tuple(f"__{n}" for n in ADDED)
+    return identify(docs, models, text_col, names_added=names, **options).where(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def training_rows(folds: int = 5) -> Column:
     return remainder("doc_id", folds) != 0
 

@@ -39,6 +39,12 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(text)
 
 
+def row_key(doc_id: str | Column, key: str | Column) -> Column:
+    """One never-null join key of an id and a text key; a null id has a key of its own."""
+    doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.concat_ws(":", doc_id.isNull(), doc_id, key)
+
+
 def runs(words: list[int], least: int) -> list[tuple[int, int]]:
     """Shortest runs [start, end) with `least` words, from every line that has one."""
     out, end, held = [], 0, 0
@@ -108,10 +114,10 @@ def repeated_runs(
     return merged.groupBy("id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("runs"))
 
 
-def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The columns of docs, the text without its repeated runs, and removed_runs."""
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed: str = "removed_runs", **options) -> DataFrame:
+    """The columns of docs, the text without its repeated runs, and the column `removed`."""
     cuts = repeated_runs(docs, id_col, text_col, **options)
-    names = [c for c in docs.columns if c != "removed_runs"]
+    names = [c for c in docs.columns if c != removed]
     rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("own_id"), text_key(F.col(text_col)).alias("own_key"))
     joined = rows.join(cuts, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("text_key")), "left")
     inside = lambda i: F.exists("runs", lambda r: (r.first <= i) & (i < r.end))
@@ -119,7 +125,7 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.when(F.col("runs").isNull(), F.col("row")[text_col]).otherwise(kept)
     none = F.array().cast("array<struct<first:int,end:int>>")
     return joined.select(
-        *[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], F.coalesce("runs", none).alias("removed_runs")
+        *[(text if c == text_col else F.col("row")[c]).alias(c) for c in names], F.coalesce("runs", none).alias(removed)
     )
 
 

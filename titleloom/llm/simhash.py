@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from titleloom.llm.common import batch, documents, pieces_of, query, stored
+from titleloom.llm.lines import row_key, text_key
 
 SHINGLE, SEED, BITS = 4, 42, 4
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
@@ -63,16 +64,17 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id and print, the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("print", T.LongType())])
+    """doc_id, text_key and print, the fingerprint as a signed long."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_key"], T.StructField("print", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def per_partition(batches):
         for b in batches:
             for start, end in pieces_of(b.column(1)):
                 prints = np.array([fingerprint(t.as_py() or "", width) for t in b.column(1)[start:end]], np.uint64)
-                yield batch(arrow, [b.column(0).slice(start, end - start), prints.view(np.int64)])
+                part = b.slice(start, end - start)
+                yield batch(arrow, [part.column(0), part.column(2), prints.view(np.int64)])
 
     return rows.mapInArrow(per_partition, schema)
 
@@ -249,14 +251,25 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """doc_id, print (signed long), component (its root print) and component_id of each document."""
+    """doc_id, text_key, print (signed long), component (its root print) and component_id of each document."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "prints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(classes, tile))
     named = classes.join(roots, F.col("print") == F.col("node"), "left").select("print", "first_id", F.coalesce("root", "print").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(least, "component").select("print", "component", "component_id")
-    return prints.join(named, "print").select("doc_id", "print", "component", "component_id")
+    return prints.join(named, "print").select("doc_id", "text_key", "print", "component", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The first row of each component, by id (nulls last) and text hash; of rows alike in both, one."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    first = first.select(row_key(F.col("first.doc_id"), F.col("first.text_key")).alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col(id_col), text_key(F.col(text_col))).alias("key"))
+    kept = rows.join(first, "key", "left_semi").withColumn("n", F.expr("row_number() OVER (PARTITION BY key ORDER BY key)")).where("n = 1")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 @query("op6_simhash_near_dedup")
