@@ -34,6 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from titleloom.llm.common import batch, documents, query
 
 CELLS, GROWTH, LONGEST = 24, 4, 120
+PART_BYTES, PARTS = 6_000_000, 100_000
 U64 = np.uint64
 
 
@@ -152,25 +153,27 @@ RESULT = [
 
 
 def compare(rows: list[tuple]) -> list[tuple]:
-    """Result rows of (id, text, next text)."""
-    edited = [edit(t, n) for _, t, n in rows]
-    sets = [[digests(x) for x in column] for column in ([r[1] for r in rows], edited, [r[2] for r in rows])]
+    """Result rows of (id, text, its digests, next text, its digests)."""
+    edited = [edit(t, n) for _, t, _, n, _ in rows]
+    sets = [[r[2] for r in rows], [digests(t) for t in edited], [r[4] for r in rows]]
     own, other = Tables(sets[0], CELLS), Tables(sets[1], CELLS)
     to_edit, to_next = differences(sets[0], sets[1]), differences(sets[0], sets[2])
     return [
         (doc, len(text), hashlib.sha256(edited[i].encode()).hexdigest(), own.text(i, len(sets[0][i])), other.text(i, len(sets[1][i])),
          likeness(sets[0][i], sets[1][i], to_edit[i]), likeness(sets[0][i], sets[2][i], to_next[i]))
-        for i, (doc, text, _) in enumerate(rows)
+        for i, (doc, text, *_) in enumerate(rows)
     ]
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """(part, ghost, key, doc_id, text) in order within each part; a part ends with a ghost, the first row of the part behind it.
 
-    Parts are ranges of ids between quantiles. The first rows of all parts, one small row each, pass the driver.
+    Parts are ranges of ids between quantiles, of about `part_bytes` of text, PARTS at most. The first rows of all
+    parts, one small row each, pass the driver.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = min(PARTS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // part_bytes))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     bounds = rows.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
@@ -191,7 +194,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.repartition(parts, "part").sortWithinPartitions("part", "ghost", "key", "h")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2_000_000, most: int = 512) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500_000, most: int = 256) -> DataFrame:
     """The sketch of each document and of its edited text, and likenesses to the edited text and to the next document."""
     rows = with_next(docs, id_col, text_col)
     schema = T.StructType([T.StructField(n, t or rows.schema["doc_id"].dataType) for n, t in RESULT])
@@ -202,10 +205,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             for part, ghost, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5), strict=True):
                 text = text.as_py()
+                own = digests(text)
                 if last is not None and last[0] == part:
-                    ready.append((last[1], last[2], text))
+                    ready.append((*last[1:], text, own))
                     held += len(text)
-                last = None if ghost else (part, doc, text)
+                last = None if ghost else (part, doc, text, own)
                 if len(ready) >= most or held > size:
                     yield batch(arrow, list(zip(*compare(ready), strict=True)))
                     ready, held = [], 0
