@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from titleloom import rules
@@ -99,9 +100,8 @@ def test_contains_join_equals_brute_force(spark):
     got = sorted((r["n"], r["i"]) for r in link.contains_join(a, b, "n", "t").collect())
     want = sorted((n, i) for n in set(needles) if n for i, t in enumerate(texts) if t and n in t)
     assert got == want
-    for by_key in (None, "i"):  # the ways beyond the broadcast limit
-        joined = link.contains_join(a, b, "n", "t", key=by_key, broadcast_bytes=0)
-        assert sorted((r["n"], r["i"]) for r in joined.collect()) == want
+    joined = link.contains_join(a, b, "n", "t", key="i")
+    assert sorted((r["n"], r["i"]) for r in joined.collect()) == want
 
 
 def test_any_word_join(spark):
@@ -118,18 +118,28 @@ def test_id_then_title(spark):
     assert got == [("a", "k1", "id"), ("b", "k1", "title"), ("c", "k1", "title")]
 
 
-def test_dictionary_inline_and_joined_agree(spark):
-    words = ["red bolt", "bolt", "ring", "gear"]
-    dictionary = spark.createDataFrame([(i, w, f"d{i}") for i, w in enumerate(words)], "priority INT, phrase STRING, dict_id STRING")
-    df = spark.createDataFrame([("a red bolt",), ("bolts and ring",), ("earring",), ("none",)], "t STRING")
-    inline = {r["t"]: r["tag"] for r in link.tag_by_dictionary(df, dictionary, "t").collect()}
-    joined = {r["t"]: r["tag"] for r in link.tag_by_dictionary(df, dictionary, "t", max_inline=2).collect()}
-    keyed = {r["t"]: r["tag"] for r in link.tag_by_dictionary(df, dictionary, "t", key="t", max_inline=2).collect()}
-    assert inline == joined == keyed == {"a red bolt": "d0", "bolts and ring": "d1", "earring": "d2", "none": None}
+@pytest.mark.parametrize("size", [1, 64, 65, 500])
+def test_dictionary_of_any_size(spark, size):
+    words = ["red bolt", "bolt", "ring", "gear"][: max(1, min(4, size))] + [f"zz{i}" for i in range(size - 4)]
+    dictionary = spark.createDataFrame([(i, w, i * 10) for i, w in enumerate(words)], "priority INT, phrase STRING, dict_id INT")
+    df = spark.createDataFrame([("a red bolt",), ("bolts and ring",), ("earring",), ("none",), (None,)], "t STRING")
+    want = {t: next((10 * i for i, w in enumerate(words) if t and w in t), None) for t in ("a red bolt", "bolts and ring", "earring", "none", None)}
+    for key in (None, "t"):
+        tagged = link.tag_by_dictionary(df, dictionary, "t", key=key)
+        assert {r["t"]: r["tag"] for r in tagged.collect()} == want and tagged.schema["tag"].dataType.simpleString() == "int"
     made = link.tag_by_dictionary(df, dictionary, "t", generated_from="t").where("t = 'none'").first()["tag"]
     assert made.startswith("auto-") and len(made) == 17
 
 
+def test_dictionary_rows_without_priority_or_id_take_no_part(spark):
+    rows = [(None, "red", "x"), (1, "red", None), (3, "bolt", "b"), (2, "gear", "a"), (2, "gear", "c"), (0, None, "n"), (0, "", "e")]
+    dictionary = spark.createDataFrame(rows, "priority INT, phrase STRING, dict_id STRING")
+    df = spark.createDataFrame([("red bolt gear",), ("red bolt",), ("red",)], "t STRING")
+    assert {r["t"]: r["tag"] for r in link.tag_by_dictionary(df, dictionary, "t").collect()} == {"red bolt gear": "a", "red bolt": "b", "red": None}
+    none = link.tag_by_dictionary(df, dictionary.limit(0), "t")
+    assert {r["tag"] for r in none.collect()} == {None} and none.schema["tag"].dataType.simpleString() == "string"
+
+
 def test_tier_property(spark):
     """Random titles against the ordered rule list behind the closed form."""
     rng = random.Random(11)

@@ -59,6 +59,23 @@ def test_positions_within_equals_row_number(spark):
     assert got == want
 
 
+def test_positions_of_one_hot_level_are_split(spark):
+    """All rows share group and level: no window may hold them all."""
+    df = spark.range(0, 5000, 1, 8).select(F.lit("g").alias("g"), F.lit(1).alias("a"), (F.col("id") * 7919 % 5000).alias("k"))
+    got = rank.positions_within(df, ["g"], ["a"], ["k"], "place")
+    assert got.where("place <> k + 1").count() == 0 and got.count() == 5000
+    assert "hashpartitioning(_part" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_keys_and_times_are_kept(spark):
+    rows = [("a", datetime(2024, 1, 1), 1, "x"), ("a", None, 2, "x"), (None, datetime(2024, 1, 1), 3, "x"), (None, None, 4, "y"), (None, datetime(2024, 1, 5), 5, "x")]
+    df = spark.createDataFrame(rows, "k STRING, ts TIMESTAMP, i INT, s STRING")
+    changed = rank.change_points(df, "k", ["ts", "i"], ["s"], F.date_trunc("day", "ts"))
+    assert sorted(r["i"] for r in changed.collect()) == [2, 3, 4]
+    sessions_ = sessions.idle_sessions(df, "k", "ts", ["i"], 3600)
+    assert sessions_.agg(F.sum("requests")).first()[0] == 5
+
+
 def _timeline(rng, keys, n, gap):
     start = datetime(2024, 1, 1)
     return [(rng.choice(keys), start + timedelta(minutes=rng.randint(0, gap)), i) for i in range(n)]
@@ -121,11 +138,12 @@ def test_lookups(spark):
     items = spark.createDataFrame([("w1", "h1", "i1"), ("w1", "h2", "i2"), ("w1", "h9", "i3"), ("w2", "h1", "i4")], "work_id STRING, content_hash STRING, item_key STRING")
     listings = spark.createDataFrame([("h1", 5), ("h2", None)], "content_hash STRING, seeders INT")
     wanted = spark.createDataFrame([("w1",)], "work_id STRING")
-    found = lookup.items_of_work(wanted, items, listings, ["work_id"], tie=["item_key"]).orderBy("rank").collect()
+    assert sorted(r["item_key"] for r in lookup.items_of_work(wanted, items, listings, ["work_id"]).collect()) == ["i1", "i2"]
+    found = lookup.items_of_work(wanted, items, listings, ["work_id"], limit=9, tie=["item_key"]).orderBy("rank").collect()
     assert [(r["item_key"], r["rank"]) for r in found] == [("i2", 1), ("i1", 2)]
     assert len(lookup.items_of_work(wanted, items, listings, ["work_id"], limit=1, tie=["item_key"]).collect()) == 1
 
-    status = spark.createDataFrame([("H1", "downloaded"), ("H2", "error")], "content_hash STRING, status STRING")
+    status = spark.createDataFrame([("H1", "downloaded"), ("h1", "error"), ("H2", "error")], "content_hash STRING, status STRING")
     got = {r["content_hash"]: r["available"] for r in lookup.with_availability(listings.unionByName(spark.createDataFrame([("h3", 1)], listings.schema)), status).collect()}
     assert got == {"h1": True, "h2": False, "h3": False}
 
@@ -140,13 +158,13 @@ def test_lookups(spark):
 
 
 def test_estimated_seeders_and_detail(spark):
-    base = spark.createDataFrame([("s", 80)], "provider STRING, base INT")
+    base = spark.createDataFrame([("s", 80), ("s", 90)], "provider STRING, base INT")
     rows = spark.createDataFrame([("s", "2160p", None), ("s", "HD", 0), ("?", "1080p", None), ("s", "HD", 7)], "provider STRING, tier STRING, seeders INT")
     got = sorted((r["provider"], r["tier"], r["seeders"]) for r in lookup.with_estimated_seeders(rows, base).collect())
     assert got == [("?", "1080p", 39), ("s", "2160p", 120), ("s", "HD", 7), ("s", "HD", 88)]
 
     items = spark.createDataFrame([("p", "t", 2, "u2"), ("p", "t", 1, "u1"), ("p", "x", 1, "u3")], "source STRING, raw_title STRING, position INT, detail_url STRING")
-    details = spark.createDataFrame([("u1", "m1"), ("u2", "m2"), ("u3", "")], "detail_url STRING, link STRING")
+    details = spark.createDataFrame([("u1", "m1"), ("u1", "m9"), ("u2", "m2"), ("u3", "")], "detail_url STRING, link STRING")
     listings = spark.createDataFrame([("p", "t"), ("p", "x"), ("q", "t")], "source STRING, raw_title STRING")
     assert [r["link"] for r in lookup.attach_detail(listings, items, details).collect()] == ["m1"]
 
@@ -163,14 +181,15 @@ def test_stats(spark):
     health = stats.source_health(probes, "s", F.col("ok"), F.col("t"), ["b", "a"])
     assert [(r["source"], r["chosen"]) for r in health.orderBy("rank").collect()] == [("b", True), ("a", False)]
 
-    items = spark.createDataFrame([("g", "a.mkv", 10), ("g", "b.mkv", 10), ("g", "sample.mkv", 99), ("g", "big.txt", 500), ("g", "c.1080p.mkv", 8)], "g STRING, path STRING, bytes BIGINT")
+    items = spark.createDataFrame([("g", "a.mkv", 10), ("g", "b.mkv", 10), ("g", "sample.mkv", 99), ("g", "big.txt", 500), ("g", "c.1080p.mkv", 8), ("g", "c.1080p.3gp", 9)], "g STRING, path STRING, bytes BIGINT")
     assert stats.main_item(items, ["g"], "path", "bytes").first()["path"] == "a.mkv"
     best = stats.main_item(items, ["g"], "path", "bytes", weighted=True).first()
     assert (best["path"], best["weight"]) == ("c.1080p.mkv", 12.0)
 
     rows = spark.createDataFrame([("w", i, "t") for i in range(50)], "w STRING, k INT, t STRING")
-    nested = stats.nested_by_work(rows, "w", ["k"], ["t"], part_rows=10)
-    assert nested.count() > 1 and nested.select(F.sum(F.size("entries"))).first()[0] == 50
+    nested = stats.nested_by_work(rows, "w", ["k"], ["t"], parts=4)
+    assert stats.nested_by_work(rows, "w", ["k"], ["t"]).count() == 1
+    assert nested.count() == 4 and nested.select(F.sum(F.size("entries"))).first()[0] == 50
     assert sorted(r["k"] for r in stats.flattened(nested, "w").collect()) == list(range(50))
 
 

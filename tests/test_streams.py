@@ -27,7 +27,9 @@ def run(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
         out = build(stream)
         writer = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state"))
-        writer.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        query = writer.trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+        go.held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
         return spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
 
     yield go
@@ -39,7 +41,7 @@ def test_ttl_stream_equals_batch(spark, run):
     rows = sorted(
         (T0 + timedelta(seconds=rng.randint(0, 40_000)), i, rng.choice(["hot", "hot", "a", "b"]), rng.choice(["set", "get", "get", "delete"]), str(i))
         for i in range(300)
-    )
+    ) + [(T0 + timedelta(days=9), 999, "end", "delete", None)]
     schema = "at TIMESTAMP, seq BIGINT, key STRING, op STRING, value STRING"
     got = run(rows, schema, lambda s: ttl.read_stream(s, 3600, "1 hour"))
     want = ttl.reads(spark.createDataFrame(rows, schema), 3600)
@@ -47,6 +49,46 @@ def test_ttl_stream_equals_batch(spark, run):
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
 
 
+def late(rows, minutes, rng):
+    """Rows in an order that is up to so many minutes off."""
+    return sorted(rows, key=lambda r: r[0] + timedelta(minutes=rng.uniform(0, minutes)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ttl_stream_takes_late_rows(spark, run, seed):
+    rng = random.Random(seed)
+    rows = [
+        (T0 + timedelta(seconds=rng.randint(0, 40_000)), i, rng.choice(["hot", "hot", "a", "b"]), rng.choice(["set", "get", "get", "delete"]), str(i))
+        for i in range(300)
+    ]
+    rows = late(rows, 50, rng) + [(T0 + timedelta(days=9), 999, "end", "delete", None)]
+    schema = "at TIMESTAMP, seq BIGINT, key STRING, op STRING, value STRING"
+    got = run(rows, schema, lambda s: ttl.read_stream(s, 3600, "1 hour"), files=6)
+    want = ttl.reads(spark.createDataFrame(rows, schema), 3600)
+    cols = ["key", "at", "seq", "value"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    assert run.held <= 2  # the last row and its timer
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_job_stream_takes_late_rows(spark, run, seed):
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for job in range(40):
+        start = rng.randint(0, 300)
+        for step in range(5):
+            status = rng.choice(["queued", "downloading", "downloaded", "dead"]) if step else "queued"
+            rows.append((T0 + timedelta(minutes=start + step * rng.randint(1, 20)), n, f"j{job}", status))
+            n += 1
+    rows = late(rows, 50, rng) + [(T0 + timedelta(days=9), 999, "last", "downloaded")]
+    schema = "ts TIMESTAMP, event_id BIGINT, job_id STRING, status STRING"
+    got = run(rows, schema, lambda s: jobs.outcome_stream(s, 30, "1 hour", forget_minutes=24 * 60), files=6)
+    want = jobs.outcomes(spark.createDataFrame(rows, schema)).where("job_id <> 'last'")
+    cols = ["job_id", "outcome", "status", "finished_at", "started_at"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    assert run.held <= 2
+
+
 def test_job_stream_equals_batch(spark, run):
     rng = random.Random(9)
     rows = []
@@ -56,10 +98,10 @@ def test_job_stream_equals_batch(spark, run):
             status = rng.choice(["queued", "downloading", "downloaded", "dead"]) if step else "queued"
             rows.append((T0 + timedelta(minutes=start + step * rng.randint(1, 20)), f"j{job}", status))
     # one late job moves the watermark past every limit
-    rows = [(t, i, j, s) for i, (t, j, s) in enumerate(sorted(rows))] + [(T0 + timedelta(days=3), 999, "last", "downloaded")]
+    rows = [(t, i, j, s) for i, (t, j, s) in enumerate(sorted(rows))] + [(T0 + timedelta(days=3), 999, "last", "downloaded"), (T0 + timedelta(days=4), 1000, "end", "queued")]
     schema = "ts TIMESTAMP, event_id BIGINT, job_id STRING, status STRING"
     got = run(rows, schema, lambda s: jobs.outcome_stream(s, 30, "2 hours"))
-    want = jobs.outcomes(spark.createDataFrame(rows, schema))
+    want = jobs.outcomes(spark.createDataFrame(rows, schema)).where("job_id <> 'end'")
     cols = ["job_id", "outcome", "status", "finished_at", "started_at"]
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
 
@@ -90,10 +132,20 @@ def test_upsert_stream_is_idempotent_and_compacts(spark, tmp_path):
     def read(path):
         return {r["k"]: (r["v"], r["first_arrival"]["at"]) for r in upsert.current(spark, path, ["k"], ["at"]).collect()}
 
-    # a second run with a lost checkpoint writes the same deltas again
+    # a second run with a lost checkpoint reads the same files again
     for attempt in (state, state + "2"):
         writer = upsert.upsert_stream(stream, table, attempt, ["k"], ["at"])
         writer.trigger(availableNow=True).start().awaitTermination()
         assert read(table) == want
-    upsert.compact(spark, table, str(tmp_path / "compacted"), ["k"], ["at"])
-    assert read(str(tmp_path / "compacted")) == want
+    # a new checkpoint with other files adds to the table
+    other = str(tmp_path / "other")
+    spark.createDataFrame([("new", 7, "v"), ("k1", 10_000, "newest")], schema).coalesce(1).write.parquet(other)
+    more = spark.readStream.schema(schema).parquet(other)
+    upsert.upsert_stream(more, table, state + "3", ["k"], ["at"]).trigger(availableNow=True).start().awaitTermination()
+    want |= {"new": ("v", 7), "k1": ("newest", want["k1"][1])}
+    assert read(table) == want
+    upsert.compact(spark, table, ["k"], ["at"])
+    assert read(table) == want and len(list((tmp_path / "table").glob("delta=*"))) == 1
+    spark.createDataFrame([("k2", 20_000, "later")], schema).coalesce(1).write.mode("append").parquet(other)
+    upsert.upsert_stream(more, table, state + "3", ["k"], ["at"]).trigger(availableNow=True).start().awaitTermination()
+    assert read(table) == want | {"k2": ("later", want["k2"][1])}

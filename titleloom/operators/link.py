@@ -12,7 +12,6 @@ from titleloom.operators.quality import blocked
 
 GRAM_SIZES = (8, 3, 2, 1)
 WORD_LENGTH = 8
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 # --- title linkage --------------------------------------------------------
@@ -150,39 +149,35 @@ def _anchor(needle: Column) -> Column:
     )
 
 
-def _anchors(text: Column, kinds: Sequence[int]) -> Column:
-    return F.array_distinct(F.concat(*[_grams(text, n) if n else F.split(text, " ") for n in kinds]))
+def _anchors(text: Column, kinds: Column) -> Column:
+    """All anchors of a text, of the kinds that the needles use."""
 
+    def of(kind: int) -> Column:
+        found = _grams(text, kind) if kind else F.split(text, " ")
+        return F.when(F.array_contains(kinds, kind), found).otherwise(F.array().cast("array<string>"))
 
-def contains_join(
-    needles: DataFrame, texts: DataFrame, needle: str, text: str, key: str | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES, sized_by: DataFrame | None = None,
-) -> DataFrame:
+    return F.array_distinct(F.concat(*[of(kind) for kind in (0, *GRAM_SIZES)]))
+
+
+def contains_join(needles: DataFrame, texts: DataFrame, needle: str, text: str, key: str | None = None, sized_by: DataFrame | None = None) -> DataFrame:
     """All rows of needles x texts where text contains needle (as given, case matters).
 
     Equal anchors first, then a native contains: no cross join, nothing lost,
-    and empty needles match nothing. One small job over needles learns which
-    kinds of anchor they use and how large they are. Up to broadcast_bytes they
-    are broadcast and texts do not move. Beyond that both sides shuffle on the
-    anchor; with key (unique in texts) only keys and anchors do, and the texts
-    join back for the candidates. sized_by is a cheaper table that holds all the
-    needles, for when they are themselves the result of a join.
+    and null or empty needles match nothing. Texts give anchors of the kinds
+    that needles use, which a scalar subquery over the needles tells; the
+    join is left to adaptive execution. With key (unique in texts) only keys and
+    anchors take part in it, and the texts join back for the candidates.
+    sized_by is a cheaper table that holds all the needles, for when they are
+    themselves the result of a join.
     """
 
     def anchored(df: DataFrame) -> DataFrame:
         return df.where(F.length(needle) > 0).withColumn("_a", _anchor(F.col(needle)))
 
-    keyed = anchored(needles)
-    facts = anchored(needles if sized_by is None else sized_by).agg(
-        F.sort_array(F.collect_set("_a.kind")).alias("kinds"),
-        F.coalesce(F.sum(F.octet_length(needle) + 100), F.lit(0)).alias("bytes"),
-    ).first()
-    kinds = facts["kinds"] or [GRAM_SIZES[0]]
-    keyed = keyed.withColumn("_anchor", F.col("_a.anchor")).drop("_a")
-    anchor = F.explode_outer(_anchors(F.col(text), kinds))  # outer: see link_titles
+    kinds = anchored(needles if sized_by is None else sized_by).agg(F.sort_array(F.collect_set("_a.kind")).alias("kinds"))
+    keyed = anchored(needles).withColumn("_anchor", F.col("_a.anchor")).drop("_a")
+    anchor = F.explode_outer(_anchors(F.col(text), kinds.scalar()))  # outer: see link_titles
     found = F.contains(F.col(text), F.col(needle))
-    if facts["bytes"] <= broadcast_bytes:
-        return texts.withColumn("_anchor", anchor).join(F.broadcast(keyed), "_anchor").where(found).drop("_anchor")
     if key is None:
         return texts.withColumn("_anchor", anchor).join(keyed, "_anchor").where(found).drop("_anchor")
     candidates = texts.select(key, anchor.alias("_anchor")).join(keyed, "_anchor").drop("_anchor")
@@ -227,7 +222,9 @@ def id_then_title(requests: DataFrame, listings: DataFrame, work_id: str, title:
         requests.select("request_id", F.col("work_id").alias("_wanted_id")),
         F.col(work_id) == F.col("_wanted_id"),
     ).drop("_wanted_id")
-    without = requests.join(by_id.select("request_id").distinct(), "request_id", "left_anti")
+    # the requests that have a hit are told by the ids alone
+    known = listings.select(F.col(work_id).alias("work_id")).distinct()
+    without = requests.join(known, "work_id", "left_anti")
     titles = listings.select(F.col(title).alias("title")).distinct()
     pairs = substring_search(without, titles, sized_by=requests).withColumnRenamed("title", "_title")
     by_title = listings.join(pairs, F.col(title) == F.col("_title")).drop("_title")
@@ -235,33 +232,26 @@ def id_then_title(requests: DataFrame, listings: DataFrame, work_id: str, title:
 
 
 def tag_by_dictionary(
-    df: DataFrame, dictionary: DataFrame, text: str, key: str | None = None, max_inline: int = 64,
-    generated_from: str | None = None,
+    df: DataFrame, dictionary: DataFrame, text: str, key: str | None = None, generated_from: str | None = None
 ) -> DataFrame:
-    """Add tag: id of the first dictionary phrase (by priority) found in text.
+    """Add tag: id of the first dictionary phrase found in text, of dict_id's type.
 
-    dictionary: priority, phrase, dict_id. Reads at most max_inline + 1 of its
-    rows; a dictionary that small becomes a constant in the plan, a larger one
-    goes through contains_join: per row by its unique key, or without a key over
-    the distinct texts (for short texts that repeat). generated_from names a
-    column whose hash gives rows without a hit a stable generated id.
+    dictionary: priority, phrase, dict_id. The smallest priority comes first,
+    then the smallest id; rows without a phrase, a priority or an id take no
+    part. Looked up per row by its unique key, or without a key over the
+    distinct texts (for short texts that repeat). generated_from names a column
+    whose hash gives rows without a hit a stable generated id; tag is text then.
     """
-    head = dictionary.select("priority", "phrase", "dict_id").limit(max_inline + 1).collect()
-    if len(head) <= max_inline:
-        ordered = sorted((r for r in head if r["phrase"]), key=lambda r: r["priority"])
-        hits = [F.when(F.contains(F.col(text), F.lit(r["phrase"])), F.lit(r["dict_id"])) for r in ordered]
-        tagged = df.withColumn("tag", F.coalesce(*hits) if hits else F.lit(None).cast("string"))
+    phrases = dictionary.select("priority", "phrase", "dict_id").where("priority IS NOT NULL AND dict_id IS NOT NULL")
+    if key is None:
+        texts = df.select(F.col(text).alias("_by"), F.col(text).alias("_text")).distinct()
+        found = contains_join(phrases, texts, "phrase", "_text")
     else:
-        phrases = dictionary.select("priority", "phrase", "dict_id")
-        if key is None:
-            texts = df.select(F.col(text).alias("_by"), F.col(text).alias("_text")).distinct()
-            found = contains_join(phrases, texts, "phrase", "_text")
-        else:
-            texts = df.select(F.col(key).alias("_by"), F.col(text).alias("_text"))
-            found = contains_join(phrases, texts, "phrase", "_text", key="_by")
-        first = found.groupBy("_by").agg(F.min_by("dict_id", "priority").alias("tag"))
-        tagged = df.join(first, F.col(key or text) == F.col("_by"), "left").drop("_by")
+        texts = df.select(F.col(key).alias("_by"), F.col(text).alias("_text"))
+        found = contains_join(phrases, texts, "phrase", "_text", key="_by")
+    first = found.groupBy("_by").agg(F.min(F.struct("priority", "dict_id")).alias("_hit")).select("_by", F.col("_hit.dict_id").alias("tag"))
+    tagged = df.join(first, F.col(key or text) == F.col("_by"), "left").drop("_by")
     if generated_from is None:
         return tagged
     made = F.concat(F.lit("auto-"), F.substring(F.md5(generated_from), 1, 12))
-    return tagged.withColumn("tag", F.coalesce("tag", made))
+    return tagged.withColumn("tag", F.coalesce(F.col("tag").cast("string"), made))

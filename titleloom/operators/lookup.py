@@ -14,16 +14,19 @@ from titleloom.operators.rank import top_k
 
 def items_of_work(
     wanted: DataFrame, items: DataFrame, listings: DataFrame, keys: Sequence[str],
-    listing_key: str = "content_hash", limit: int = rules.LOOKUP_LIMIT, tie: Sequence[str] = (),
+    listing_key: str = "content_hash", limit: int | None = None, tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Items that match wanted on keys, with their listing, best seeders first.
+    """Items that match wanted on keys, with their listing.
 
     keys decide the form: work, (work, season, episode) or any alternate id.
-    Rows without a listing are dropped; at most limit rows per wanted key, null
-    seeders in front.
+    Rows without a listing are dropped. With a limit only the first rows per
+    wanted key stay, best seeders first (null in front), with their rank;
+    without one all rows come, in no order.
     """
     found = items.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
     joined = found.join(listings, listing_key)
+    if limit is None:
+        return joined
     order = [F.col("seeders").desc_nulls_first(), *[F.col(c).asc() for c in tie]]
     return top_k(joined, keys, order, limit)
 
@@ -34,13 +37,13 @@ def fetch(listings: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def with_availability(
-    listings: DataFrame, status: DataFrame, key: str = "content_hash", ready: str = rules.JOB_SUCCESS
+    listings: DataFrame, status: DataFrame, key: str = "content_hash", ready: str = rules.JOB_SUCCESS,
+    order: Sequence[str] = ("status",),
 ) -> DataFrame:
-    """Add available: the first status row of the hash (any case) says ready.
-
-    status must have one row per hash, or the caller dedupes it first.
-    """
-    flags = status.select(F.lower(key).alias("_hash"), (F.col("status") == ready).alias("_ready"))
+    """Add available: the first status row of the hash (any case), by order, says ready."""
+    first = F.min(F.struct(*order, F.col("status").alias("_status"))).alias("_first")
+    flags = status.groupBy(F.lower(key).alias("_hash")).agg(first)
+    flags = flags.select("_hash", (F.col("_first._status") == ready).alias("_ready"))
     return (
         listings.join(flags, F.lower(F.col(key)) == F.col("_hash"), "left")
         .withColumn("available", F.coalesce("_ready", F.lit(False)))
@@ -85,10 +88,10 @@ def with_estimated_seeders(
 ) -> DataFrame:
     """Fill missing or zero seeders with source base x tier multiplier.
 
-    source_base: provider, base; one row per provider. Sources it does not
-    know get the default base.
+    source_base: provider, base; of several rows of a provider the smallest base
+    counts. Sources it does not know get the default base.
     """
-    base = source_base.select(F.col("provider").alias("_provider"), F.col("base").alias("_base"))
+    base = source_base.groupBy(F.col("provider").alias("_provider")).agg(F.min("base").alias("_base"))
     joined = listings.join(base, F.col(provider) == F.col("_provider"), "left")
     estimate = estimated_seeders(F.col("_base"), F.col(tier))
     return joined.withColumn(
@@ -106,9 +109,10 @@ def attach_detail(
 ) -> DataFrame:
     """Give each listing the link behind the first source item of its raw title.
 
-    items: source, raw_title, position, detail_url. details: detail_url, link.
-    Listings without a link are dropped.
+    items: source, raw_title, position, detail_url. details: detail_url, link;
+    of several links of a url the smallest counts. Listings without a link are
+    dropped.
     """
     first = items.groupBy(source, "raw_title").agg(F.min_by("detail_url", position).alias("detail_url"))
-    linked = details.where(F.coalesce(F.col("link"), F.lit("")) != "")
+    linked = details.where(F.coalesce(F.col("link"), F.lit("")) != "").groupBy("detail_url").agg(F.min("link").alias("link"))
     return listings.join(first, [source, "raw_title"]).join(linked, "detail_url")

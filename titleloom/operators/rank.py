@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from titleloom import rules
 from titleloom.functions import attributes as A
+from titleloom.workspace import new_folder
 
 
 def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -91,22 +92,29 @@ def indexer_score(title: Column, seeds: Column) -> Column:
 def positions_within(
     df: DataFrame, group: Sequence[str], level: Sequence[str], tie: Sequence[str | Column], name: str
 ) -> DataFrame:
-    """Row number of every row in its group, ordered by level then tie.
+    """Row number of every row in its group, ordered by level then tie (runs a write).
 
-    Numbering a whole group in one task would not survive a hot group, so rows
-    are numbered inside (group, level) and shifted by the size of the levels in
-    front, which are counted with map-side combine.
+    Rows are dealt by ranges of (group, level, tie) and written to the shared
+    folder with their part, so a group of any size, also one whose rows share a
+    level, lies in as many parts as it needs. Rows are numbered inside (part,
+    group) and shifted by the group's rows in the parts in front.
     """
-    inner = Window.partitionBy(*group, *level).orderBy(*tie)
-    sizes = df.groupBy(*group, *level).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy(*level).rowsBetween(Window.unboundedPreceding, -1)
+    spark, order = df.sparkSession, [*group, *level, *tie]
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    path = new_folder(spark, "positions")
+    ranged.write.parquet(path)
+    dealt = spark.read.schema(ranged.schema).parquet(path)
+    inner = Window.partitionBy("_part", *group).orderBy(*level, *tie)
+    sizes = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select(
-        *[F.col(c).alias(f"_{c}") for c in (*group, *level)],
+        *[F.col(c).alias(f"_{c}") for c in group],
+        F.col("_part").alias("_of"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*group, *level)]
-    joined = df.join(shift, same, "inner").drop(*[f"_{c}" for c in (*group, *level)])
-    return joined.withColumn(name, (F.col("_shift") + F.row_number().over(inner)).cast("bigint")).drop("_shift")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group] + [F.col("_part") == F.col("_of")]
+    numbered = dealt.withColumn("_k", F.row_number().over(inner)).join(shift, same, "inner")
+    return numbered.withColumn(name, (F.col("_shift") + F.col("_k")).cast("bigint")).drop("_shift", "_part", "_of", "_k", *[f"_{c}" for c in group])
 
 
 def previous_row(
@@ -117,7 +125,7 @@ def previous_row(
 
     lag runs inside (key, bucket); only the last row of each bucket travels to
     the next non-empty one. bucket must not decrease along the order; the result
-    keeps it as _bucket.
+    keeps it as _bucket. Null keys are a key, and a null bucket comes first.
     """
     keyed = df.withColumn("_bucket", bucket)
     at = F.struct(*[F.col(c) for c in order])
@@ -128,7 +136,7 @@ def previous_row(
         F.col("_bucket").alias("_b"),
         F.lag("_last").over(Window.partitionBy(*key).orderBy("_bucket")).alias("_carried"),
     )
-    same = [F.col(c) == F.col(f"_{c}") for c in key] + [F.col("_bucket") == F.col("_b")]
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key] + [F.col("_bucket").eqNullSafe(F.col("_b"))]
     inner = Window.partitionBy(*key, "_bucket").orderBy(*order)
     return (
         keyed.join(carried, same, "inner")
@@ -153,7 +161,7 @@ def running_total(
         F.col("_bucket").alias("_b"),
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"),
     )
-    same = [F.col(c) == F.col(f"_{c}") for c in key] + [F.col("_bucket") == F.col("_b")]
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key] + [F.col("_bucket").eqNullSafe(F.col("_b"))]
     inner = Window.partitionBy(*key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         keyed.join(shift, same, "inner")

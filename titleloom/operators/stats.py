@@ -92,9 +92,10 @@ def main_item(
     """The largest media item of each group, smallest path on ties.
 
     The plain form drops blocked items; the weighted form keeps them with a
-    tenth of their weight and favours names that carry a tier.
+    tenth of their weight, favours names that carry a tier and knows fewer
+    suffixes.
     """
-    media = items.where(allowed_suffix(F.col(path)))
+    media = items.where(allowed_suffix(F.col(path), rules.WEIGHTED_SUFFIXES if weighted else rules.MEDIA_SUFFIXES))
     weight = F.col(size).cast("double")
     if weighted:
         low = F.lower(F.col(path))
@@ -109,17 +110,15 @@ def main_item(
     )
 
 
-def nested_by_work(
-    df: DataFrame, work_id: str, order: Sequence[str], values: Sequence[str], part_rows: int = 10_000
-) -> DataFrame:
+def nested_by_work(df: DataFrame, work_id: str, order: Sequence[str], values: Sequence[str], parts: int = 1) -> DataFrame:
     """(work_id, part, entries): the listings of a work as sorted arrays.
 
-    A work gets one part per part_rows listings, spread by key hash, so that no
-    array grows with a hot work.
+    A work has one array, or, with more parts, one for each of this number of
+    hash ranges of its order columns that has listings; how many listings there
+    are never changes the shape. Choose parts so that a hot work's array fits.
     """
-    sizes = df.groupBy(work_id).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts"))
     spread = F.conv(F.substring(F.md5(F.concat_ws("|", *order)), 1, 8), 16, 10).cast("bigint")
-    placed = df.join(sizes, work_id).withColumn("part", F.pmod(spread, F.col("_parts")).cast("bigint"))
+    placed = df.withColumn("part", F.floor(spread * parts / float(1 << 32)).cast("bigint"))
     entry = F.struct(*order, *[v for v in values if v not in order])
     return placed.groupBy(work_id, "part").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
 

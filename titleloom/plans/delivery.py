@@ -32,13 +32,15 @@ def delivered(label: str = "Catalogue") -> list[Column]:
 
 
 def answer(
-    wanted: DataFrame, items: DataFrame, listings: DataFrame, status: DataFrame, keys: Sequence[str], tie: Sequence[str]
+    wanted: DataFrame, items: DataFrame, listings: DataFrame, status: DataFrame, keys: Sequence[str], tie: Sequence[str],
+    lookup_limit: int | None = None,
 ) -> DataFrame:
     """Look up, mark availability, rank the best tiers first, top 15 per request.
 
     Tier and availability stay columns, so marking a row never changes its tier.
+    With lookup_limit only that many rows of a request, by seeders, are ranked.
     """
-    found = lookup.items_of_work(wanted, items, listings, keys, tie=tie)
+    found = lookup.items_of_work(wanted, items, listings, keys, limit=lookup_limit, tie=tie)
     marked = lookup.with_availability(found.drop("rank"), status)
     tiered = marked.withColumn("tier", A.simple_tier(F.col("raw_title")))
     ranked = rank.delivery_rank(tiered, keys, key=tie[0])

@@ -75,12 +75,12 @@ SELECT upper(md5(concat('o',o_orderkey))) AS content_hash,
  CASE o_orderstatus WHEN 'F' THEN 'downloaded' WHEN 'P' THEN 'downloading' ELSE 'error' END AS status
 FROM {orders} WHERE o_orderpriority<>'5-LOW'""",
     ),
-    # ordered phrase dictionary of known works, the longer phrases first
+    # phrase dictionary of known works; priority orders the longer phrases first
     "v_dict": (
         ("part",),
         """
-SELECT CAST(row_number() OVER (ORDER BY length(phrase) DESC, phrase) AS INT) AS priority, phrase, substr(md5(phrase),1,8) AS dict_id
-FROM (SELECT DISTINCT lower(concat(p_brand,'] ',p_name)) AS phrase FROM {part} WHERE p_type='ECONOMY') p""",
+SELECT concat(lpad(concat(100000-length(phrase),''),6,'0'),phrase) AS priority, phrase, substr(md5(phrase),1,8) AS dict_id
+FROM (SELECT DISTINCT lower(concat(p_brand,'] ',p_name)) AS phrase FROM {part}) p""",
     ),
     # status timeline per job
     "v_job": (
@@ -104,20 +104,12 @@ TABLES = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than cores.
-
-    Only small inputs have; a large table keeps its splits and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or one of the views."""
     if name in TABLES:
         rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return spread(rows) if name in ("lineitem", "documents", "pages") else rows
+        parts = spark.conf.get("titleloom.input.partitions", None)
+        return rows.repartition(int(parts)) if parts and name in ("lineitem", "documents", "pages") else rows
     inputs, sql = VIEWS[name]
     return spark.sql(sql, **{i: table(spark, sf_dir, i) for i in inputs})
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from titleloom import rules
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
 from titleloom.operators import link, lookup
@@ -68,14 +69,24 @@ def _lookup_sql(keys: str, source: str = "v_item", where: str = "") -> str:
 
 def _lookup(spark, sf, wanted, keys):
     found = lookup.items_of_work(
-        wanted, table(spark, sf, "v_item"), table(spark, sf, "v_store"), keys, tie=["item_key"]
+        wanted, table(spark, sf, "v_item"), table(spark, sf, "v_store"), keys, limit=rules.LOOKUP_LIMIT, tie=["item_key"]
     )
     return found.select(*keys, "item_key", "row_key", "seeders", "rank")
 
 
-@query("j4_items_of_work", _lookup_sql("work_id"))
+@query("j4_items_of_work", _lookup_sql("work_id", "v_request"))
 def j4(spark, sf):
-    return _lookup(spark, sf, table(spark, sf, "v_item"), ["work_id"])
+    return _lookup(spark, sf, table(spark, sf, "v_request"), ["work_id"])
+
+
+@query(
+    "j4_all_items",
+    "SELECT work_id, item_key, row_key, seeders FROM v_item JOIN v_store USING (content_hash) WHERE work_id IN (SELECT work_id FROM v_request)",
+)
+def j4_all(spark, sf):
+    items, listings = table(spark, sf, "v_item"), table(spark, sf, "v_store")
+    found = lookup.items_of_work(table(spark, sf, "v_request"), items, listings, ["work_id"])
+    return found.select("work_id", "item_key", "row_key", "seeders")
 
 
 @query("j5_items_of_episode", _lookup_sql("work_id, season, episode"))

@@ -82,19 +82,18 @@ def w3(spark, sf):
     return rank.positions_within(rows, ["work_id"], ["tier_place", "seeds_place"], tie, "place").select("work_id", "row_key", "place")
 
 
-_FOUND = """SELECT work_id, item_key, content_hash, raw_title, seeders, row_number() OVER (PARTITION BY work_id ORDER BY seeders DESC NULLS FIRST, item_key) AS n
-FROM v_item JOIN v_store USING (content_hash)"""
+_FOUND = """SELECT work_id, item_key, content_hash, raw_title, seeders FROM v_item JOIN v_store USING (content_hash) WHERE work_id IN (SELECT work_id FROM v_request)"""
 
 
 @query(
     "w4_delivery_answer",
     f"""SELECT * FROM (SELECT work_id, item_key, tier, available, CAST(row_number() OVER (PARTITION BY work_id ORDER BY CASE tier WHEN '2160p' THEN 6 WHEN '1080p' THEN 5 WHEN '720p' THEN 4 WHEN '480p' THEN 3 ELSE 2 END DESC, seeders DESC NULLS FIRST, item_key) AS INT) AS rank
- FROM (SELECT f.*, {S.simple_tier('raw_title')} AS tier, coalesce(s.status='downloaded', false) AS available FROM ({_FOUND}) f LEFT JOIN v_status s ON lower(s.content_hash)=f.content_hash WHERE n<=500) y) z WHERE rank<=15""",
+ FROM (SELECT f.*, {S.simple_tier('raw_title')} AS tier, coalesce(s.status='downloaded', false) AS available FROM ({_FOUND}) f LEFT JOIN v_status s ON lower(s.content_hash)=f.content_hash) y) z WHERE rank<=15""",
 )
 def w4(spark, sf):
     items = table(spark, sf, "v_item").withColumnRenamed("bytes", "item_bytes")
     found = delivery.answer(
-        items.select("work_id").distinct(), items, table(spark, sf, "v_store"), table(spark, sf, "v_status"),
+        table(spark, sf, "v_request").select("work_id").distinct(), items, table(spark, sf, "v_store"), table(spark, sf, "v_status"),
         ["work_id"], ["item_key"],
     )
     return found.select("work_id", "item_key", "tier", "available", "rank")

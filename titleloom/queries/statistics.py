@@ -132,13 +132,12 @@ def a9_weighted(spark, sf):
 
 @query(
     "a10_nested_by_work",
-    """WITH p AS (SELECT work_id, CAST(ceil(count(*)/20.0) AS BIGINT) AS parts FROM v_listing GROUP BY work_id)
-SELECT work_id, CAST(('0x'||substr(md5(row_key),1,8))::BIGINT % parts AS BIGINT) AS part, CAST(count(*) AS INT) AS entries, string_agg(row_key, ',' ORDER BY row_key) AS row_keys
-FROM v_listing JOIN p USING (work_id) GROUP BY 1, 2""",
+    """SELECT work_id, CAST(floor(('0x'||substr(md5(row_key),1,8))::BIGINT*4/4294967296.0) AS BIGINT) AS part, CAST(count(*) AS INT) AS entries, string_agg(row_key, ',' ORDER BY row_key) AS row_keys
+FROM v_listing GROUP BY 1, 2""",
 )
 def a10(spark, sf):
     rows = table(spark, sf, "v_listing").select("work_id", "row_key", "raw_title")
-    nested = stats.nested_by_work(rows, "work_id", ["row_key"], ["raw_title"], part_rows=20)
+    nested = stats.nested_by_work(rows, "work_id", ["row_key"], ["raw_title"], parts=4)
     keys = F.array_join(F.transform("entries", lambda e: e["row_key"]), ",")
     return nested.select("work_id", "part", F.size("entries").alias("entries"), keys.alias("row_keys"))
 

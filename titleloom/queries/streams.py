@@ -9,6 +9,7 @@ from titleloom.streaming import jobs, sessions, ttl, upsert
 from titleloom.workspace import new_folder
 
 GAP_SECONDS = 6 * 3600
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -88,13 +89,21 @@ def event_stream(spark, sf, name="events"):
 def drain(spark, stream, name):
     """Run a stream to the end of its input and read what it wrote."""
     out, state = new_folder(spark, name), new_folder(spark, f"{name}-state")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    run = stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append")
-    run.trigger(availableNow=True).start(out).awaitTermination()
+    before = spark.conf.get(STORE_SETTING, None)
+    spark.conf.set(STORE_SETTING, STATE_STORE)
+    try:
+        run = stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append")
+        run.trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.unset(STORE_SETTING) if before is None else spark.conf.set(STORE_SETTING, before)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("x1_ttl_reads_stream", _READS + " FROM s LEFT JOIN e w ON w.event_id=s.seen")
+# a stream answers what its watermark, ten minutes behind the last row, has passed
+_PASSED = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
+
+
+@query("x1_ttl_reads_stream", _READS + f" FROM s LEFT JOIN e w ON w.event_id=s.seen WHERE s.ts <= {_PASSED}")
 def x1_stream(spark, sf):
     found = drain(spark, ttl.read_stream(change_log(event_stream(spark, sf)), GAP_SECONDS), "ttl")
     return found.select("seq", "key", F.col("value").cast("double").alias("value"))
@@ -119,8 +128,10 @@ def x3(spark, sf):
     rows = table(spark, sf, "v_listing").select(
         A.base_id(F.col("composite_id")).alias("work_id"), "link", "row_key", "raw_title", "arrived_at"
     )
-    rows.repartition(3, "row_key").write.parquet(landing)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    third = F.pmod(F.xxhash64("row_key"), F.lit(3)).alias("third")  # three folders land one after the other
+    rows.select("*", third).write.partitionBy("third").parquet(landing)
+    files = max(1, len(spark.read.parquet(landing).inputFiles()) // 3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{landing}/third=*")
     writer = upsert.upsert_stream(stream, target, state, keys, arrival)
     writer.trigger(availableNow=True).start().awaitTermination()
     now = upsert.current(spark, target, keys, arrival)
@@ -133,11 +144,11 @@ def x3(spark, sf):
 t AS (SELECT job_id, min(ts) AS ts, min_by(status, struct_pack(a := ts, b := event_id)) AS status FROM v_job WHERE status IN ('downloaded','magnet_error','virus','dead','error') GROUP BY job_id)
 SELECT CAST(s.job_id AS VARCHAR) AS job_id, CASE WHEN t.ts IS NULL OR t.ts-s.started_at >= INTERVAL 720 MINUTES THEN 'stalled' WHEN status='downloaded' THEN 'success' ELSE 'failure' END AS outcome,
  CASE WHEN t.ts-s.started_at < INTERVAL 720 MINUTES THEN status END AS status
-FROM s LEFT JOIN t USING (job_id)""",
+FROM s LEFT JOIN t USING (job_id) WHERE least(s.started_at + INTERVAL 720 MINUTES, coalesce(t.ts, s.started_at + INTERVAL 720 MINUTES)) <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM v_job)""",
 )
 def x4_stream(spark, sf):
     status = F.expr(
         "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'downloading' WHEN 'click' THEN 'uploading' WHEN 'purchase' THEN 'downloaded' ELSE 'dead' END"
     )
     rows = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id", status.alias("status"))
-    return drain(spark, jobs.outcome_stream(rows, 720), "jobs").select("job_id", "outcome", "status")
+    return drain(spark, jobs.outcome_stream(rows, 720, forget_minutes=10 * 366 * 24 * 60), "jobs").select("job_id", "outcome", "status")

@@ -64,6 +64,9 @@ MEDIA_SUFFIXES = (
     "mpg", "mpeg", "3gp", "ts", "mts", "m2ts", "vob",
 )
 
+# the weighted main item takes all of them but these two
+WEIGHTED_SUFFIXES = tuple(s for s in MEDIA_SUFFIXES if s not in ("3gp", "m2ts"))
+
 DEFAULT_SIZE_BYTES = 1.5 * 1024 ** 3
 SIZE_UNSPECIFIED = "Size not specified"
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")

@@ -21,6 +21,8 @@ def local_session(cpus: str | int = "*", app: str = "titleloom", **extra: str) -
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     settings = {
         **SETTINGS,
+        # single small files have one split; only local sessions deal them out to all cores
+        "titleloom.input.partitions": str(cores),
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "16g",
         **extra,

@@ -43,13 +43,13 @@ def _filled(c: Column) -> Column:
 
 def from_search_payload(
     df: DataFrame, payload: str, as_of: Column, provider: str = "provider", base: str = "base",
-    kind: Column | None = None, cap: int | None = rules.SOURCE_CAP,
+    kind: Column | None = None, cap: int | None = None,
 ) -> DataFrame:
     """Listings of {"results": [...]} payloads, one row per usable result.
 
     df: payload JSON, provider and its base for estimated seeders. Broken JSON
-    gives no rows. Only the first cap results of a payload are mapped; cap is
-    part of the source contract, None maps all.
+    gives no rows. With cap only the first cap results of a payload are mapped,
+    for sources whose contract says so.
     """
     results = F.from_json(F.col(payload), schemas.SEARCH_PAYLOAD)["results"]
     if cap is not None:

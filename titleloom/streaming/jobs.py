@@ -32,70 +32,90 @@ def outcomes(
     )
 
 
-OUTCOME_SCHEMA = "job_id STRING, started_at TIMESTAMP, outcome STRING, finished_at TIMESTAMP, status STRING"
+OUTCOME_SCHEMA = "job_id STRING, started_us BIGINT, outcome STRING, finished_us BIGINT, status STRING"
+FORGET_MINUTES = 30 * 24 * 60
 
 
 def outcome_stream(
     timeline: DataFrame, limit_minutes: int = rules.JOB_LIMIT_MINUTES, delay: str = "10 minutes",
-    success: str = rules.JOB_SUCCESS, failures: Sequence[str] = rules.JOB_FAILURES,
+    success: str = rules.JOB_SUCCESS, failures: Sequence[str] = rules.JOB_FAILURES, forget_minutes: int = FORGET_MINUTES,
 ) -> DataFrame:
-    """Streaming twin of outcomes: emits each job once, stalls by event-time timer.
+    """Streaming twin of outcomes, also for rows that come late; emits each job once.
 
-    timeline: job_id (string), ts, event_id, status. The state of a finished
-    job keeps only a flag until its limit has passed. Needs the RocksDB state
-    store.
+    timeline: job_id (string), ts, event_id, status. A job is decided when the
+    watermark has passed its first terminal status or its limit, so no earlier
+    row can come. State is one small row per job; it goes when a decided job
+    was silent for forget_minutes (a row that comes later starts the job anew).
+    Needs the RocksDB state store.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    limit = limit_minutes * 60_000_000
-    columns = ["job_id", "started_at", "outcome", "finished_at", "status"]
+    limit, forget = limit_minutes * 60_000_000, forget_minutes * 60_000_000
+    columns = ["job_id", "started_us", "outcome", "finished_us", "status"]
+    terminal = (success, *failures)
 
     class JobState(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.job = handle.getValueState("job", "started_micros BIGINT, done BOOLEAN")
+            self.job = handle.getValueState("job", "started BIGINT, at BIGINT, tie BIGINT, status STRING, done BOOLEAN, last BIGINT")
+
+        def wait(self, job) -> None:
+            """Timer for the next thing that may happen to the job."""
+            started, at, _, _, done, last = job
+            next_ = last + forget if done else min(started + limit, started + limit if at is None else at)
+            self.handle.registerTimer(next_ // 1000 + 1)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
             import pandas as pd
 
-            pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-            held = self.job.get() if self.job.exists() else None
-            out = []
-            for row in pdf.itertuples(index=False):
-                at = row.ts.value // 1000
-                if held is None:
-                    held = (at, False)
-                    self.handle.registerTimer((at + limit) // 1000 + 1)
-                if not held[1] and at - held[0] >= limit:
-                    out.append(self._row(key, held, "stalled", None, None))
-                    held = (held[0], True)
-                elif not held[1] and (row.status == success or row.status in failures):
-                    outcome = "success" if row.status == success else "failure"
-                    out.append(self._row(key, held, outcome, row.ts, row.status))
-                    held = (held[0], True)
-            self.job.update(tuple(held))
-            yield pd.DataFrame(out, columns=columns)
+            pdf = pd.concat(list(rows))
+            started, last = int(pdf["us"].min()), int(pdf["us"].max())
+            ends = pdf[pdf["status"].isin(terminal)].sort_values(["us", "event_id"]).head(1)
+            end = (int(ends["us"].iloc[0]), int(ends["event_id"].iloc[0]), ends["status"].iloc[0]) if len(ends) else None
+            if self.job.exists():
+                held = self.job.get()
+                started, last = min(started, held[0]), max(last, held[5])
+                if held[4]:
+                    started, end = held[0], tuple(held[1:4])
+                elif held[1] is not None:
+                    end = min(end, tuple(held[1:4])) if end else tuple(held[1:4])
+                done = held[4]
+            else:
+                done = False
+            job = (started, *(end or (None, None, None)), done, last)
+            self.job.update(job)
+            self.wait(job)
+            yield pd.DataFrame([], columns=columns)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
             import pandas as pd
 
             out = []
-            if self.job.exists() and not self.job.get()[1]:
-                held = self.job.get()
-                out.append(self._row(key, held, "stalled", None, None))
-                self.job.update((held[0], True))
-            yield pd.DataFrame(out, columns=columns)
-
-        def _row(self, key, held, outcome, finished_at, status):
-            import pandas as pd
-
-            return (key[0], pd.Timestamp(held[0] * 1000), outcome, finished_at, status)
+            if self.job.exists():
+                started, at, tie, status, done, last = self.job.get()
+                passed = timerValues.getCurrentWatermarkInMs() * 1000
+                if done and last + forget <= passed:
+                    self.job.clear()
+                elif not done:
+                    in_time = at is not None and at - started < limit
+                    if in_time and at <= passed:
+                        out.append((key[0], started, "success" if status == success else "failure", at, status))
+                    elif not in_time and started + limit <= passed:
+                        out.append((key[0], started, "stalled", None, None))
+                    if out and last + forget <= passed:
+                        self.job.clear()
+                    else:
+                        job = (started, at, tie, status, bool(out), last)
+                        self.job.update(job)
+                        self.wait(job)
+            frame = pd.DataFrame(out, columns=columns)
+            yield frame.astype({"started_us": "Int64", "finished_us": "Int64"})
 
         def close(self) -> None:
             pass
 
-    return (
-        timeline.withWatermark("ts", delay)
-        .groupBy("job_id")
-        .transformWithStateInPandas(JobState(), OUTCOME_SCHEMA, "Append", "EventTime")
+    rows = timeline.withWatermark("ts", delay).select("job_id", "ts", F.col("event_id").cast("bigint").alias("event_id"), "status", F.unix_micros("ts").alias("us"))
+    found = rows.groupBy("job_id").transformWithStateInPandas(JobState(), OUTCOME_SCHEMA, "Append", "EventTime")
+    return found.select(
+        "job_id", F.timestamp_micros("started_us").alias("started_at"), "outcome", F.timestamp_micros("finished_us").alias("finished_at"), "status"
     )

@@ -57,58 +57,86 @@ def live(log: DataFrame, as_of: Column, ttl_seconds: int = rules.CACHE_TTL_SECON
     )
 
 
-READ_SCHEMA = "key STRING, at TIMESTAMP, seq BIGINT, value STRING"
+def stats(log: DataFrame, as_of: Column, ttl_seconds: int = rules.CACHE_TTL_SECONDS) -> DataFrame:
+    """One row: keys ever written and not deleted last, and those still valid at as_of (batch)."""
+    keys = log.where(F.col("op") != "get").groupBy("key").agg(F.max_by("op", F.struct("at", "seq")).alias("op"))
+    held = keys.agg(F.count_if(F.col("op") == "set").alias("held"))
+    return held.crossJoin(F.broadcast(live(log, as_of, ttl_seconds).agg(F.count(F.lit(1)).alias("valid"))))  # one row each
+
+
+def cleared(log: DataFrame, at: Column, seq: Column) -> DataFrame:
+    """Rows to append to the log that delete every key it holds."""
+    keys = log.where(F.col("op") == "set").select("key").distinct()
+    return keys.select("key", at.alias("at"), seq.alias("seq"), F.lit("delete").alias("op"), F.lit(None).cast("string").alias("value"))
+
+
+READ_SCHEMA = "key STRING, at_us BIGINT, seq BIGINT, value STRING"
 
 
 def read_stream(log: DataFrame, ttl_seconds: int = rules.CACHE_TTL_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """Streaming twin of reads: one state entry per key, dropped when it expires.
+    """Streaming twin of reads, also for rows that come late: key, at, seq, value.
 
-    Rows of a micro-batch are applied in (at, seq) order; rows older than the
-    watermark are dropped by Spark. Needs the RocksDB state store.
+    Rows wait until the watermark has passed them and are then applied in (at,
+    seq) order, so a read sees what the batch form sees. A key holds its waiting
+    rows and one value, which goes when its time to live is over. Rows older than
+    the watermark are dropped by Spark. Needs the RocksDB state store.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    ttl = ttl_seconds * 1_000_000
+    columns = ["key", "at_us", "seq", "value"]
+
     class TtlState(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.entry = handle.getValueState("entry", "at_micros BIGINT, value STRING")
+            self.waiting = handle.getListState("waiting", "at BIGINT, seq BIGINT, op STRING, value STRING")
+            self.entry = handle.getValueState("entry", "at BIGINT, value STRING")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator:
             import pandas as pd
 
-            pdf = pd.concat(list(rows)).sort_values(["at", "seq"])
-            held = self.entry.get() if self.entry.exists() else None
-            out = []
-            for row in pdf.itertuples(index=False):
-                at = row.at.value // 1000
-                if row.op == "set":
-                    held = (at, row.value)
-                elif row.op == "delete":
-                    held = None
-                else:
-                    hit = held is not None and at - held[0] <= ttl_seconds * 1_000_000
-                    out.append((key[0], row.at, row.seq, held[1] if hit else None))
-            if held is None:
-                self.entry.clear()
-            else:
-                self.entry.update(tuple(held))
-                self.handle.registerTimer(held[0] // 1000 + ttl_seconds * 1000 + 1)
-            yield pd.DataFrame(out, columns=["key", "at", "seq", "value"])
+            first = None
+            for pdf in rows:
+                self.waiting.appendList(list(pdf[["at_us", "seq", "op", "value"]].itertuples(index=False, name=None)))
+                least = int(pdf["at_us"].min())
+                first = least if first is None else min(first, least)
+            self.handle.registerTimer(first // 1000 + 1)
+            yield pd.DataFrame([], columns=columns)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+            import numpy as np
             import pandas as pd
 
-            if self.entry.exists():
-                held = self.entry.get()
-                if held[0] // 1000 + ttl_seconds * 1000 < expiredTimerInfo.getExpiryTimeInMs():
-                    self.entry.clear()
-            yield pd.DataFrame([], columns=["key", "at", "seq", "value"])
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            waiting = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["at", "seq", "op", "value"])
+            ready = waiting[waiting["at"] <= passed].sort_values(["at", "seq"])
+            rest = waiting[waiting["at"] > passed]
+            if len(rest):
+                self.waiting.put(list(rest.itertuples(index=False, name=None)))
+                self.handle.registerTimer(int(rest["at"].min()) // 1000 + 1)
+            elif len(waiting):
+                self.waiting.clear()
+            held = self.entry.get() if self.entry.exists() else None
+            if held is not None:
+                ready = pd.concat([pd.DataFrame([(held[0], -1, "set", held[1])], columns=ready.columns), ready])
+            op, at = ready["op"].to_numpy(), ready["at"].to_numpy(np.int64)
+            value = ready["value"].to_numpy(object)
+            write, get = op != "get", op == "get"
+            last = np.maximum.accumulate(np.where(write, np.arange(len(op)), -1)) if len(op) else np.zeros(0, np.int64)
+            seen = last[get]
+            valid = (seen >= 0) & (op[seen] == "set") & (at[get] - at[seen] <= ttl) if len(seen) else np.zeros(0, bool)
+            out = pd.DataFrame({"key": key[0], "at_us": at[get], "seq": ready["seq"].to_numpy(np.int64)[get], "value": np.where(valid, value[seen] if len(seen) else None, None)}, columns=columns)
+            now = int(last[-1]) if len(last) else -1
+            if now >= 0 and op[now] == "set" and at[now] + ttl >= passed:
+                self.entry.update((int(at[now]), value[now]))
+                self.handle.registerTimer(int(at[now] + ttl) // 1000 + 1)
+            elif held is not None:
+                self.entry.clear()
+            yield out
 
         def close(self) -> None:
             pass
 
-    return (
-        log.withWatermark("at", delay)
-        .groupBy("key")
-        .transformWithStateInPandas(TtlState(), READ_SCHEMA, "Append", "EventTime")
-    )
+    rows = log.withWatermark("at", delay).select("key", "at", "seq", "op", "value", F.unix_micros("at").alias("at_us"))
+    found = rows.groupBy("key").transformWithStateInPandas(TtlState(), READ_SCHEMA, "Append", "EventTime")
+    return found.select("key", F.timestamp_micros("at_us").alias("at"), "seq", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +11,19 @@ from pyspark.sql import functions as F
 from titleloom.operators.rank import keyed_upsert
 
 
-
 def upsert_stream(rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], arrival: Sequence[str]):
-    """Writer of a stream of listings: one delta folder per micro-batch.
+    """Writer of a stream of listings: one delta folder per stream and micro-batch.
 
-    Each batch is reduced to one row per key and written under its batch id
-    with overwrite, so a batch that runs again after a failure replaces itself.
-    No batch reads or rewrites the table; readers resolve versions (current)
-    and compact() folds the deltas now and then.
+    Each batch is reduced to one row per key and written under the id of its
+    stream (kept in the checkpoint) and its batch id with overwrite, so a batch
+    that runs again replaces itself, and a stream with a new checkpoint adds to
+    the table and replaces nothing. No batch reads or rewrites the table; readers
+    resolve versions (current) and compact() folds the deltas now and then.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        keyed_upsert(batch, keys, arrival).write.mode("overwrite").parquet(f"{path}/delta={batch_id}")
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        keyed_upsert(batch, keys, arrival).write.mode("overwrite").parquet(f"{path}/delta={stream}-{batch_id}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -45,6 +47,20 @@ def merge(stored: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> Dat
     )
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], arrival: Sequence[str]) -> None:
-    """Write the current state as a single delta under target (runs the write)."""
-    current(spark, path, keys, arrival).write.mode("overwrite").parquet(f"{target}/delta=0")
+def compact(spark: SparkSession, path: str, keys: Sequence[str], arrival: Sequence[str]) -> None:
+    """Fold the deltas of the table into one and drop them (runs the write).
+
+    Merging a row twice changes nothing, so the table reads the same before,
+    between and after the write and the drops, and a run that died halfway is
+    put right by the next. Run it while no reader is open on the table.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("delta=")]
+    if not old:
+        return
+    stored = spark.read.option("basePath", path).parquet(*[p.toString() for p in old]).drop("delta")
+    merge(stored, keys, arrival).write.parquet(f"{path}/delta=folded-{uuid.uuid4().hex}")
+    for delta in old:
+        files.delete(delta, True)

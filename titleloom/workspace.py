@@ -11,11 +11,13 @@ from pyspark.sql import SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder is made and
-    set for the session.
+    Only where that is unset and all tasks run in this process, as in local
+    tests, a temporary folder is made and set for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="titleloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
