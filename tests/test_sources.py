@@ -19,6 +19,16 @@ def test_read_catalogue_splits_and_defaults(spark, tmp_path):
     assert sorted(r["first_failure"] for r in bad.collect()) == ["link_format", "missing:seeds"]
 
 
+def test_broken_documents_are_quarantined(spark, tmp_path):
+    good = json.dumps({"version": "1", "magnets": [{"imdbId": "tt1:1:1", "title": "A", "magnet": "magnet:?a", "quality": "4K", "seeds": 3}]})
+    (tmp_path / "a.json").write_text(good)
+    (tmp_path / "b.json").write_text(good[:40])
+    (tmp_path / "c.json").write_text("")
+    ok, bad = catalogue.read_catalogue(spark, str(tmp_path), F.lit("2024-01-01 00:00:00"))
+    assert ok.count() == 1
+    assert [(r["title"], r["first_failure"].split("_")[0], list(r["failures"])[0]) for r in bad.collect()] == [(None, "document", bad.first()["first_failure"])]
+
+
 def test_append_and_load(spark, tmp_path):
     path = str(tmp_path / "c")
     one = spark.createDataFrame([("tt1:1:1", "l", 1, "old", "series")], "work_id STRING, link STRING, at INT, title STRING, type STRING")
@@ -37,8 +47,8 @@ def test_search_payload(spark):
         ("A 1080p", 65, 0, "2 GB", 2024), ("A 1080p", 9, 0, "Size not specified", 2020),
     ]
     many = spark.createDataFrame([(json.dumps({"results": [result] * 30}), "p", None)], "j STRING, provider STRING, base INT")
-    assert payloads.from_search_payload(many, "j", F.lit("2020-01-01")).count() == 20
-    assert payloads.from_search_payload(many, "j", F.lit("2020-01-01"), cap=None).count() == 30
+    assert payloads.from_search_payload(many, "j", F.lit("2020-01-01")).count() == 30
+    assert payloads.from_search_payload(many, "j", F.lit("2020-01-01"), cap=20).count() == 20
 
 
 def test_post_payload(spark):
@@ -76,6 +86,18 @@ def test_extract_items(spark):
     assert got == [(1, 0, "Title one", "/1"), (1, 2, "Third <x>", None)]
 
 
+def test_items_with_navigation_before_them(spark):
+    html = '<nav><a href="/nav">home</a></nav><h2>no</h2><li><b>Title one 2 GB 4k</b><a href="/1"></li><li><b> abc </b><a href="/2"></li><li><a href="/3"><b>Title two</b></li>'
+    df = spark.createDataFrame([(1, "http://a.com/p", html)], "page_id INT, url STRING, html STRING")
+    rules = [{"tld": "com", "priority": 1, "item_regex": "<li>(.*?)</li>", "title_regex": "<b>(.*?)</b>", "link_regex": 'href="([^"]+)"'}]
+    items = pages.extract_items(df, rules)
+    assert sorted((r["position"], r["title"], r["link"]) for r in items.collect()) == [(0, "Title one 2 GB 4k", "/1"), (2, "Title two", "/3")]
+    rows = payloads.from_items(items.selectExpr("*", "'p' AS provider", "60 AS base"), F.lit("2024-01-01"))
+    assert sorted((r["source_row"], r["tier"], r["seeders"], r["size_text"], r["link"]) for r in rows.collect()) == [
+        ("1-0", "2160p", 90, "2 GB", "/1"), ("1-2", "HD", 66, "Size not specified", "/3"),
+    ]
+
+
 def test_gather(spark):
     a = spark.createDataFrame([("t", "l")], "title STRING, link STRING")
     out = payloads.gather(a, None, payloads.empty_listings(spark), a.drop("link"))

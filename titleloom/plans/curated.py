@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from titleloom import rules
 from titleloom.functions import attributes as A
 from titleloom.operators import quality, rank
 from titleloom.operators.link import id_then_title
@@ -21,6 +22,14 @@ def curate(listings: DataFrame, link_prefix: str, arrival: list[str]) -> DataFra
     return rank.keyed_upsert(kept, ["work_id", "link"], arrival)
 
 
+def search_places(requests: DataFrame, catalogue: DataFrame, key: str = "row_key", collation: str = "UNICODE") -> DataFrame:
+    """All hits with their place in catalogue order within the request; titles are compared in the collation."""
+    hits = id_then_title(requests, catalogue, "work_id", "raw_title")
+    hits = hits.withColumn("_tier", -A.table_value(F.col("tier"), rules.CURATED_TIER_SCORE, 0)).withColumn("_seeds", -F.col("seeders"))
+    tie = [F.collate(F.col("raw_title"), collation), F.col(key)]
+    return rank.positions_within(hits, ["request_id"], ["_tier", "_seeds"], tie, "place").drop("_tier", "_seeds")
+
+
 def search(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """All hits, sorted by request and catalogue order (one range-partitioned sort)."""
     hits = id_then_title(requests, catalogue, "work_id", "raw_title")

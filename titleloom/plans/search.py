@@ -10,6 +10,7 @@ from titleloom.functions import attributes as A
 from titleloom.functions import text as X
 from titleloom.operators import rank, stats
 from titleloom.operators.link import link_titles, query_words, titles_with_word
+from titleloom.workspace import new_folder
 
 
 def searchable(listings: DataFrame) -> DataFrame:
@@ -27,6 +28,17 @@ def searchable(listings: DataFrame) -> DataFrame:
     )
 
 
+def searchable_sources(gathered: DataFrame) -> DataFrame:
+    """The same columns from gathered listings of sources (schemas.SCORED_LISTING).
+
+    The key is the source's row, or link and title where it has none.
+    """
+    key = F.coalesce("source_row", F.concat_ws("|", "link", "title"))
+    return gathered.select(
+        F.concat_ws("|", "provider", key).alias("row_key"), "link", F.coalesce("title", F.lit("")).alias("title"), "tier", "seeders", "size_bytes"
+    )
+
+
 def title_leaders(listings: DataFrame, k: int = rules.TOP_PER_TIER) -> DataFrame:
     """(title, leaders): the k best listings per (title, tier), whatever the query.
 
@@ -74,15 +86,22 @@ def any_word_search(queries: DataFrame, listings: DataFrame, k: int = rules.SOUR
 
 
 def report(queries: DataFrame, listings: DataFrame, repeated: str) -> DataFrame:
-    """Search report per query; listings are counted per title and tier first."""
+    """Search report per query; listings are counted per title and tier first.
+
+    The pairs are linked once and written to the shared folder (runs a write),
+    as both the counts and the best listings are made from them.
+    """
     tiers = [f"tier_{t.lower()}" for t in rules.SEARCH_TIERS]
     counts = listings.groupBy("title").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col("tier") == t).alias(c) for t, c in zip(rules.SEARCH_TIERS, tiers)],
     )
     titles = counts.drop("n").join(title_leaders(listings), "title")
-    pairs = link_titles(queries, titles, keep=["leaders", *tiers])
+    linked = link_titles(queries, titles, keep=["leaders", *tiers])
+    path = new_folder(queries.sparkSession, "pairs")
+    linked.write.parquet(path)
+    pairs = queries.sparkSession.read.schema(linked.schema).parquet(path)
     best = score_and_rank(pairs, rules.TOP_PER_TIER)
-    # the grand total comes from the per-title counts, not from another scan
+    # the grand total comes from the per-title counts
     total = counts.agg(F.sum("n").alias("total"))
     return stats.search_report(pairs, tiers, best, total, F.contains(F.col("link"), F.lit(repeated)))

@@ -167,3 +167,21 @@ def w9(spark, sf):
     order = [F.col("seeders").desc_nulls_first(), F.col("row_key").asc()]
     rows = table(spark, sf, "v_listing").select("provider", "row_key", "seeders")
     return rank.top_k(rows, ["provider"], order, rules.LOOKUP_LIMIT)
+
+
+@query(
+    "e3_curated_search",
+    f"""WITH c AS (SELECT {_BASE} AS work_id, link, row_key, raw_title, {S.curated_tier('raw_title')} AS tier, seeders, arrived_at FROM v_listing),
+v AS (SELECT work_id, link, max_by(struct_pack(k := row_key, t := raw_title, q := tier, s := seeders), struct_pack(a := arrived_at, k := row_key)) AS r FROM c WHERE tier IN ('4K','1080p','720p','SD') AND coalesce(seeders,0)>0 GROUP BY work_id, link),
+g AS (SELECT work_id, r.k AS row_key, r.t AS raw_title, r.q AS tier, r.s AS seeders FROM v),
+hit AS (SELECT DISTINCT request_id FROM v_request r JOIN g ON r.work_id=g.work_id),
+every AS (SELECT request_id, g.*, 'id' AS via FROM v_request r JOIN g ON r.work_id=g.work_id
+ UNION ALL SELECT request_id, g.*, 'title' AS via FROM (SELECT * FROM v_request WHERE request_id NOT IN (SELECT request_id FROM hit)) r JOIN g ON contains(lower(raw_title), lower(wanted)))
+SELECT request_id, row_key, via, row_number() OVER (PARTITION BY request_id ORDER BY CASE tier WHEN '4K' THEN 4 WHEN '1080p' THEN 3 WHEN '720p' THEN 2 ELSE 1 END DESC, seeders DESC, raw_title, row_key) AS place FROM every""",
+)
+def e3(spark, sf):
+    """The curated catalogue searched by id, then by title, each request's hits in catalogue order."""
+    listings = table(spark, sf, "v_listing").select("composite_id", "raw_title", "link", "seeders", "row_key", "arrived_at")
+    catalogue = curated.curate(listings, "cat:?", ["arrived_at", "row_key"])
+    found = curated.search_places(table(spark, sf, "v_request"), catalogue, collation="UTF8_BINARY")
+    return found.select("request_id", "row_key", "via", "place")

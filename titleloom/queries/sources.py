@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from titleloom import schemas
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
+from titleloom.plans import search
 from titleloom.queries import sqltext as S
 from titleloom.queries.base import query, table
 from titleloom.queries.columns import LINK_PATTERN
@@ -66,6 +67,23 @@ def s1_events(spark, sf):
     return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), parsed["k"].isNotNull().alias("is_good"))
 
 
+@query(
+    "s1_catalogue_files",
+    f"""WITH x AS (SELECT composite_id, raw_title, seeders-5 AS seeds, size_text, {S.curated_tier('raw_title')} AS tier FROM v_listing)
+SELECT composite_id AS work_id, raw_title AS title, CASE WHEN coalesce(seeds,0)=0 THEN 'missing:seeds' WHEN tier NOT IN ('4K','1080p','720p','SD') THEN 'tier' WHEN seeds<0 THEN 'negative_seeds' ELSE 'good' END AS outcome FROM x WHERE size_text IS NOT NULL
+UNION ALL SELECT NULL, NULL, 'document' FROM x WHERE size_text IS NULL""",
+)
+def s1_files(spark, sf):
+    """Documents written as files, those without a size cut short; read as good and quarantined rows."""
+    path = new_folder(spark, "documents")
+    whole = catalogue_documents(spark, sf)
+    cut = F.when(F.contains("document", F.lit('"size":')), F.col("document")).otherwise(F.substring("document", 1, 30))
+    whole.select(cut).write.text(path)
+    good, bad = catalogue.read_catalogue(spark, path, as_of(), "cat:?", multi_line=False)
+    every = good.withColumn("first_failure", F.lit("good")).unionByName(bad.drop("failures"), allowMissingColumns=True)
+    return every.select(F.col("imdbId").alias("work_id"), "title", F.col("first_failure").alias("outcome"))
+
+
 @query("s2_append_catalogue", _upsert_sql("work_id, link"))
 def s2(spark, sf):
     """Append in two writes, read back, resolve duplicates: the same as W2 on all rows."""
@@ -165,6 +183,24 @@ def s5(spark, sf):
     return pages.extract_items(table(spark, sf, "pages"), SITE_RULES)
 
 
+ITEM_RULES = (
+    {"tld": "com", "priority": 3, "item_regex": "<li>(.*?)</li>", "title_regex": "<a[^>]*>(.*?)</a>", "link_regex": 'href="([^"]+)"'},
+    {"tld": "net", "priority": 2, "item_regex": "<article>(.*?)</article>", "title_regex": "<h1>(.*?)</h1>", "link_regex": 'href="([^"]+)"'},
+    {"tld": "org", "priority": 4, "item_regex": "<li>(.*?)</li>", "title_regex": "<a[^>]*>(.*?)</a>", "link_regex": 'href="([^"]+)"'},
+)
+_ITEMS = f"""p AS (SELECT page_id, html, regexp_extract(url, '^[a-z]+://[^/?#]*\\.([a-z]+)', 1) AS tld FROM pages),
+m AS (SELECT page_id, tld, CASE tld WHEN 'net' THEN 2 WHEN 'com' THEN 3 ELSE 4 END AS priority, CASE tld WHEN 'net' THEN regexp_extract_all(html,'(?s)<article>(.*?)</article>',1) ELSE regexp_extract_all(html,'(?s)<li>(.*?)</li>',1) END AS items FROM p WHERE tld IN ('com','net','org')),
+e AS (SELECT page_id, tld, priority, unnest(items) AS t, generate_subscripts(items,1) AS i FROM m),
+f AS (SELECT page_id, tld, priority, i, CASE tld WHEN 'net' THEN regexp_extract(t,'(?s)<h1>(.*?)</h1>',1) ELSE regexp_extract(t,'(?s)<a[^>]*>(.*?)</a>',1) END AS raw, nullif(regexp_extract(t,'{LINK_PATTERN}',1),'') AS link FROM e),
+items AS (SELECT page_id, tld, priority, CAST(i-1 AS INT) AS position, {_plain_sql('raw')} AS title, link FROM f WHERE length({_plain_sql('raw')})>=5)"""
+
+
+@query("s5_items_inside", f"WITH {_ITEMS} SELECT * FROM items")
+def s5_inside(spark, sf):
+    """Navigation links are items of their own or lie outside the item: they shift nothing."""
+    return pages.extract_items(table(spark, sf, "pages"), ITEM_RULES)
+
+
 _PAGE_TITLE = S.collapsed(
     r"regexp_replace(regexp_replace(" + _plain_sql("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)") + r", '- IMDb$', ''), '\(\d{4}\)', '')"
 )
@@ -218,3 +254,25 @@ def s9(spark, sf):
         F.date_format("uploaded_at", "yyyy-MM-dd HH:mm:ss").alias("uploaded_at"), F.col("seeders").cast("int").alias("seeders"),
         F.array_join("languages", ",").alias("languages"), "tier",
     )
+
+
+_GATHERED = f"""{_ITEMS},
+g AS (SELECT concat(provider,'|',source_row) AS row_key, link, title, tier, seeders, size_bytes FROM (SELECT {_MAPPED} FROM (SELECT *, {S.tier('raw_title')} AS tier FROM v_listing WHERE seeders IS NOT NULL OR contains(raw_title,'Dual')) l LEFT JOIN v_source_base USING (provider)) a
+UNION ALL SELECT concat(provider,'|',link,'|',{S.cleaned('raw_title')}), link, {S.cleaned('raw_title')}, tier, CAST(round(coalesce(base,30)*{S.multiplier('tier')}) AS BIGINT), {S.size_bytes('size_text')}
+ FROM (SELECT *, {S.tier('raw_title')} AS tier FROM v_listing WHERE length(raw_title)>=5) l LEFT JOIN v_source_base USING (provider)
+UNION ALL SELECT concat(tld,'|',page_id,'-',position), link, {S.cleaned('title')}, tier, CAST(round(30*{S.multiplier('tier')}) AS BIGINT), {S.size_bytes('NULL')} FROM (SELECT *, {S.tier('title')} AS tier FROM items) i)"""
+
+
+@query(
+    "e2_search",
+    f"""WITH {_GATHERED}, {S.search_tables('SELECT query_id, title FROM v_query', 'SELECT DISTINCT title FROM g')},
+scored AS (SELECT query_id, row_key, g.title, tier, seeders, size_bytes, match_type, confidence, {S.score('tier', 'confidence', 'g.title', 'seeders')} AS relevance_score FROM linked JOIN g USING (title))
+SELECT query_id, tier, rank, title, match_type, round(confidence,6) AS confidence, relevance_score, seeders FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, tier ORDER BY confidence DESC, relevance_score DESC, seeders DESC, size_bytes DESC, row_key) AS INT) AS rank FROM scored) x WHERE rank<=3""",
+)
+def e2(spark, sf):
+    """Search payloads, posts and page items, gathered, linked, scored; the best three per query and tier."""
+    searched = payloads.from_search_payload(search_payloads(spark, sf), "payload", as_of())
+    items = pages.extract_items(table(spark, sf, "pages"), ITEM_RULES).withColumns({"provider": F.col("tld"), "base": F.lit(None).cast("int")})
+    gathered = payloads.gather(searched, posts(spark, sf), payloads.from_items(items, as_of()))
+    best = search.best_matches(table(spark, sf, "v_query"), search.searchable_sources(gathered))
+    return best.select("query_id", "tier", "rank", "title", "match_type", F.round("confidence", 6).alias("confidence"), "relevance_score", "seeders")

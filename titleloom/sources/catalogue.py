@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titleloom import schemas
 from titleloom.functions import attributes as A
@@ -33,11 +34,19 @@ def read_catalogue(
 
     With multi_line a document is one file, which is then the unit of
     parallelism; without it files hold one document per line and split freely.
-    Documents without the array contribute nothing.
+    Documents without the array contribute nothing. A document that does not
+    parse gives one quarantined row without an entry, and no good ones: its
+    failure is "document", or "document_part" where some of it could be read.
     """
-    documents = spark.read.schema(schemas.CATALOGUE).option("multiLine", multi_line).json(path)
-    gated = curated_gate(entries_of(documents, "magnets", as_of), link_prefix)
-    return quality.good(gated), quality.quarantine(gated)
+    broken = "_broken"
+    schema = T.StructType([*schemas.CATALOGUE.fields, T.StructField(broken, T.StringType())])
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", broken).option("multiLine", multi_line)
+    documents = read.json(path)
+    gated = curated_gate(entries_of(documents.where(F.col(broken).isNull()), "magnets", as_of), link_prefix)
+    failure = F.when(F.size("magnets") > 0, "document_part").otherwise("document")
+    lost = documents.where(F.col(broken).isNotNull()).select(failure.alias("first_failure"))
+    lost = lost.withColumn("failures", F.array("first_failure"))
+    return quality.good(gated), quality.quarantine(gated).unionByName(lost, allowMissingColumns=True)
 
 
 def append_catalogue(df: DataFrame, path: str, partition_by: str | None = "type") -> None:

@@ -69,20 +69,32 @@ def _paired(titles: Column, urls: Column) -> Column:
     return F.transform(titles, lambda t, i: F.struct(t.alias("title"), F.get(urls, i).alias("link")))
 
 
+def _inside(items: Column, rule: dict) -> Column:
+    def first(item: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(item, "(?s)" + pattern, 1), F.lit(""))
+
+    return F.transform(items, lambda i: F.struct(first(i, rule["title_regex"]).alias("title"), first(i, rule["link_regex"]).alias("link")))
+
+
 def extract_items(pages: DataFrame, site_rules: Sequence[dict], min_length: int = rules.MIN_TITLE_LENGTH) -> DataFrame:
     """Items of pages by site rule: page_id, tld, priority, position, title, link.
 
     site_rules: tld, priority, title_regex, link_regex. They are a handful of
     settings, so they become CASE branches and patterns stay constant (a
-    pattern column would be compiled again for every row). Item i pairs title i
-    with link i; a title below min_length drops the item.
+    pattern column would be compiled again for every row). With item_regex the
+    items are its matches, and title and link are looked for inside each, so
+    links elsewhere on the page never shift them. Without it item i pairs the
+    page's title i with its link i. A title below min_length drops the item.
     """
     tld = F.regexp_extract(page_host(F.col("url")), r"\.([a-z]+)\z", 1)
     found = None
     for rule in site_rules:
-        titles = F.regexp_extract_all("html", F.lit("(?s)" + rule["title_regex"]), 1)
-        urls = F.regexp_extract_all("html", F.lit("(?s)" + rule["link_regex"]), 1)
-        items = _paired(titles, urls)
+        if "item_regex" in rule:
+            items = _inside(F.regexp_extract_all("html", F.lit("(?s)" + rule["item_regex"]), 1), rule)
+        else:
+            titles = F.regexp_extract_all("html", F.lit("(?s)" + rule["title_regex"]), 1)
+            urls = F.regexp_extract_all("html", F.lit("(?s)" + rule["link_regex"]), 1)
+            items = _paired(titles, urls)
         branch = F.struct(F.lit(rule["priority"]).alias("priority"), items.alias("items"))
         hit = tld == rule["tld"]
         found = F.when(hit, branch) if found is None else found.when(hit, branch)

@@ -98,6 +98,22 @@ def from_post_payload(
     )
 
 
+def from_items(
+    df: DataFrame, as_of: Column, provider: str = "provider", kind: Column | None = None
+) -> DataFrame:
+    """Listings of items read from pages (pages.extract_items), with provider and its base in `base`.
+
+    A page tells no seeders: they are estimated; the size is looked for in the title.
+    """
+    title = F.col("title")
+    return df.select(
+        *_listing(
+            F.concat_ws("-", "page_id", "position"), title, F.col("link"), F.lit(None).cast("bigint"), F.lit(0),
+            A.size_text_in_content(title), F.col(provider), F.lit("movie") if kind is None else kind, as_of.cast("timestamp"),
+        )
+    )
+
+
 def empty_listings(spark) -> DataFrame:
     return spark.createDataFrame([], schemas.SCORED_LISTING)
 
