@@ -117,7 +117,30 @@ def scan(
     return spans.groupBy(*doc).agg(F.array_sort(F.collect_list(good)).alias("spans")).drop("rid")
 
 
-@query("op2_license_scan")
+def _oracle() -> str:
+    """The same scan over word lists; ids are unique in documents."""
+    rows = []
+    for number, (text, label, base) in enumerate([*((t, label, True) for t, label in BASE), *((t, label, False) for t, label in NOTICES)]):
+        words = _template_words(text)
+        k = min(K, len(words))
+        for at in range(len(words) - k + 1):
+            gram = [f"'{w}'" for w in words[at : at + k]] + ["NULL"] * (K - k)
+            rows.append(f"({number}, '{label}', {base}, {len(words)}, {k}, {at}, {', '.join(gram)})")
+    return f"""WITH t(template, label, base, m, k, tpos, w1, w2, w3) AS (VALUES {', '.join(rows)}),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w1, generate_subscripts(w, 1) AS i, w FROM d),
+hits AS (SELECT doc_id, template, label, base, m, k, i - 1 AS pos, tpos, i - 1 - tpos AS diagonal FROM p JOIN t ON p.w1 = t.w1 AND p.w[i + 1] = t.w2 AND (t.k = 2 OR p.w[i + 2] = t.w3)),
+g AS (SELECT DISTINCT doc_id, template, m, diagonal FROM hits),
+f AS (SELECT *, CASE WHEN lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > m / 4 THEN 1 ELSE 0 END AS first FROM g WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+s AS (SELECT *, sum(first) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM f),
+u AS (SELECT h.doc_id, h.template, label, base, h.m, k, span, pos, tpos, unnest(range(k)) AS j FROM hits h JOIN s ON h.doc_id = s.doc_id AND h.template = s.template AND h.diagonal = s.diagonal),
+v AS (SELECT doc_id, label, base, min(pos) AS start, least(count(DISTINCT tpos + j) / m, count(DISTINCT pos + j) / (max(pos) + k - min(pos))) AS covered FROM u GROUP BY doc_id, template, label, base, m, k, span),
+z AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM v WHERE covered >= {COVERAGE} GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN z USING (doc_id)"""
+
+
+@query("op2_license_scan", _oracle())
 def op2_license_scan(spark, sf_dir):
     base = F.filter("spans", lambda s: s.base)
     joined = lambda spans: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(spans, lambda s: s.label))))
