@@ -183,6 +183,17 @@ def t15(spark, sf):
     )
 
 
+@query(
+    "t15_name_tier",
+    f"""SELECT row_key, name, {S.curated_tier('name')} AS tier FROM (SELECT row_key, trim(regexp_replace(regexp_replace(raw_title, '[._+]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM v_listing) x""",
+)
+def t15_tier(spark, sf):
+    """Links whose dn carries the whole title, so that every tier occurs."""
+    link = F.concat(F.lit("cat:?id=1&dn="), F.replace("raw_title", F.lit(" "), F.lit("+")), F.lit("&n=1"))
+    name = A.display_name(link)
+    return table(spark, sf, "v_listing").select("row_key", name.alias("name"), A.curated_tier(name).alias("tier"))
+
+
 @query(
     "t15_page_url_attributes",
     r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,

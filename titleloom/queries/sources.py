@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from titleloom import schemas
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
+from titleloom.operators import lookup
 from titleloom.plans import search
 from titleloom.queries import sqltext as S
 from titleloom.queries.base import query, table
@@ -276,3 +277,22 @@ def e2(spark, sf):
     gathered = payloads.gather(searched, posts(spark, sf), payloads.from_items(items, as_of()))
     best = search.best_matches(table(spark, sf, "v_query"), search.searchable_sources(gathered))
     return best.select("query_id", "tier", "rank", "title", "match_type", F.round("confidence", 6).alias("confidence"), "relevance_score", "seeders")
+
+
+@query(
+    "s9_item_tables",
+    """SELECT 'item' AS kind, content_hash, CAST(season AS INT) AS item_index, path AS title, bytes AS size_bytes, work_id, true AS has_item FROM v_item
+UNION ALL SELECT 'attachment', content_hash, CAST(season AS INT), path, bytes, NULL, true FROM v_item WHERE path LIKE '%.txt'""",
+)
+def s9_items(spark, sf):
+    """Write items and attachments with their schemas, read them back, and check attachments against items."""
+    items_at, files_at = new_folder(spark, "items"), new_folder(spark, "attachments")
+    rows = table(spark, sf, "v_item")
+    catalogue.write_table(catalogue.item_table(rows), items_at, schemas.LISTING_ITEM)
+    catalogue.write_table(catalogue.attachment_table(rows), files_at, schemas.ITEM_ATTACHMENT)
+    items = catalogue.read_table(spark, items_at, schemas.LISTING_ITEM)
+    files = catalogue.read_table(spark, files_at, schemas.ITEM_ATTACHMENT)
+    lost = lookup.orphans(files, items, "item_id").select("item_id").distinct().withColumn("lost", F.lit(True))
+    checked = files.join(lost, "item_id", "left").withColumn("has_item", F.col("lost").isNull())
+    every = items.withColumns({"kind": F.lit("item"), "has_item": F.lit(True)}).unionByName(checked.withColumn("kind", F.lit("attachment")), allowMissingColumns=True)
+    return every.select("kind", "content_hash", "item_index", "title", "size_bytes", "work_id", "has_item")

@@ -72,6 +72,21 @@ def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def item_table(df: DataFrame) -> DataFrame:
+    """Shape items (see the v_item fixture) as the keyed item table."""
+    return df.select(
+        F.col("group_id").alias("item_id"), "content_hash", F.col("season").alias("item_index"), F.col("path").alias("title"),
+        F.col("bytes").alias("size_bytes"), "work_id", "season", "episode",
+        F.col("group_id").alias("alt_id"), F.col("episode").alias("alt_episode"),
+    )
+
+
+def attachment_table(df: DataFrame, suffix: str = ".txt") -> DataFrame:
+    """Shape the items that are no media as the keyed attachment table."""
+    files = item_table(df).where(F.endswith("title", F.lit(suffix)))
+    return files.select("content_hash", "item_index", "item_id", "title", "size_bytes")
+
+
 def listing_table(df: DataFrame) -> DataFrame:
     """Shape listings (see the v_listing fixture) as the keyed listing table."""
     return df.select(
