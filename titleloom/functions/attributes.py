@@ -292,11 +292,11 @@ def seeders_number(text: Column, default: int = rules.DEFAULT_SEEDERS) -> Column
 def title_bonus(title: Column) -> Column:
     """Part of the relevance score that depends on the title alone."""
     t = F.lower(title)
-    return (
-        F.when(_has_any(t, "dual", "dublado"), 25).otherwise(0)
-        + F.when(_has_any(t, "bluray", "web-dl"), 20).otherwise(0)
-        + F.when(t.rlike(r"s[0-9]+e[0-9]+"), 15).otherwise(0)
-    )
+    pattern, points = rules.TITLE_BONUS_PATTERN
+    bonus = F.when(t.rlike(pattern), points).otherwise(0)
+    for words, more in rules.TITLE_BONUS_WORDS:
+        bonus = bonus + F.when(_has_any(t, *words), more).otherwise(0)
+    return bonus
 
 
 def relevance_score(tier_col: Column, confidence: Column, title: Column, seeders: Column) -> Column:

@@ -110,19 +110,19 @@ def clean_page_title(c: Column, site_suffix: str = "IMDb") -> Column:
     """Drop the site suffix and the first "(dddd)", then collapse."""
     tail = alternation([site_suffix])
     c = F.regexp_replace(c, rf"- {tail}\z", "")
-    c = replace_first(c, r"\([0-9]{4}\)")
+    c = replace_first(c, rules.YEAR_IN_BRACKETS)
     return collapse_space(F.regexp_replace(narrow_space(c), rf"\s*-\s*{tail}\s*\z", ""))
 
 
 def clean_search_title(c: Column, words: Sequence[str] = rules.SEARCH_FORMAT_WORDS) -> Column:
     """Drop the first four digits and format words, separators to spaces."""
     c = F.regexp_replace(replace_first(c, "[0-9]{4}"), f"(?i){alternation(words)}", "")
-    return collapse_space(F.regexp_replace(c, "[._+-]", " "))
+    return collapse_space(F.regexp_replace(c, rules.TITLE_SEPARATORS, " "))
 
 
 def main_title(c: Column) -> Column:
     """Title without its season phrases."""
-    for pattern in (r"(?i)temporada\s*\d+", r"(?i)season\s*\d+", r"(?i)\s*\d+ª?\s*temp", r"(?i)s\d+"):
+    for pattern in rules.SEASON_PHRASES:
         c = F.regexp_replace(c, pattern, "")
     return collapse_space(c)
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from titleloom import rules
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
 from titleloom.plans.delivery import delivered
@@ -81,11 +82,11 @@ def t7(spark, sf):
 
 @query(
     "t8_language_evidence",
-    """SELECT doc_id, lang, regexp_matches(lower(text), '[áàâãéèêíïóôõöúüçñ]') AS has_accents,
- regexp_matches(lower(text), ' (?:o|a|os|as|do|da|dos|das|no|na|nos|nas|pelo|pela|pelos|pelas|um|uma|uns|umas|é|são|foi|foram) ') AS has_function_words,
+    f"""SELECT doc_id, lang, regexp_matches(lower(text), '[{rules.ACCENTED_LETTERS}]') AS has_accents,
+ regexp_matches(lower(text), ' (?:{'|'.join(rules.FUNCTION_WORDS)}) ') AS has_function_words,
  length(text)>3 AS is_long,
- (regexp_matches(lower(text), '[áàâãéèêíïóôõöúüçñ]') OR length(text)>3
-  OR regexp_matches(lower(text), ' (?:o|a|os|as|do|da|dos|das|no|na|nos|nas|pelo|pela|pelos|pelas|um|uma|uns|umas|é|são|foi|foram) ')) AS accepted
+ (regexp_matches(lower(text), '[{rules.ACCENTED_LETTERS}]') OR length(text)>3
+  OR regexp_matches(lower(text), ' (?:{'|'.join(rules.FUNCTION_WORDS)}) ')) AS accepted
 FROM documents""",
 )
 def t8(spark, sf):

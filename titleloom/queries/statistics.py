@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from titleloom import rules
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
 from titleloom.operators import quality, stats
@@ -107,8 +108,8 @@ def a8(spark, sf):
     return table(spark, sf, "pages").select("page_id", longest).where(F.col("link").isNotNull())
 
 
-_MEDIA = "regexp_matches(lower(path), '\\.(mp4|mkv|avi|mov|wmv|flv|webm|m4v|mpg|mpeg|3gp|ts|mts|m2ts|vob)$')"
-_BLOCKED = S.any_of("lower(path)", "promo", "1xbet", "bet", "propaganda", "publicidade", "advertisement", "sample", "trailer", "teaser", "preview", "torrentdosfilmes")
+_MEDIA = f"regexp_matches(lower(path), '\\.({'|'.join(rules.MEDIA_SUFFIXES)})$')"
+_BLOCKED = S.any_of("lower(path)", *rules.BLOCKED_FILE_KEYWORDS)
 
 
 @query(

@@ -31,6 +31,16 @@ FUNCTION_WORDS = (
     "um", "uma", "uns", "umas", "é", "são", "foi", "foram",
 )
 
+# phrases that a main title loses, in this order
+SEASON_PHRASES = (r"(?i)temporada\s*\d+", r"(?i)season\s*\d+", r"(?i)\s*\d+ª?\s*temp", r"(?i)s\d+")
+# what a page title loses: "(dddd)" once; separators of a search title
+YEAR_IN_BRACKETS = r"\([0-9]{4}\)"
+TITLE_SEPARATORS = "[._+-]"
+
+# (words or pattern, points) of the relevance score's title part
+TITLE_BONUS_WORDS = ((("dual", "dublado"), 25), (("bluray", "web-dl"), 20))
+TITLE_BONUS_PATTERN = (r"s[0-9]+e[0-9]+", 15)
+
 ACCENTED_LETTERS = "áàâãéèêíïóôõöúüçñ"
 
 # (keyword, language tag), first hit wins
