@@ -129,8 +129,23 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-@query("op10_line_dedup")
+# All windows of every text compared as text; ids are unique in documents.
+ORACLE = f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d WHERE text IS NOT NULL),
+n AS (SELECT doc_id, i, len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS words FROM x),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM n),
+r AS (SELECT a.doc_id, a.i AS s, min(b.i) + 1 AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= {RUN_WORDS} GROUP BY 1, 2
+ UNION SELECT b.doc_id, max(a.i), b.i + 1 FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= {RUN_WORDS} GROUP BY b.doc_id, b.i),
+q AS (SELECT doc_id, s, e, array_to_string(l[s : e - 1], chr(10)) AS run FROM r JOIN d USING (doc_id)),
+h AS (SELECT run, min(struct_pack(d := doc_id, s := s, e := e)) AS h FROM q GROUP BY run HAVING count(*) > 1),
+cut AS (SELECT doc_id, list(DISTINCT i) AS cut FROM (SELECT doc_id, unnest(range(s, e)) AS i FROM q JOIN h USING (run)
+ WHERE struct_pack(d := doc_id, s := s, e := e) > h AND NOT (doc_id = h.d AND s < h.e)) y GROUP BY doc_id)
+SELECT doc_id, CASE WHEN cut IS NULL THEN text ELSE coalesce(array_to_string(list_filter(l, lambda x, i: NOT list_contains(cut, i)), chr(10)), '') END AS text,
+ coalesce(len(cut), 0) AS lines_removed FROM d LEFT JOIN cut USING (doc_id)"""
+
+
+@query("op10_line_dedup", ORACLE)
 def op10_line_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     removed = F.aggregate("removed_runs", F.lit(0), lambda n, r: n + r.end - r.first)
-    return drop_repeated_runs(docs).select("doc_id", "text", removed.cast("long").alias("lines_removed"), "removed_runs")
+    return drop_repeated_runs(docs).select("doc_id", "text", removed.cast("long").alias("lines_removed"))
