@@ -238,9 +238,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("least"))
-        large = both.join(least, both["a"] == least["node"]).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        least = stored(least, "least")  # a table of its own: adaptive execution can then split a hot node's links
+        large = both.join(least, F.col("a") == F.col("node")).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = stored(large, "large")
         lower = large.groupBy("a").agg(F.min("b").alias("least")).withColumnRenamed("a", "node")
-        small = large.join(lower, large["a"] == lower["node"])
+        lower = stored(lower, "lower")
+        small = large.join(lower, F.col("a") == F.col("node"))
         small = small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
         edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
         after = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
