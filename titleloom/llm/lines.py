@@ -101,10 +101,12 @@ def repeated_runs(
     every = stored(rows.mapInArrow(per_partition, schema), "lines")
     places = every.select("gram", "id", "text_key", "at").distinct()
     shared = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # tables of their own and merge joins, so that adaptive execution can split hot keys at every size
+    shared = stored(shared, "grams").hint("merge")
     candidates = every.join(shared, "gram", "left_semi")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "first", "end")
     heads = candidates.groupBy("run").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("run", "head")
-    later = candidates.join(heads, "run").where(place > F.col("head"))
+    later = candidates.join(stored(heads, "heads").hint("merge"), "run").where(place > F.col("head"))
     overlaps = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_key") == F.col("head.text_key")) & (F.col("first") < F.col("head.end"))
     later = later.where(~overlaps).select("id", "text_key", "first", "end")
     reach = F.expr("max(end) OVER (PARTITION BY id, text_key ORDER BY first, end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
