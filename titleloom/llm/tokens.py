@@ -13,7 +13,7 @@ import tiktoken
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Two neighbouring white space characters: the pieces on both sides depend on each other.
 RUNS = re.compile(r"\s\s")
-MEMO_WORDS = 200_000
+MEMO_WORDS = 350_000
 MEMO_LENGTH = 48
 WIDTH = 4  # bytes of an id
 
