@@ -111,19 +111,21 @@ def identify(docs: DataFrame, models: dict[str, tuple[bytes, int]], text_col: st
     """The `keep` columns (all) with prediction, score and rejection, which replace columns of these names."""
     added = list(zip(names_added, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))
     names = [c for c in (docs.columns if keep is None else keep) if c not in dict(added)]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, t) for n, t in added]])
+    at = names.index(text_col) if text_col in names else len(names)  # the text goes to the workers once
+    sent = names if at < len(names) else [*names, text_col]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)])
+    schema = T.StructType([*rows.schema.fields[: len(names)], *[T.StructField(n, t) for n, t in added]])
     arrow = to_arrow_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by languages x bytes_per_language
 
     def per_partition(batches):
         coder = coder_of(shared.value)
         for b in batches:
-            texts = b.column(len(names))
+            texts = b.column(at)
             for start, end in pieces_of(texts):
                 found = [coder.predict(t.as_py()) for t in texts[start:end]]
                 part = b.slice(start, end - start)
-                yield batch(arrow, [*part.columns[:-1], [f[0] for f in found], [f[1] for f in found], [f[0] == UNKNOWN or f[1] < min_margin for f in found]])
+                yield batch(arrow, [*part.columns[: len(names)], [f[0] for f in found], [f[1] for f in found], [f[0] == UNKNOWN or f[1] < min_margin for f in found]])
 
     return rows.mapInArrow(per_partition, schema).toDF(*names, *[n for n, _ in added])
 
