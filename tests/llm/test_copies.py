@@ -108,6 +108,41 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.drop_near_duplicates(empty).collect() == []
 
 
+def jaccard_groups(texts, width=5, bound=0.8):
+    """Root position of every text, by the Jaccard similarity of all pairs."""
+    sets = []
+    for text in texts:
+        own = (text or "").encode().lower().split()
+        k = min(width, len(own))
+        sets.append({tuple(own[i : i + k]) for i in range(len(own) - k + 1)} if own else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            if len(a & b) >= bound * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_stage_links_texts_that_share_four_fifths_of_their_shingles(spark):
+    draw = random.Random(5)
+    texts = []
+    for edits in (1, 1, 2, 2, 3, 4, 5, 6) * 5:
+        own = [f"w{draw.randrange(5000)}" for _ in range(120)]
+        texts.append(" ".join(own))
+        for _ in range(2):
+            for at in draw.sample(range(120), edits):
+                own[at] = f"x{draw.randrange(5000)}"
+            texts.append(" ".join(own))
+    texts += ["", "a b", "A  b", "a c", "  ", *texts[:3]]
+    roots = jaccard_groups(texts)
+    assert set(roots) != set(groups([plain_print(t) for t in texts]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(4)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF_DIR).collect()}
+    assert kept == set(roots)
+
+
 # --- sketches
 
 

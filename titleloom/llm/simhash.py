@@ -40,19 +40,23 @@ CODED = 15  # bits of a block under the Hamming code
 TILE = 4096  # fingerprints of either side of a comparison
 
 
-def fingerprint(text: str, width: int = SHINGLE) -> int:
-    """Majority of the bits of the hashes of all word shingles."""
+def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
+    """Hash of every word shingle; a shorter text is one shingle, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     starts = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(w) + 1 for w in words], out=starts[1:])
     at = starts.tolist()
     k = min(width, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(at, at[k:], strict=False)], "<u8")
-    return majority(hashes)
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(at, at[k:], strict=False)], "<u8")
+
+
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """Majority of the bits of the hashes of all word shingles."""
+    return majority(shingle_hashes(text, width))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -266,7 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The first row of each component, by id (nulls last) and text hash; of rows alike in both, one."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each component of found (doc_id, text_key, component)."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     first = found.groupBy("component").agg(F.min(order).alias("first"))
     first = first.select(row_key(F.col("first.doc_id"), F.col("first.text_key")).alias("key"))
