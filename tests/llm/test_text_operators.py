@@ -167,6 +167,14 @@ def test_language_odd_rows(odd, empty, spark):
     assert lang.keep_identified(odd).columns == odd.columns
 
 
+def test_copies_do_not_thin_the_training_sample(spark):
+    texts = ["copied many times over"] * 3000 + [f"wort nummer {'abcdefghij'[i] * 4} im haus" for i in range(10)] + ["123 456"] * 5
+    docs = spark.createDataFrame([(t, "de") for t in texts], "text STRING, lang STRING").repartition(4)
+    content, n = lang.learn(docs, "text", "lang", texts=11)["de"]
+    assert n == len(texts) and content.count(b"im haus") == 10 and content.count(b"copied") == 1
+    assert len(lang.learn(docs, "text", "lang", texts=2)["de"][0]) > 0
+
+
 # --- personal data
 
 PATTERNS = {

@@ -8,8 +8,9 @@ small the row is marked as rejected. Texts and dictionaries are compared
 as lower-cased letters, everything between letters being one blank.
 
 Training reads a bounded sample: per language at most `texts` texts of at most
-`bytes_per_language` bytes together, chosen by hash, repeated texts once;
-texts that alone are longer are not sampled.
+`bytes_per_language` bytes together. Texts are made distinct by hash first and
+the smallest hashes are drawn, so copies neither fill the sample nor thin it;
+texts that alone are longer, or hold no letter, are not sampled.
 
 Results: one row per input row. Null texts and texts without a letter are
 `und` with score 0 and rejected. Without training rows (empty table, no
@@ -49,15 +50,14 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, texts: int = TEXTS,
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)  # equal texts share a draw
-    share = F.lit(1.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 8.0 * texts / n))).otherwise(share)
-    drawn = rows.where(draw < share).where(F.octet_length("text") <= size).withColumn("draw", draw).dropDuplicates(["lang", "text"])
-    first = drawn.withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY draw, text)")).where(F.col("k") <= texts)
+    usable = rows.where(F.octet_length("text") <= size).where(F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64("text"))
+    drawn = usable.select("lang", "key").distinct().withColumn("draw", F.pmod("key", F.lit(1 << 30)))
+    drawn = drawn.withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY draw, key)")).where(F.col("k") <= texts)
+    taken = F.broadcast(drawn.select("lang", "key", "k"))  # bounded by languages x texts
+    first = usable.join(taken, ["lang", "key"]).select("lang", "k", "text").distinct()
     held: dict[str, list[bytes]] = {lang: [] for lang in counts}
     free = dict.fromkeys(counts, size)
-    for r in first.select("lang", "k", "text").orderBy("lang", "k").toLocalIterator():
+    for r in first.orderBy("lang", "k").toLocalIterator():
         content = letters(r["text"])
         if 0 < len(content) < free[r["lang"]]:
             held[r["lang"]].append(content)
