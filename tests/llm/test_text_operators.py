@@ -250,6 +250,19 @@ def test_disclosing_terms_equal_the_definition(spark):
     assert len(next(iter(wanted.values()))) < 8
 
 
+def test_entities_of_one_document_are_protected_whatever_its_copies(spark):
+    own = "the harvest of quillfeather was sent by ann@mail.example.com to the harvest"
+    texts = [own, *[f"the harvest of the {'abcdefghij'[i % 10] * 4} {'klmnopqrst'[i // 10] * 4}" for i in range(100)]]
+    found = []
+    for copies in (1, 3):
+        df = spark.createDataFrame(list(enumerate([own] * (copies - 1) + texts)), "doc_id LONG, text STRING").repartition(3)
+        rows = [r for r in privacy.find(df).collect() if r.base]
+        assert len(rows) == copies and len({str(r.spans) for r in rows}) == 1
+        found.append([(s.kind, own[s.start : s.end]) for s in rows[0].spans[1:]])
+    assert found[0] == found[1] and ("generalise", "quillfeather") in found[0]
+    assert not {"the", "harvest"} & {t for _, t in found[0]}
+
+
 def test_redacted_text(spark, odd, empty):
     assert privacy.redact("mail a@b.cd now", [("email", 5, 11), ("remove", 12, 15)]) == "mail [EMAIL] "
     df = spark.createDataFrame([(1, "mail a@b.cd now", "kept"), (2, None, "kept"), (3, "clean", None)], "doc_id LONG, text STRING, spans STRING")

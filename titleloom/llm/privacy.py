@@ -6,22 +6,27 @@ tells how strongly a nearby term reveals an entity: with n documents, n_e of
 them with the entity, n_t with the term anywhere and n_et with the term within
 `reach` terms of the entity, the disclosure is
 
-    pmi / ic = log2(n_et * n / (n_e * n_t)) / log2(n / n_e)
+    pmi / ic = log2(n_et * n / (n_e * (n_t + UNSEEN))) / log2(n / n_e)
 
-1 where the term occurs with the entity only, 0 where it says nothing. Terms
-near the entity with n_et >= `support` are generalised from `generalise` on
-and removed from `remove` on.
+near 1 where the term occurs with the entity only, 0 where it says nothing. All
+pairs are rated, those of one document too (`support` is 1). Terms near the
+entity are generalised from `generalise` on and removed from `remove` on. UNSEEN
+smooths the rating: of a few texts nearly every term is unique, which says little,
+so a pair of one text is generalised from 7 texts on and removed from 9,200 on.
+Documents of equal text (by hash) count as one, so copying changes no rating.
 
 Offsets count code points, ends are exclusive. Terms are runs of three letters
 or more, compared in lower case.
 
 Results: one row per input row. Null and empty texts have no spans. Null and
-repeated ids stay rows of their own; repeated rows count as documents. An empty
+repeated ids stay rows of their own; repeated texts get equal spans. An empty
 table gives no rows. Other columns are not read; in `sanitise` they are kept,
 and a column called spans is replaced.
 
 One pass over the texts writes spans, contexts and term counts (combined per
-task in a table of bounded size); all that follows joins and groups these.
+task in a table of bounded size); all that follows joins and groups these. A
+text with c copies adds 1 / c a copy to its terms' counts; the repeated texts'
+hashes are broadcast up to BROADCAST_COPIES rows, counted before.
 """
 
 from __future__ import annotations
@@ -41,7 +46,9 @@ from titleloom.llm.common import batch, documents, query, stored
 from titleloom.llm.lines import text_key
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, SUPPORT, GENERALISE, REMOVE = 8, 2, 0.9, 0.98
+REACH, SUPPORT, GENERALISE, REMOVE = 8, 1, 0.9, 0.98
+BROADCAST_COPIES = 500_000
+UNSEEN = 0.2  # texts with a term that the corpus does not show
 MEMO = 250_000  # terms counted by a task before it passes its counts on
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -117,10 +124,16 @@ CONTEXT = "array<struct<entity:string,term:string,start:int,end:int>>"
 
 def _facts(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
     """One row per document (rid, id, text_key, base, contexts), and rows (term, n) of document counts."""
-    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    key = text_key(F.col(text_col)).alias("text_key")
+    copies = docs.select(key).groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = stored(copies, "copies")
+    if copies.count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
+    rows = docs.select(F.col(id_col).alias("id"), key, F.col(text_col).alias("text")).join(copies, "text_key", "left")
+    rows = rows.select("id", "text_key", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
     schema = T.StructType(
         [T.StructField("rid", T.LongType()), rows.schema["id"], T.StructField("text_key", T.LongType()), T.StructField("base", T._parse_datatype_string(SPAN)),
-         T.StructField("contexts", T._parse_datatype_string(CONTEXT)), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())]
+         T.StructField("contexts", T._parse_datatype_string(CONTEXT)), T.StructField("term", T.StringType()), T.StructField("n", T.DoubleType())]
     )
     arrow = to_arrow_schema(schema)
 
@@ -137,12 +150,13 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame
 
         for b in batches:
             base, near = [], []
-            for text in b.column(2):
+            for text, copies in zip(b.column(2), b.column(3).to_pylist(), strict=True):
                 text = text.as_py() or ""
                 spans = identifiers(text)
                 base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
                 near.append([dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in contexts(text, spans, reach)] if spans else [])
-                seen.update({t.lower() for t in set(TERM.findall(text))})
+                found = {t.lower() for t in set(TERM.findall(text))}
+                seen.update(found if copies == 1 else dict.fromkeys(found, 1 / copies))
                 if len(seen) > MEMO:
                     yield from counts()
             n = b.num_rows
@@ -156,13 +170,13 @@ def _facts(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame
 def disclosing(facts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """entity, term and disclosure of the pairs at or over the threshold."""
     docs = facts.where("rid IS NOT NULL")
-    total = docs.count()
-    near = docs.select("rid", F.explode("contexts").alias("c")).select("rid", "c.entity", "c.term").distinct()
+    total = docs.select("text_key").distinct().count()
+    near = docs.select("text_key", F.explode("contexts").alias("c")).select("text_key", "c.entity", "c.term").distinct()
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    entities = near.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    terms = facts.where("rid IS NULL").groupBy("term").agg(F.sum("n").alias("n_t"))
+    entities = near.select("text_key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    terms = facts.where("rid IS NULL").groupBy("term").agg(F.round(F.sum("n")).alias("n_t"))
     share = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t")))
+    pmi = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * (F.col("n_t") + UNSEEN)))
     rated = pairs.join(entities, "entity").join(terms, "term").withColumn("disclosure", F.when(share > 0, pmi / share))
     return rated.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
 
