@@ -263,6 +263,11 @@ def test_entities_of_one_document_are_protected_whatever_its_copies(spark):
     assert not {"the", "harvest"} & {t for _, t in found[0]}
 
 
+def test_contexts_reach_back_over_any_distance():
+    text = f"quillfeather {'1 ' * 900}a@b.cd {'2 ' * 900}behind"
+    assert [t for _, t, _, _ in privacy.contexts(text, privacy.identifiers(text)[:1])] == ["quillfeather", "behind"]
+
+
 def test_redacted_text(spark, odd, empty):
     assert privacy.redact("mail a@b.cd now", [("email", 5, 11), ("remove", 12, 15)]) == "mail [EMAIL] "
     df = spark.createDataFrame([(1, "mail a@b.cd now", "kept"), (2, None, "kept"), (3, "clean", None)], "doc_id LONG, text STRING, spans STRING")

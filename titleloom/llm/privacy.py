@@ -32,8 +32,8 @@ hashes are broadcast up to BROADCAST_COPIES rows, counted before.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from itertools import islice
 
 import pandas as pd
 from pyspark import TaskContext
@@ -108,13 +108,17 @@ def contexts(text: str, spans: list[Span], reach: int = REACH) -> list[tuple[str
     """(entity, term, start, end) of the terms next to each span that lie in no span."""
     out = []
     taken = [(a, b) for _, a, b in spans]
+    terms = [m.span() for m in TERM.finditer(text)] if spans else []
+    starts, ends = [a for a, _ in terms], [b for _, b in terms]
     for kind, start, end in spans:
         own = entity(kind, text[start:end])
-        far = max(0, start - 1000)
-        before = [m for m in TERM.finditer(text, far, start) if not far or m.start() > far][-reach:]
-        for m in [*before, *islice(TERM.finditer(text, end), reach)]:
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((own, m[0].lower(), m.start(), m.end()))
+        i, j = bisect_left(starts, start), bisect_right(ends, end)
+        # a term that the span cuts is one by what lies outside; one more is read in its place
+        before = [(a, min(b, start)) for a, b in terms[max(0, i - reach - 1) : i]]
+        behind = [(max(a, end), b) for a, b in terms[j : j + reach + 1]]
+        for a, b in [*[t for t in before if t[1] - t[0] > 2][-reach:], *[t for t in behind if t[1] - t[0] > 2][:reach]]:
+            if not any(x < b and a < y for x, y in taken):
+                out.append((own, text[a:b].lower(), a, b))
     return out
 
 
