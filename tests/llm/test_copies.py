@@ -14,7 +14,7 @@ import corpus_pipeline
 from tests.conftest import SF_DIR
 from tests.llm.conftest import ODD
 from tests.llm.test_text_operators import LOWER, WORD
-from titleloom.llm import contamination, lines, simhash, sketches
+from titleloom.llm import contamination, lines, shingles, simhash, sketches
 from titleloom.llm.common import documents, stored
 
 # --- near-duplicates
@@ -343,12 +343,65 @@ def test_pipeline_stages_keep_their_contracts(spark, odd, empty, texts, items):
     assert held["line_dedup"] == {d: t for (d, _), t in wanted.items()}
     assert all(r.n_chars == len(r.text) for r in seen["line_dedup"].collect())
     ids = sorted(held["line_dedup"])
-    roots = groups([plain_print(held["line_dedup"][d]) for d in ids])
+    roots = jaccard_groups([held["line_dedup"][d] for d in ids])
     assert set(held["near_dedup"]) == {ids[r] for r in roots}
     dirty = {d for d, _ in leaked(held["near_dedup"], items)}
     assert set(held["decontamination"]) == set(held["near_dedup"]) - dirty
     assert {r.doc_id for r in seen["packing"].collect()} == set(held["decontamination"])
-    for docs in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stored(stage(spark, docs, SF_DIR), "test")
-        docs.collect()
+
+
+@pytest.mark.parametrize("table", ["odd", "empty"])
+def test_pipeline_takes_odd_and_empty_tables(spark, odd, empty, table):
+    docs = rows = odd if table == "odd" else empty
+    for name, stage in corpus_pipeline.STAGES:
+        before, rows = rows, stored(stage(spark, rows, SF_DIR), "test")
+        if name != "packing":
+            assert rows.schema.simpleString() == before.schema.simpleString()
+        if name == "language_id" and table == "odd":
+            # rows without a letter go; all others are of the one language that is known
+            assert sorted(str(r.doc_id) for r in rows.collect()) == sorted(str(d) for d, t in ODD if t and any(map(str.isalpha, t)))
+        if name == "near_dedup" and table == "odd":
+            assert sorted(str(r.doc_id) for r in rows.collect()) == sorted(map(str, (5, 6, 7, 8, 9, None)))
+    assert (rows.count() > 0) == (table == "odd") and docs.columns == before.columns
+
+
+def test_similar_takes_odd_and_empty_tables(odd, empty):
+    rows = shingles.similar(odd).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(d) for d, _ in ODD)
+    by = defaultdict(set)
+    for r in rows:
+        by[r.doc_id].add(r.component)
+    assert by[1] == by[2] == by[3] and by[10] == by[7] and len(by[7]) == 1 and len(by[None]) == 2
+    kept = shingles.drop_similar(odd)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == odd.columns and ids.count(7) == 1 and ids.count(1) == 1 and not {2, 3, 10} & set(ids)
+    assert shingles.similar(empty).collect() == [] and shingles.drop_similar(empty).collect() == []
+
+
+def test_mixed_buckets_are_cut_and_not_joined_with_themselves(spark):
+    """A family whose members are mostly under the bound, with close pairs hidden in it."""
+    draw = random.Random(8)
+    base, texts = [f"w{draw.randrange(9000)}" for _ in range(150)], []
+    for _ in range(250):
+        own = list(base)
+        for at in draw.sample(range(150), 6):
+            own[at] = f"x{draw.randrange(9000)}"
+        texts.append(" ".join(own))
+        if draw.random() < 0.3:
+            own[draw.randrange(150)] = "y"
+            texts.append(" ".join(own))
+    draw.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(4)
+    roots = jaccard_groups(texts)
+    found = {r.doc_id: r.component for r in shingles.similar(docs).collect()}
+    joined = defaultdict(set)
+    for i, r in enumerate(roots):
+        joined[r].add(found[i])
+    whole = sum(1 for i, r in enumerate(roots) if len(joined[r]) == 1)
+    assert whole >= 0.97 * len(texts)
+    owners = defaultdict(set)
+    for i, r in enumerate(roots):
+        owners[found[i]].add(r)
+    assert all(len(o) == 1 for o in owners.values())  # nothing under the bound is linked
+    crowd = spark.createDataFrame([(1, 0, 0, k, 100, k) for k in range(3000)], "key LONG, band INT, step INT, text_key LONG, n INT, group LONG")
+    assert shingles.stars(crowd, 0.8, 2).count() <= 2 * 3000
