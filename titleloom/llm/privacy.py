@@ -107,7 +107,13 @@ def entity(kind: str, text: str) -> str:
 def contexts(text: str, spans: list[Span], reach: int = REACH) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the terms next to each span that lie in no span."""
     out = []
-    taken = [(a, b) for _, a, b in spans]
+    taken: list[list[int]] = []  # the spans' union, in order
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    closed = [b for _, b in taken]
     terms = [m.span() for m in TERM.finditer(text)] if spans else []
     starts, ends = [a for a, _ in terms], [b for _, b in terms]
     for kind, start, end in spans:
@@ -117,7 +123,8 @@ def contexts(text: str, spans: list[Span], reach: int = REACH) -> list[tuple[str
         before = [(a, min(b, start)) for a, b in terms[max(0, i - reach - 1) : i]]
         behind = [(max(a, end), b) for a, b in terms[j : j + reach + 1]]
         for a, b in [*[t for t in before if t[1] - t[0] > 2][-reach:], *[t for t in behind if t[1] - t[0] > 2][:reach]]:
-            if not any(x < b and a < y for x, y in taken):
+            k = bisect_right(closed, a)
+            if k == len(taken) or taken[k][0] >= b:
                 out.append((own, text[a:b].lower(), a, b))
     return out
 
