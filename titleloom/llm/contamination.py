@@ -1,7 +1,8 @@
 """Benchmark passages in documents by greedy string tiling.
 
-Seeds are equal runs of MIN_MATCH words: the word grams of all documents are
-joined with those of the benchmark by hash and checked word by word. For each
+Seeds are equal runs of MIN_MATCH words, or of all words of an item that has fewer:
+the word grams of all documents are joined with those of the benchmark by hash and
+checked word by word. For each
 document and item that share seeds, tiles are marked: the longest common run of
 words in which no word is marked yet, found with Karp-Rabin hashes of falling
 length, again and again until no run of MIN_MATCH words is left. Words that are
@@ -12,13 +13,15 @@ where its tiles cover at least `coverage` of its words.
 Words: A-Z lower-cased, everything of ASCII but letters and digits between them.
 
 Results: one row per leaked pair of document and item, nothing for clean
-documents. Items with equal words are one item, named by the smallest id. Null
-or empty texts and items of fewer than MIN_MATCH words have no seeds. Rows
+documents. Items with equal words are one item, named by the smallest id; item_ids
+holds all of them. An item of fewer than MIN_MATCH words is leaked where all of it
+stands together. Null or empty texts and items without a word have no seeds. Rows
 alike in id and text are one document. Null ids are kept as null. Empty tables
 give no rows. Other columns are not read.
 
-The benchmark's grams are broadcast up to BROADCAST_GRAMS rows, counted before;
-beyond that Spark joins them as it joins any table. Only seeds are shuffled.
+The benchmark has one row per place of a gram. They are broadcast up to
+BROADCAST_GRAMS rows, counted before; beyond that Spark joins them as it joins any
+table. Only seeds are shuffled, by text, id and item.
 """
 
 from __future__ import annotations
@@ -109,29 +112,36 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", coverage: float = COVERAGE, least: int = MIN_MATCH,
 ) -> DataFrame:
-    """id, text_key, item_id, coverage and tiles (start in text, start in item, length; words from 0) of leaked items."""
-    gram = [F.get("words", F.col("pos") + k) for k in range(least)]
-    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("words"))
-    items = items.where(F.size("words") >= least).groupBy("words").agg(F.min("item_id").alias("item_id"), F.xxhash64("words").alias("item"))
-    grams = items.select("item", "item_id", "words", F.size("words").alias("m"), F.posexplode("words").alias("pos", "w")).where(F.col("pos") + least <= F.col("m"))
-    place = F.struct("item", "item_id", "m", F.col("pos").alias("at"), F.array(*gram).alias("gram"))
-    grams = grams.groupBy(F.xxhash64(*gram).alias("h")).agg(F.collect_list(place).alias("places"))
+    """id, text_key, item_id, item_ids, coverage and tiles (start in text, start in item, length; words from 0) of leaked items."""
+    words = lambda n: [F.get("words", F.col("pos") + k) for k in range(n)]
+    items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
+    ids = F.array_sort(F.collect_list("item_id"))  # null ids name nothing
+    items = items.groupBy("words").agg(F.min("item_id").alias("item_id"), ids.alias("item_ids"), F.xxhash64("words").alias("item"))
+    items = items.select("item", "item_id", "item_ids", "words", F.size("words").alias("m"), F.least(F.size("words"), F.lit(least)).alias("k"))
+    grams = items.select("item", "item_id", "words", "m", "k", F.posexplode("words").alias("pos", "w")).where(F.col("pos") + F.col("k") <= F.col("m"))
+    gram = F.slice("words", F.col("pos") + 1, F.col("k"))
+    grams = grams.select("k", gram.alias("gram"), "item", "item_id", "m", F.col("pos").alias("at"))
+    grams = grams.withColumn("h", F.xxhash64("gram"))
+    sizes = sorted(r["k"] for r in grams.select("k").distinct().collect())  # `least` rows at most
     if grams.count() <= BROADCAST_GRAMS:
         grams = F.broadcast(grams)
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("words"))
     rows = rows.select("id", "text_key", "words", F.posexplode_outer("words").alias("pos", "w"))
-    rows = rows.select("id", "text_key", "pos", *[g.alias(f"g{k}") for k, g in enumerate(gram)])
-    own = [F.col(f"g{k}") for k in range(least)]
-    rows = rows.withColumn("h", F.xxhash64(*own)).join(grams, "h")
-    same = F.filter("places", lambda p: p.gram == F.array(*own))
-    seeds = rows.select("id", "text_key", "pos", F.explode(same).alias("p"))
-    seeds = seeds.select("id", "text_key", "p.item", "p.item_id", "p.m", "pos", "p.at", "p.gram")
+    rows = rows.select("id", "text_key", "pos", *[g.alias(f"g{k}") for k, g in enumerate(words(least))])
+    own = lambda k: F.array(*[F.col(f"g{j}") for j in range(k)])
+    places = [F.struct(F.lit(k).alias("k"), own(k).alias("own")) for k in sizes or [least]]
+    if len(places) > 1:
+        rows = rows.select("id", "text_key", "pos", F.explode(F.array(*places)).alias("p")).select("id", "text_key", "pos", "p.*")
+    else:
+        rows = rows.select("id", "text_key", "pos", places[0]["k"].alias("k"), places[0]["own"].alias("own"))
+    rows = rows.withColumn("h", F.xxhash64("own")).join(grams, ["k", "h"]).where(F.col("own") == F.col("gram"))
+    seeds = rows.select("id", "text_key", "item", "item_id", "m", "pos", "at", "gram")
     order = ["text_key", "id", "item"]
-    seeds = seeds.repartition("text_key").sortWithinPartitions(*order)
+    seeds = seeds.repartition(*order).sortWithinPartitions(*order)
     tile = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("text_start", "item_start", "length")]))
     kinds = seeds.schema
     schema = T.StructType(
-        [kinds["id"], kinds["text_key"], kinds["item_id"], T.StructField("coverage", T.DoubleType()), T.StructField("tiles", tile)]
+        [kinds["id"], kinds["text_key"], kinds["item"], kinds["item_id"], T.StructField("coverage", T.DoubleType()), T.StructField("tiles", tile)]
     )
     arrow = to_arrow_schema(schema)
 
@@ -141,20 +151,21 @@ def leaks(
 
     def per_partition(batches):
         out = []
-        for (doc, key, _), group in groupby(rows_of(batches), key=lambda r: r[:3]):
+        for (doc, key, item), group in groupby(rows_of(batches), key=lambda r: r[:3]):
             group = list(group)
             size = group[0][4]
-            found = tile_pair([(r[5], r[6], r[7]) for r in group], size, least)
+            found = tile_pair([(r[5], r[6], r[7]) for r in group], size, min(least, size))
             covered = sum(t[2] for t in found) / size
             if covered >= coverage:
-                out.append((doc, key, group[0][3], covered, [dict(zip(("text_start", "item_start", "length"), t, strict=True)) for t in found]))
+                out.append((doc, key, item, group[0][3], covered, [dict(zip(("text_start", "item_start", "length"), t, strict=True)) for t in found]))
             if len(out) >= 1024:
                 yield batch(arrow, list(zip(*out, strict=True)))
                 out = []
         if out:
             yield batch(arrow, list(zip(*out, strict=True)))
 
-    return seeds.select("id", "text_key", "item", "item_id", "m", "pos", "at", "gram").mapInArrow(per_partition, schema)
+    found = seeds.mapInArrow(per_partition, schema)
+    return found.join(items.select("item", "item_ids"), "item").select("id", "text_key", "item_id", "item_ids", "coverage", "tiles")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
