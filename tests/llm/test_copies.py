@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -239,11 +240,13 @@ def leaked(texts, items):
     owned, found = {}, set()
     for item, text in sorted(items.items()):
         owned.setdefault(tuple(words(text)), item)
-    grams = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, words(t)) for d, t in texts.items())}
+    owned.pop((), None)
+    grams = {d: {tuple(w[i : i + k]) for k in range(1, 6) for i in range(len(w) - k + 1)} for d, w in ((d, words(t)) for d, t in texts.items())}
     for own, item in owned.items():
-        seeds = {own[i : i + 5] for i in range(len(own) - 4)}
+        k = min(5, len(own))
+        seeds = {own[i : i + k] for i in range(len(own) - k + 1)}
         for d, text in texts.items():
-            if seeds & grams[d] and tiled(words(text), list(own)) / len(own) >= 0.5:
+            if seeds & grams[d] and tiled(words(text), list(own), k) / len(own) >= 0.5:
                 found.add((d, item))
     return found
 
@@ -262,16 +265,38 @@ def test_reordered_and_partial_passages(spark, items, odd, empty):
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
     bench = spark.createDataFrame([(7, items[0]), (8, items[0]), (9, None), (10, "too short"), (11, "")], "item_id LONG, text STRING")
     found = contamination.leaks(docs, bench).collect()
-    assert sorted(str(r.id) for r in found) == ["1", "4", "None"] and {r.item_id for r in found} == {7}
+    assert sorted(str(r.id) for r in found) == ["1", "4", "None"] and {(r.item_id, tuple(r.item_ids)) for r in found} == {(7, (7, 8))}
     assert [r.doc_id for r in contamination.drop_leaked(docs, bench).orderBy("doc_id").collect()] == [2, 3, 5]
     clean = contamination.drop_leaked(odd, bench)
     assert clean.columns == odd.columns and clean.count() == len(ODD)
     assert contamination.leaks(empty, bench).collect() == [] and contamination.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_short_items_and_a_gram_of_many_items(spark):
+    draw = random.Random(6)
+    docs = {i: " ".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 14))) for i in range(60)}
+    items = {i: " ".join(draw.choice("abcdefgh") for _ in range(draw.randint(0, 7))) for i in range(40)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id LONG, text STRING")
+    found = contamination.leaks(df, spark.createDataFrame(list(items.items()), "item_id LONG, text STRING")).collect()
+    assert {(r.id, r.item_id) for r in found} == leaked(docs, items)
+    for r in found:
+        assert r.item_ids == sorted(i for i, t in items.items() if t == items[r.item_id])
+    # one passage opens ten thousand items; two of them are here in full
+    many = spark.range(10_000).selectExpr("id AS item_id", "concat('shared words at the front of ', id, ' x', id, ' y', id, ' z', id) AS text")
+    rows = [(k, f"shared words at the front of {k} x{k} y{k} z{k}") for k in (3, 77)] + [(5, "shared words at the front of it all")]
+    got = contamination.leaks(spark.createDataFrame(rows, "doc_id LONG, text STRING"), many.repartition(4)).where("coverage > 0.9").collect()
+    assert {(r.id, r.item_id) for r in got} == {(3, 3), (77, 77)}
+
+
 # --- lines
 
 
+def test_many_blank_lines_take_time_in_proportion():
+    start = time.monotonic()
+    found = lines.windows("\n" * 200_000 + " ".join(f"w{i}" for i in range(60)))
+    assert len(found) == 200_001 and time.monotonic() - start < 20
+
+
 def cut_lines(docs, run_words=50):
     """docs: (id, text) in order; the kept lines of each, comparing runs of lines themselves."""
     first, cuts = {}, defaultdict(set)

@@ -6,10 +6,13 @@ backwards from every line, so that windows reach both ends of any run). Each
 window selects the gram with the smallest hash inside it, so two equal runs of
 `run_words` words always share a selected gram at the same place: the selected
 grams are the document's fingerprints. Fingerprints that occur at one position
-only end there. For the others the match is extended both ways to the windows
-around them; of equal windows the first one, by id, text hash and line, stays
-and the later ones are deleted, overlapping ones as one run. A window that
-overlaps its own first occurrence in the same document is no repeat of it.
+only end there. Every occurrence of the others brings the windows around it, which
+reach as far on both sides as a match of `run_words` words can; equal windows are
+grouped by digest, which takes the place of extending pairs of occurrences line by
+line. Of equal windows the first one, by id, text hash and line, stays and the later
+ones are deleted, overlapping ones as one run. A window that overlaps its own first
+occurrence in the same document is no repeat of it. A passage that covers a part
+of a line only stays.
 
 Results: one row per input row with its columns; the text without the deleted
 lines, and `removed_runs`, an array of (first, end) line numbers. Null texts
@@ -18,11 +21,14 @@ order. Rows alike in id and text are one document and share its cuts. An empty
 table gives no rows. A column of docs called removed_runs is replaced.
 
 No pair of occurrences is ever made: equal hashes are grouped with map-side
-combining, and the joins with the repeated ones are split when a key is hot.
+combining, and the joins with the repeated ones are split when a key is hot. The
+work on a text is in proportion to its lines.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,6 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from titleloom.llm.common import batch, documents, pieces_of, query, stored
 
 GRAM_WORDS, RUN_WORDS = 25, 50
+_PRIME, _BASE = (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F
 
 
 def text_key(text: str | Column) -> Column:
@@ -69,11 +76,23 @@ def windows(text: str, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS)
     n = len(lines)
     forward = runs(words, run_words)
     backward = [(n - end, n - start) for start, end in runs(words[::-1], run_words)]
-    grams = [(xxhash.xxh64_intdigest(b"".join(marks[a:b])) - (1 << 63), a, b) for a, b in runs(words, gram_words)]
-    out = []
+    held, high = [0], [1]  # rolling hashes of the first lines, and powers
+    for mark in marks:
+        held.append((held[-1] * _BASE + int.from_bytes(mark, "little") + 1) % _PRIME)
+        high.append(high[-1] * _BASE % _PRIME)
+    digest = lambda a, b: ((held[b] - held[a] * high[b - a]) % _PRIME).to_bytes(16, "little")
+    grams = [(xxhash.xxh64_intdigest(digest(a, b)) - (1 << 63), a, b) for a, b in runs(words, gram_words)]
+    # starts and ends of windows both ascend: the smallest gram inside is at the front of a queue
+    out, inside, upto = [], deque(), 0
     for start, end in sorted({*forward, *backward}):
-        gram = min(g for g in grams[start:end] if g[2] <= end)
-        out.append((start, end, gram[0], gram[1], xxhash.xxh3_128_digest(b"".join(marks[start:end]))))
+        while upto < len(grams) and grams[upto][2] <= end:
+            while inside and inside[-1] > grams[upto]:
+                inside.pop()
+            inside.append(grams[upto])
+            upto += 1
+        while inside[0][1] < start:
+            inside.popleft()
+        out.append((start, end, inside[0][0], inside[0][1], digest(start, end)))
     return out
 
 
