@@ -9,6 +9,7 @@ from titleloom import rules
 from titleloom.functions import attributes as A
 from titleloom.operators import quality, rank
 from titleloom.operators.link import id_then_title
+from titleloom.workspace import stored
 
 
 def curate(listings: DataFrame, link_prefix: str, arrival: list[str]) -> DataFrame:
@@ -23,8 +24,12 @@ def curate(listings: DataFrame, link_prefix: str, arrival: list[str]) -> DataFra
 
 
 def search_places(requests: DataFrame, catalogue: DataFrame, key: str = "row_key", collation: str = "UNICODE") -> DataFrame:
-    """All hits with their place in catalogue order within the request; titles are compared in the collation."""
-    hits = id_then_title(requests, catalogue, "work_id", "raw_title")
+    """All hits with their place in catalogue order within the request; titles are compared in the collation (runs writes).
+
+    The catalogue is written before it is searched in four ways, and the hits
+    before they are ranged, so each is computed once.
+    """
+    hits = stored(id_then_title(requests, stored(catalogue, "catalogue"), "work_id", "raw_title"), "hits")
     hits = hits.withColumn("_tier", -A.table_value(F.col("tier"), rules.CURATED_TIER_SCORE, 0)).withColumn("_seeds", -F.col("seeders"))
     tie = [F.collate(F.col("raw_title"), collation), F.col(key)]
     return rank.positions_within(hits, ["request_id"], ["_tier", "_seeds"], tie, "place").drop("_tier", "_seeds")

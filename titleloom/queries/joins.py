@@ -8,6 +8,7 @@ from titleloom.functions import text as X
 from titleloom.operators import link, lookup
 from titleloom.queries import sqltext as S
 from titleloom.queries.base import query, table
+from titleloom.workspace import stored
 
 _CLEAN_TITLES = f"SELECT DISTINCT {S.cleaned('raw_title')} AS title FROM v_listing"
 
@@ -58,7 +59,7 @@ UNION ALL SELECT request_id, row_key, 'title' AS via FROM (SELECT * FROM v_reque
 JOIN v_listing l ON contains(lower(raw_title), lower(wanted))""",
 )
 def j3(spark, sf):
-    listings = table(spark, sf, "v_listing").select("row_key", "work_id", "raw_title")
+    listings = stored(table(spark, sf, "v_listing").select("row_key", "work_id", "raw_title"), "listings")  # read four times
     return link.id_then_title(table(spark, sf, "v_request"), listings, "work_id", "raw_title").select("request_id", "row_key", "via")
 
 

@@ -1,16 +1,17 @@
 """State over time: batch forms with oracles, streams driven to completion."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from titleloom.functions import attributes as A
 from titleloom.queries.base import query, table
-from titleloom.queries.ranks import _upsert_sql
-from titleloom.streaming import jobs, sessions, ttl, upsert
+from titleloom.queries.ranks import _BASE, _upsert_sql
+from titleloom.streaming import availability, jobs, sessions, ttl, upsert, versions
+from titleloom.streaming.bounded import STATE_STORE, STORE_SETTING, run_to_end
 from titleloom.workspace import new_folder
 
 GAP_SECONDS = 6 * 3600
-STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def change_log(events):
@@ -99,13 +100,17 @@ def drain(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-# a stream answers what its watermark, ten minutes behind the last row, has passed
-_PASSED = "(SELECT max(ts) - INTERVAL 10 MINUTES FROM events)"
+def after_end(spark, sf):
+    """An instant that is later than all events by more than any limit here."""
+    last = table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    return (last or datetime(2000, 1, 1)) + timedelta(days=30)
 
 
-@query("x1_ttl_reads_stream", _READS + f" FROM s LEFT JOIN e w ON w.event_id=s.seen WHERE s.ts <= {_PASSED}")
+@query("x1_ttl_reads_stream", _READS + " FROM s LEFT JOIN e w ON w.event_id=s.seen")
 def x1_stream(spark, sf):
-    found = drain(spark, ttl.read_stream(change_log(event_stream(spark, sf)), GAP_SECONDS), "ttl")
+    log = change_log(event_stream(spark, sf))
+    end = [("", after_end(spark, sf), -1, "delete", None)]
+    found = run_to_end(spark, [log], [end], lambda rows: ttl.read_stream(rows, GAP_SECONDS), "ttl")
     return found.select("seq", "key", F.col("value").cast("double").alias("value"))
 
 
@@ -144,11 +149,74 @@ def x3(spark, sf):
 t AS (SELECT job_id, min(ts) AS ts, min_by(status, struct_pack(a := ts, b := event_id)) AS status FROM v_job WHERE status IN ('downloaded','magnet_error','virus','dead','error') GROUP BY job_id)
 SELECT CAST(s.job_id AS VARCHAR) AS job_id, CASE WHEN t.ts IS NULL OR t.ts-s.started_at >= INTERVAL 720 MINUTES THEN 'stalled' WHEN status='downloaded' THEN 'success' ELSE 'failure' END AS outcome,
  CASE WHEN t.ts-s.started_at < INTERVAL 720 MINUTES THEN status END AS status
-FROM s LEFT JOIN t USING (job_id) WHERE least(s.started_at + INTERVAL 720 MINUTES, coalesce(t.ts, s.started_at + INTERVAL 720 MINUTES)) <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM v_job)""",
+FROM s LEFT JOIN t USING (job_id)""",
 )
 def x4_stream(spark, sf):
     status = F.expr(
         "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'downloading' WHEN 'click' THEN 'uploading' WHEN 'purchase' THEN 'downloaded' ELSE 'dead' END"
     )
     rows = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id", status.alias("status"))
-    return drain(spark, jobs.outcome_stream(rows, 720, forget_minutes=10 * 366 * 24 * 60), "jobs").select("job_id", "outcome", "status")
+    end = [("", after_end(spark, sf), -1, "queued")]  # waits for its own limit, so it has no outcome
+    build = lambda r: jobs.outcome_stream(r, 720, forget_minutes=10 * 366 * 24 * 60)
+    return run_to_end(spark, [rows], [end], build, "jobs").select("job_id", "outcome", "status")
+
+
+_BATCHES = f"""WITH r AS (SELECT {_BASE} AS work_id, row_key, raw_title, arrived_at, listing_id % 3 + 1 AS batch, seeders IS NULL AS gone FROM v_listing),
+n AS (SELECT version, work_id, row_key, raw_title, gone, row_number() OVER (PARTITION BY version, work_id ORDER BY batch, arrived_at, row_key) AS i FROM r JOIN (VALUES (1), (2), (3)) v(version) ON batch <= version),
+d AS (SELECT version, work_id, coalesce(max(i) FILTER (gone), 0) AS wiped, max(i) AS last FROM n GROUP BY version, work_id)
+SELECT d.version, d.work_id, l.row_key, l.raw_title, f.row_key AS first_row FROM d JOIN n l ON l.version = d.version AND l.work_id = d.work_id AND l.i = d.last
+ JOIN n f ON f.version = d.version AND f.work_id = d.work_id AND f.i = d.wiped + 1 WHERE d.last > d.wiped"""
+
+
+@query("x3_versioned_table", _BATCHES)
+def x3_versions(spark, sf):
+    """Listings and removals (rows without seeders) arrive in three batches, with a compaction before the last; then all three states are read."""
+    landing, target, state = (new_folder(spark, n) for n in ("landing", "versions", "versions-state"))
+    keys, arrival = ["work_id"], ["arrived_at", "row_key"]
+    rows = table(spark, sf, "v_listing").select(
+        A.base_id(F.col("composite_id")).alias("work_id"), "row_key", "raw_title", "arrived_at", F.col("seeders").isNull().alias("deleted"),
+        (F.col("listing_id") % 3 + 1).alias("batch"),
+    )
+    rows.write.partitionBy("batch").parquet(landing)
+    shape = rows.drop("batch").schema
+    held = {}
+    for batch in (1, 2, 3):
+        if batch == 3:
+            versions.compact(spark, target, keys)
+        arrived = spark.readStream.schema(shape).parquet(f"{landing}/batch={batch}")
+        versions.upsert_stream(arrived, target, f"{state}{batch}", keys, arrival).trigger(availableNow=True).start().awaitTermination()
+        held[batch] = versions.versions(spark, target)[-1]
+    states = [versions.read(spark, target, keys, v).select(F.lit(b).alias("version"), *keys, "row_key", "raw_title", F.col("first_arrival.row_key").alias("first_row")) for b, v in held.items()]
+    return states[0].unionAll(states[1]).unionAll(states[2])
+
+
+_AS_OF = """WITH r AS (SELECT event_id, user_id, ts FROM events WHERE event_type IN ('view', 'click')),
+c AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'purchase' THEN 'downloaded' WHEN 'signup' THEN 'queued' ELSE 'dead' END AS status FROM events WHERE event_type NOT IN ('view', 'click')),
+l AS (SELECT r.event_id, max_by(c.status, struct_pack(a := c.ts, b := c.event_id)) AS status FROM r JOIN c ON c.user_id = r.user_id AND c.ts <= r.ts AND c.ts > r.ts - INTERVAL 6 HOURS GROUP BY r.event_id)
+SELECT r.event_id AS request_id, CAST(r.user_id AS VARCHAR) AS key, l.status, coalesce(l.status = 'downloaded', false) AS available FROM r LEFT JOIN l USING (event_id)"""
+
+
+def _asked_and_told(events):
+    """Views and clicks ask, other events change the status."""
+    asks = F.col("event_type").isin("view", "click")
+    key = F.col("user_id").cast("string").alias("key")
+    status = F.when(F.col("event_type") == "purchase", "downloaded").when(F.col("event_type") == "signup", "queued").otherwise("dead")
+    asked = events.where(asks).select(F.col("event_id").alias("request_id"), key, F.col("ts").alias("at"))
+    told = events.where(~asks).select(key, F.col("ts").alias("changed_at"), F.col("event_id").alias("seq"), status.alias("status"))
+    return asked, told
+
+
+@query("j8_availability_as_of", _AS_OF)
+def j8_as_of(spark, sf):
+    asked, told = _asked_and_told(table(spark, sf, "events"))
+    return availability.as_of(asked, told, GAP_SECONDS).select("request_id", "key", "status", "available")
+
+
+@query("j8_availability_stream", _AS_OF)
+def j8_stream(spark, sf):
+    asked, told = _asked_and_told(event_stream(spark, sf))
+    last = after_end(spark, sf)
+    # the end's own request still waits when the input ends
+    ends = [[(-1, "", last)], [("", last, -1, "dead")]]
+    build = lambda a, t: availability.as_of_stream(a, t, GAP_SECONDS)
+    return run_to_end(spark, [asked, told], ends, build, "as-of").select("request_id", "key", "status", "available")
