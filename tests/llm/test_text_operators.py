@@ -114,6 +114,62 @@ def test_probabilities_sum_to_one_and_use_the_context(spark):
     assert right > mixed + 1
 
 
+def test_score_equals_its_definition(spark, texts):
+    """Every token's class and word probability from the model's vectors and the counts, one at a time."""
+    ids = sorted(texts)[:60]
+    train, test = ids[:50], ids[40:]
+    frame = lambda part: spark.createDataFrame([(d, texts[d]) for d in part], "doc_id LONG, text STRING")
+    model, vocabulary = scoring.learn(frame(train))
+    split = {d: (texts[d] or "").encode().lower().split() + [b""] for d in ids}
+    counts = Counter(w for d in train for w in split[d])
+    ranked = sorted(((w, c) for w, c in counts.items() if c >= sum(counts.values()) / scoring.HEAVY or not w), key=lambda x: (-x[1], x[0]))
+    classes = min(128, max(48, 8 * len(counts).bit_length() - 64))
+    own = [w for w, _ in ranked[: classes * 5 // 8] if w]
+    ends = Counter()
+    for w, c in counts.items():
+        if w and w not in own:
+            ends[w[-2:]] += c
+    suffixes = sorted((s for s in ends), key=lambda s: (-ends[s], s))[: classes - classes * 5 // 8 - 2]
+    kind = lambda w: "end" if not w else w if w in own else ("s", w[-2:]) if w[-2:] in suffixes else "other"
+    number = {**{("s", s): k for k, s in enumerate(suffixes)}, "other": len(suffixes), **{w: len(suffixes) + 1 + k for k, w in enumerate(own)}}
+    number["end"] = len(number)
+    size, held = Counter(), Counter()
+    for w, c in counts.items():
+        size[kind(w)] += 1
+        held[kind(w)] += c
+    given, out, maps, bias = model.vectors
+    assert len(bias) == len(number) == model.size
+
+    def told(words):
+        far = near = number["end"]
+        total = 0.0
+        for w in words:
+            scores = out @ (given[near] @ maps[0] + given[far] @ maps[1]) + bias
+            now = number[kind(w)]
+            total += (scores[now] - scores.max() - np.log(np.exp(scores - scores.max()).sum())) / math.log(10)
+            total += math.log10(counts[w] + 0.1) - math.log10(held[kind(w)] + 0.1 * (size[kind(w)] + 1))
+            far, near = near, now
+        return total
+
+    got = {r.doc_id: r.score for r in scoring.score(frame(test), model, vocabulary).collect()}
+    short = [d for d in test if len(split[d]) < 2000]
+    assert len(short) > 15 and all(got[d] == pytest.approx(told(split[d]), rel=1e-9) for d in short)
+
+
+def test_passes_use_all_counts_and_classes_grow():
+    assert [scoring.class_count(n) for n in (0, 1 << 10, 1 << 17, 1 << 20, 1 << 40)] == [48, 48, 80, 104, 128]
+    draw = np.random.default_rng(4)
+    words = [(b"%c%c" % (97 + i % 26, 97 + i // 26), 1000) for i in range(40)]
+    model = scoring.Model([*words, (b"", 100)], {**{w: (c, 1) for w, c in words}, b"": (100, 1)})
+    v = model.size
+    codes = np.arange(v * v * 3)
+    counts = draw.integers(1, 50, len(codes)).astype(float) * np.where(codes % v < 20, 9, 1)
+    model.train(codes, counts)
+    # a class that follows nine times as often is told so, in contexts that were counted
+    table = 10 ** model.table[0, 1]
+    assert table[:20].sum() > 5 * table[20:40].sum()
+
+
 def test_rare_words_are_counted_across_chunks(spark, monkeypatch):
     rows = [(i, f"w{i} w{i} shared{i % 7} the") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)

@@ -6,12 +6,15 @@ a token into its class and the word in its class:
 
     P(word | context) = P(class | two classes before) * P(word | class)
 
-The frequent words have a class each, other words go by their last two bytes.
+The frequent words have a class each, other words go by their last two bytes;
+there are more classes the more words the training texts have (class_count).
 P(class | context) is a log-bilinear model (Mnih and Hinton): the vectors of
 the two classes before are mapped by one matrix each and added, and the score
 of a class is the product with its output vector plus its bias. It is trained
-in numpy with noise-contrastive estimation against unigram noise, on the counts
-of all class triples of the training texts, CLASSES ** 3 cells at most. For
+in numpy with noise-contrastive estimation against unigram noise. Every pass goes
+over all counted class triples of the training texts, each with its count, and
+over all noise with its probability, so nothing is drawn; a tenth of the counts is
+held out, and passes end when it is told no better. For
 scoring, one matrix product gives the scores of all contexts, normalised over
 the classes. P(word | class) is the smoothed share of the word's count, with
 one place per class for unseen words, so all tokens of a context sum to one.
@@ -43,11 +46,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from titleloom.llm.common import batch, documents, pieces_of, query, remainder, stored
 
 END = b""
-CLASSES, TOP_WORDS = 64, 40
+FEWEST, MOST = 48, 128  # classes
 HEAVY = 1 << 19
 CHUNK = 2_000_000  # tokens
 MEMO = 300_000  # words counted by a task before it passes its counts on
-DIMENSIONS, NOISE, STEPS, ROWS, RATE, DRAW = 16, 16, 800, 4096, 0.02, 20_260_801
+DIMENSIONS, NOISE, PASSES, RATE, DRAW = 24, 16, 600, 0.03, 20_260_801
+LOOK, GAIN = 20, 1e-4  # passes between two looks at the held-out counts, and the gain (nats a token) that is worth more of them
 SMOOTH = 0.1
 
 
@@ -55,6 +59,11 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def class_count(words: int) -> int:
+    """8 classes more for each doubling of the vocabulary."""
+    return min(MOST, max(FEWEST, 8 * words.bit_length() - 64))
+
+
 def _binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary())
 
@@ -86,20 +95,21 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Model:
-    """Counts, classes and class log-probabilities; its size is bounded by HEAVY words and CLASSES ** 3 numbers."""
+    """Counts, classes and class log-probabilities; its size is bounded by HEAVY words and MOST ** 3 numbers."""
 
-    def __init__(self, words: list[tuple[bytes, int]], top: list[bytes], suffixes: dict[bytes, tuple[int, int]]):
-        """words: the heavy ones with counts; top: those with a class of their own; suffixes: tokens and words by last two bytes."""
+    def __init__(self, words: list[tuple[bytes, int]], suffixes: dict[bytes, tuple[int, int]]):
+        """words: the heavy ones with counts, most frequent first; suffixes: tokens and words by last two bytes."""
         counts = dict(words)
         self.total = sum(n for n, _ in suffixes.values())
         self.words = sum(n for _, n in suffixes.values())
         self.base = math.log10(self.total + SMOOTH * (self.words + 1))
-        rest = dict(suffixes)
+        rest, classes = dict(suffixes), class_count(self.words)
+        top = [w for w, _ in words[: classes * 5 // 8]]
         for w in {*top, END} & set(counts):
             n, v = rest[w[-2:]]
             rest[w[-2:]] = (n - counts[w], v - 1)
         ranked = sorted((s for s in rest if rest[s][1]), key=lambda s: (-rest[s][0], s))
-        self.suffix = {s: k for k, s in enumerate(ranked[: CLASSES - TOP_WORDS - 2])}
+        self.suffix = {s: k for k, s in enumerate(ranked[: classes - classes * 5 // 8 - 2])}
         self.other, first = len(self.suffix), len(self.suffix) + 1
         own = {w: first + k for k, w in enumerate(w for w in top if w != END)}
         self.end = first + len(own)
@@ -134,41 +144,55 @@ class Model:
         return (before[:-2] * self.size + before[1:-1]) * self.size + found
 
     def train(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        """Noise-contrastive estimation on draws from the counted triples, then the normalised table."""
+        """Noise-contrastive estimation over all counted triples, then the normalised table."""
         rng, v, d = np.random.default_rng(DRAW), self.size, DIMENSIONS
         unigram = (self.frequency + 1) / (self.frequency + 1).sum()
-        noise = np.cumsum(unigram)
         given, out = rng.normal(0, 0.1, (v, d)), rng.normal(0, 0.1, (v, d))
-        maps, bias = np.stack([np.eye(d), np.eye(d)]) * 0.5, np.log(unigram)
-        values = [given, out, maps, bias]
-        squares = [np.full_like(x, 1e-6) for x in values]
-        drawn = np.cumsum(counts) / max(1, counts.sum())
-        offset = np.log(NOISE * unigram)
-        for _ in range(STEPS if len(codes) else 0):
-            code = codes[np.minimum(np.searchsorted(drawn, rng.random(ROWS)), len(codes) - 1)]
-            far, near, true = code // (v * v), code // v % v, code % v
-            target = np.concatenate([true[:, None], np.minimum(np.searchsorted(noise, rng.random((ROWS, NOISE))), v - 1)], axis=1)
-            mapped = given[near] @ maps[0] + given[far] @ maps[1]
-            score = np.einsum("bd,bkd->bk", mapped, out[target]) + bias[target] - offset[target]
-            slope = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-            slope[:, 0] -= 1
-            slope /= ROWS
-            hit = np.zeros((ROWS, v))
-            np.add.at(hit, (np.arange(ROWS)[:, None], target), slope)
-            back = hit @ out
-            g_given = np.zeros_like(given)
-            np.add.at(g_given, near, back @ maps[0].T)
-            np.add.at(g_given, far, back @ maps[1].T)
-            grads = [g_given, hit.T @ mapped, np.stack([given[near].T @ back, given[far].T @ back]), hit.sum(axis=0)]
-            for value, square, grad in zip(values, squares, grads, strict=True):
+        self.vectors = [given, out, np.stack([np.eye(d), np.eye(d)]) * 0.5, np.log(unigram)]
+        every = np.zeros(v**3)
+        every[codes] = counts
+        tested = rng.binomial(every.astype(np.int64), 0.1).reshape(v * v, v).astype(float)
+        every = every.reshape(v * v, v) - tested
+        total, asked = every.sum(), tested.sum()
+        best, kept = -np.inf, [x.copy() for x in self.vectors]
+        moments = [[np.zeros_like(x), np.zeros_like(x)] for x in self.vectors]
+        offset, of_context = np.log(NOISE * unigram), NOISE * every.sum(axis=1, keepdims=True)
+        for step in range(PASSES + 1 if total and asked else 0):
+            if step % LOOK == 0:
+                told = float((tested * self.normalised().reshape(v * v, v)).sum() / asked)
+                if told > best:
+                    kept = [x.copy() for x in self.vectors]
+                if told < best + GAIN:
+                    break
+                best = told
+            given, out, maps, bias = self.vectors
+            mapped = self.mapped().reshape(v * v, d)
+            true = 1 / (1 + np.exp(np.clip(offset - bias - mapped @ out.T, -30, 30)))
+            slope = (every * (true - 1) + of_context * unigram * true) / total
+            back = (slope @ out).reshape(v, v, d)  # by the class before the last, then by the last
+            near, far = back.sum(axis=0), back.sum(axis=1)
+            grads = [near @ maps[0].T + far @ maps[1].T, slope.T @ mapped, np.stack([given.T @ near, given.T @ far]), slope.sum(axis=0)]
+            rate = RATE / (1 + step / 200)
+            for value, (mean, square), grad in zip(self.vectors, moments, grads, strict=True):
+                mean *= 0.9
+                mean += 0.1 * grad
                 square *= 0.99
                 square += 0.01 * grad * grad
-                value -= RATE * grad / np.sqrt(square + 1e-12)
-        mapped = (given @ maps[0])[None, :, :] + (given @ maps[1])[:, None, :]
-        score = mapped.reshape(-1, d) @ out.T + bias
-        score -= score.max(axis=1, keepdims=True)
-        score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
-        self.table = (score / math.log(10)).reshape(v, v, v)
+                value -= rate * (mean / (1 - 0.9 ** (step + 1))) / (np.sqrt(square / (1 - 0.99 ** (step + 1))) + 1e-9)
+        self.vectors = kept
+        self.table = self.normalised() / math.log(10)
+
+    def mapped(self) -> np.ndarray:
+        """The vector that each context (far class, near class) predicts."""
+        given, _, maps, _ = self.vectors
+        return (given @ maps[0])[None, :, :] + (given @ maps[1])[:, None, :]
+
+    def normalised(self) -> np.ndarray:
+        """Log-probability of each class in each context."""
+        _, out, _, bias = self.vectors
+        score = self.mapped() @ out.T + bias
+        score -= score.max(axis=2, keepdims=True)
+        return score - np.log(np.exp(score).sum(axis=2, keepdims=True))
 
 
 def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
@@ -180,7 +204,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     total = sum(c for c, _ in suffixes.values())
     heavy = vocabulary.where((F.col("c") >= total / HEAVY) | (F.col("word") == F.lit(END)))
     words = sorted(((bytes(r["word"]), r["c"]) for r in heavy.toLocalIterator()), key=lambda w: (-w[1], w[0]))
-    model = Model(words, [w for w, _ in words[:TOP_WORDS]], suffixes)
+    model = Model(words, suffixes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cells = model.size**3
     schema = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())])
