@@ -5,7 +5,12 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from titleloom.streaming import availability, versions
+from tests.conftest import SF_DIR
+from titleloom.queries.base import table
+from titleloom.operators import link, lookup
+from titleloom.queries.joins import clean_titles
+from titleloom.sources import keyed, payloads
+from titleloom.streaming import availability, standing, versions
 from titleloom.streaming.bounded import run_to_end
 
 T0 = datetime(2024, 1, 1)
@@ -128,3 +133,74 @@ def test_availability_as_of_the_request(spark, tmp_path, seed):
     found = run_to_end(spark, streams, ends, lambda a, t: availability.as_of_stream(a, t, 900, "30 minutes"), "as-of")
     assert {r.request_id: (r.status, r.available) for r in found.collect()} == wanted
     assert found.count() == len(asked)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return sum(("Exchange" in line) and ("ReusedExchange" not in line) for line in plan.splitlines()), plan
+
+
+def test_joins_of_keyed_tables_move_nothing(spark, tmp_path, no_broadcast):
+    items, listings = table(spark, SF_DIR, "v_item"), table(spark, SF_DIR, "v_store")
+    path = str(tmp_path / "items")
+    left = keyed.write_keyed(items, "items", ["content_hash"], 4, path)
+    right = spark.table(keyed.write_keyed(listings, "listings", ["content_hash"], 4))
+    again = keyed.register(spark, "items_again", path, items.schema, ["content_hash"], 4)
+    assert len(list((tmp_path / "items").glob("*.parquet"))) == 4
+    for stored in (spark.table(left), again):
+        for df, plain in (
+            (stored.join(right, "content_hash").select("item_key", "row_key"), items.join(listings, "content_hash").select("item_key", "row_key")),
+            (lookup.orphans(stored, right.where("seeders > 30"), "content_hash").select("item_key"), lookup.orphans(items, listings.where("seeders > 30"), "content_hash").select("item_key")),
+        ):
+            n, plan = exchanges(df)
+            assert n == 0, plan
+            assert sorted(map(tuple, df.collect())) == sorted(map(tuple, plain.collect()))
+    spark.sql("DROP TABLE items_again")
+
+
+def test_a_batch_does_not_move_the_standing_queries(spark, tmp_path, no_broadcast):
+    queries, titles = table(spark, SF_DIR, "v_query"), clean_titles(spark, SF_DIR)
+    stored = standing.store_queries(queries, 4)
+    arrived = str(tmp_path / "titles")
+    titles.limit(200).write.parquet(arrived)
+    n, plan = exchanges(standing.match(spark, spark.read.parquet(arrived), stored))
+    # the batch is dealt to its blocks, the stored side lies there
+    assert n == 1 and "SortMergeJoin" in plan, plan
+    half = lambda k: standing.match(spark, titles.where(f"pmod(xxhash64(title), 2) = {k}"), stored)
+    both = half(0).unionAll(half(1)).select("query_id", "title", "match_type")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, link.link_titles(queries, titles).select("query_id", "title", "match_type").collect()))
+
+
+def test_a_source_that_fails_costs_its_own_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("provider", T.StringType()), T.StructField("title", T.StringType()), T.StructField("seeders", T.LongType())])
+    good = spark.range(10).select(F.lit("a").alias("provider"), F.concat(F.lit("t"), "id").alias("title"), F.lit("x").alias("more"))
+    (tmp_path / "bad.parquet").write_text("no parquet at all")
+
+    def raises():
+        raise RuntimeError("no route\nto host")
+
+    sources = {
+        "good": lambda: good, "missing": lambda: spark.read.parquet(str(tmp_path / "none")), "corrupt": lambda: spark.read.schema(schema).parquet(str(tmp_path / "bad.parquet")),
+        "late": lambda: good.select("provider", F.when(F.col("title") == "t7", F.raise_error(F.lit("reset"))).otherwise(F.col("title")).alias("title")), "raises": raises,
+    }
+    rows, report = payloads.gather_sources(spark, sources, schema)
+    assert rows.columns == schema.fieldNames() and sorted(r.title for r in rows.collect()) == [f"t{i}" for i in range(10)]
+    held = {r.source: r for r in report.collect()}
+    assert {n: (r.ok, r.rows) for n, r in held.items()} == {"good": (True, 10), "missing": (False, 0), "corrupt": (False, 0), "late": (False, 0), "raises": (False, 0)}
+    assert held["raises"].error == "no route" and held["late"].error and held["good"].error is None
+    none, report = payloads.gather_sources(spark, {"raises": raises}, schema)
+    assert none.collect() == [] and report.count() == 1

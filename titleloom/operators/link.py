@@ -111,11 +111,20 @@ def link_titles(
     words; a pair that shares several is kept only at its first shared one,
     which needs no second shuffle. The blocking is lossless.
     """
+    return link_indexed(query_index(queries, query_id, query_title), titles, title, min_confidence, keep)
+
+
+def query_index(queries: DataFrame, query_id: str = "query_id", title: str = "title") -> DataFrame:
+    """The wanted titles by blocking word (block), with what the match rules need of them."""
     # explode_outer: explode would infer a filter on the block list, which is
     # pushed down and computes the list for every listing. The join drops nulls.
-    wanted = _wanted(queries, query_id, query_title).withColumn("block", F.explode_outer("q_blocks"))
+    return _wanted(queries, query_id, title).withColumn("block", F.explode_outer("q_blocks"))
+
+
+def link_indexed(index: DataFrame, titles: DataFrame, title: str = "title", min_confidence: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
+    """link_titles with the output of query_index, which may be stored."""
     offered = _offered(titles, title, keep).withColumn("block", F.explode_outer("r_blocks"))
-    pairs = offered.join(wanted, "block").where(
+    pairs = offered.join(index, "block").where(
         F.col("block")
         == F.get(F.filter("q_blocks", lambda b: F.array_contains(F.col("r_blocks"), b)), F.lit(0))
     )

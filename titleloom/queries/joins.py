@@ -17,10 +17,10 @@ def clean_titles(spark, sf):
     return table(spark, sf, "v_listing").select(X.clean_listing_title(F.col("raw_title")).alias("title")).distinct()
 
 
-@query(
-    "j1_title_linkage",
-    f"WITH {S.search_tables('SELECT query_id, title FROM v_query', _CLEAN_TITLES)} SELECT query_id, title, match_type, round(confidence, 6) AS confidence FROM linked",
-)
+LINKED = f"WITH {S.search_tables('SELECT query_id, title FROM v_query', _CLEAN_TITLES)} SELECT query_id, title, match_type, round(confidence, 6) AS confidence FROM linked"
+
+
+@query("j1_title_linkage", LINKED)
 def j1(spark, sf):
     pairs = link.link_titles(table(spark, sf, "v_query"), clean_titles(spark, sf))
     return pairs.withColumn("confidence", F.round("confidence", 6))

@@ -11,7 +11,7 @@ from titleloom.queries import sqltext as S
 from titleloom.queries.base import query, table
 from titleloom.queries.columns import LINK_PATTERN
 from titleloom.queries.ranks import _upsert_sql
-from titleloom.sources import catalogue, pages, payloads
+from titleloom.sources import catalogue, keyed, pages, payloads
 from titleloom.workspace import new_folder
 
 SITE_RULES = (
@@ -240,6 +240,57 @@ def s8(spark, sf):
     return every.select("provider", "title", "link", "source_row")
 
 
+_GOOD = "SELECT provider, row_key AS source_row FROM v_listing WHERE seeders IS NOT NULL"
+
+
+def some_fail(spark, sf):
+    """Four sources: two that can be read, one that is not there, one that breaks off in the middle."""
+    rows = table(spark, sf, "v_listing").select("provider", F.col("row_key").alias("source_row"), "seeders")
+    broken = rows.withColumn("provider", F.when(F.col("seeders") > 40, F.raise_error(F.lit("connection reset"))).otherwise(F.col("provider")))
+    sources = {
+        "few": lambda: rows.where("seeders < 25"), "missing": lambda: spark.read.parquet(f"{sf}/no_such_source.parquet"),
+        "broken": lambda: broken, "many": lambda: rows.where("seeders >= 25").drop("seeders"),
+    }
+    return payloads.gather_sources(spark, sources, rows.drop("seeders").schema)
+
+
+@query("s8_gather_with_failures", _GOOD)
+def s8_failures(spark, sf):
+    return some_fail(spark, sf)[0]
+
+
+@query(
+    "s8_source_report",
+    """SELECT 'few' AS source, true AS ok, count(*) AS rows FROM v_listing WHERE seeders < 25
+UNION ALL SELECT 'many', true, count(*) FROM v_listing WHERE seeders >= 25 UNION ALL SELECT 'missing', false, 0 UNION ALL SELECT 'broken', false, 0""",
+)
+def s8_report(spark, sf):
+    return some_fail(spark, sf)[1].drop("error")
+
+
+@query(
+    "s9_bucketed_join",
+    """SELECT i.content_hash, item_key, row_key, seeders FROM v_item i JOIN v_store USING (content_hash)""",
+)
+def s9_bucketed(spark, sf):
+    """Items and their listings, both stored by content hash: the join moves neither."""
+    items, listings = bucketed(spark, sf)
+    return items.join(listings, "content_hash").select("content_hash", "item_key", "row_key", "seeders")
+
+
+@query("j9_orphans_bucketed", "SELECT item_key FROM v_item WHERE content_hash NOT IN (SELECT content_hash FROM v_store WHERE seeders > 30)")
+def j9_bucketed(spark, sf):
+    """Items whose listing is not among the well-seeded ones, both sides stored by content hash."""
+    items, listings = bucketed(spark, sf)
+    return lookup.orphans(items, listings.where("seeders > 30"), "content_hash").select("item_key")
+
+
+def bucketed(spark, sf):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = (keyed.write_keyed(table(spark, sf, view), view, ["content_hash"], buckets) for view in ("v_item", "v_store"))
+    return [spark.table(name).hint("merge") for name in names]  # both may be large
+
+
 @query(
     "s9_keyed_tables",
     f"""SELECT content_hash, row_key AS source_id, raw_title AS title, size_bytes, CASE WHEN regexp_matches(composite_id, '^tt\\d+:\\d+:\\d+$') THEN 'series' ELSE 'movie' END AS type,

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from titleloom.functions import attributes as A
 from titleloom.queries.base import query, table
+from titleloom.queries.joins import LINKED, clean_titles
 from titleloom.queries.ranks import _BASE, _upsert_sql
-from titleloom.streaming import availability, jobs, sessions, ttl, upsert, versions
+from titleloom.streaming import availability, jobs, sessions, standing, ttl, upsert, versions
 from titleloom.streaming.bounded import STATE_STORE, STORE_SETTING, run_to_end
 from titleloom.workspace import new_folder
 
@@ -220,3 +221,15 @@ def j8_stream(spark, sf):
     ends = [[(-1, "", last)], [("", last, -1, "dead")]]
     build = lambda a, t: availability.as_of_stream(a, t, GAP_SECONDS)
     return run_to_end(spark, [asked, told], ends, build, "as-of").select("request_id", "key", "status", "available")
+
+
+@query("j1_standing_stream", LINKED)
+def j1_standing(spark, sf):
+    """Titles arrive file by file and meet the stored queries; all batches together link what one batch job links."""
+    landing, buckets = new_folder(spark, "landing"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    clean_titles(spark, sf).write.parquet(landing)
+    files = max(1, len(spark.read.parquet(landing).inputFiles()) // 3)
+    arriving = spark.readStream.schema("title STRING").option("maxFilesPerTrigger", files).parquet(landing)
+    stored = standing.store_queries(table(spark, sf, "v_query"), buckets)
+    pairs = drain(spark, standing.match(spark, arriving, stored), "linked")
+    return pairs.select("query_id", "title", "match_type", F.round("confidence", 6).alias("confidence"))

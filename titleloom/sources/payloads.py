@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titleloom import rules, schemas
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
 from titleloom.operators.lookup import estimated_seeders
+from titleloom.workspace import new_folder
 
 
 def _listing(
@@ -127,3 +129,33 @@ def gather(*sources: DataFrame | None) -> DataFrame:
     for source in present[1:]:
         out = out.unionByName(source, allowMissingColumns=True)
     return out
+
+
+REPORT = "source STRING, ok BOOLEAN, rows BIGINT, error STRING"
+
+
+def gather_sources(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(listings, report) of named sources, of which any may fail (runs a write per source).
+
+    A source is a function that gives its listings. Each is read on its own
+    and its rows are written; one that raises, in planning or while it is read,
+    costs its own rows only and is reported with its error. Columns that a source
+    does not have are null, others than those of schema are left out. report has
+    a row per source; a session that is lost is no fault of a source and raises.
+    """
+    held, report = [spark.createDataFrame([], schema)], []
+    for name, source in sources.items():
+        path = new_folder(spark, "source")
+        try:
+            rows = source()
+            found = set(rows.columns)
+            rows = rows.select(*[(F.col(f"`{f.name}`") if f.name in found else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+            rows.write.parquet(path)
+            read = spark.read.schema(schema).parquet(path)
+            report.append((name, True, read.count(), None))
+            held.append(read)
+        except Exception as error:
+            if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+                raise
+            report.append((name, False, 0, (str(error).splitlines() or [type(error).__name__])[0][:500]))
+    return gather(*held), spark.createDataFrame(report, REPORT)
