@@ -7,7 +7,7 @@ import pytest
 
 from tests.conftest import SF_DIR
 from titleloom.queries.base import table
-from titleloom.operators import link, lookup
+from titleloom.operators import link, lookup, spans
 from titleloom.queries.joins import clean_titles
 from titleloom.sources import keyed, payloads
 from titleloom.streaming import availability, standing, versions
@@ -204,3 +204,20 @@ def test_a_source_that_fails_costs_its_own_rows(spark, tmp_path):
     assert held["raises"].error == "no route" and held["late"].error and held["good"].error is None
     none, report = payloads.gather_sources(spark, {"raises": raises}, schema)
     assert none.collect() == [] and report.count() == 1
+
+
+def test_spans_from_stored_days(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rng, path = random.Random(3), str(tmp_path / "days")
+    rows = [(T0 + timedelta(hours=rng.randint(0, 24 * 20)), rng.choice("ab"), rng.choice([None, *map(str, range(4000))])) for _ in range(9000)]
+    for part in (rows[:3000], rows[3000:]):
+        frame = spark.createDataFrame(part, "ts TIMESTAMP, kind STRING, key STRING")
+        spans.append(spans.summarise(frame, F.col("ts"), ["kind"], "key"), path)
+    found = spans.of_span(spark, path, F.lit("all"), ["kind"], "2024-01-05", "2024-01-12")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan  # other days are not read
+    for r in found.collect():
+        own = [k for t, kind, k in rows if kind == r.kind and datetime(2024, 1, 5) <= t < datetime(2024, 1, 12)]
+        exact = len(set(own) - {None})
+        assert r.rows == len(own) and abs(r["distinct"] - exact) <= 0.03 * exact

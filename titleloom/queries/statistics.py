@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from titleloom import rules
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
-from titleloom.operators import quality, stats
+from titleloom.operators import quality, spans, stats
 from titleloom.plans import search
 from titleloom.queries import sqltext as S
 from titleloom.queries.base import query, table
 from titleloom.queries.columns import LINK_PATTERN
 from titleloom.queries.ranks import SEARCH_SQL
+from titleloom.workspace import new_folder
 
 TIERS = ("2160p", "1080p", "720p", "480p", "HD")
 
@@ -63,6 +64,33 @@ def a5(spark, sf):
     return stats.catalogue_stats(table(spark, sf, "v_listing"), "work_id")
 
 
+def within(spark, exact, rows, day, span, key, cut):
+    """Spans counted from the summaries of two batches, with whether the distinct count is within 3 % of the exact one."""
+    path = new_folder(spark, "summaries")
+    for part in (rows.where(cut), rows.where(~cut)):
+        spans.append(spans.summarise(part, day, [], key), path)
+    found = spans.of_span(spark, path, span)
+    close = F.abs(F.col("distinct") - F.col("exact")) <= F.col("exact") * 0.03
+    return found.join(exact, "span").select("span", "rows", close.alias("close"))
+
+
+@query("a5_works_by_span", "SELECT year(arrived_at)::INT AS span, count(*) AS rows, true AS close FROM v_listing GROUP BY 1")
+def a5_span(spark, sf):
+    """Listings and works by year, from the stored months of two batches."""
+    rows = table(spark, sf, "v_listing").select("work_id", "arrived_at", "listing_id")
+    exact = rows.groupBy(F.year("arrived_at").alias("span")).agg(F.count_distinct("work_id").alias("exact"))
+    return within(spark, exact, rows, F.trunc("arrived_at", "month"), F.year("day"), "work_id", F.col("listing_id") % 2 == 0)
+
+
+@query("a6_users_by_span", "SELECT CAST(date_trunc('week', ts) AS DATE)::VARCHAR AS span, count(*) AS rows, true AS close FROM events GROUP BY 1")
+def a6_span(spark, sf):
+    """Requests and users by week, from the stored days of two batches."""
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id")
+    week = lambda c: F.trunc(c, "week").cast("string")
+    exact = rows.groupBy(week(F.col("ts").cast("date")).alias("span")).agg(F.count_distinct("user_id").alias("exact"))
+    return within(spark, exact, rows, F.col("ts"), week("day"), "user_id", F.col("event_id") % 2 == 0)
+
+
 @query(
     "a6_sessions",
     "SELECT user_id, CAST(min(ts) AS VARCHAR) AS created_at, CAST(max(ts) AS VARCHAR) AS last_used, count(*) AS requests FROM events GROUP BY user_id",
