@@ -11,7 +11,8 @@ from titleloom.llm.queries import ORACLES
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_oracle(result, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     found = con.execute(ORACLES[name])
     columns = [d[0] for d in found.description]
     rows = result(name)
