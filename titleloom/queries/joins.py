@@ -8,6 +8,7 @@ from titleloom.functions import text as X
 from titleloom.operators import link, lookup
 from titleloom.queries import sqltext as S
 from titleloom.queries.base import query, table
+from titleloom.sources import points
 from titleloom.workspace import stored
 
 _CLEAN_TITLES = f"SELECT DISTINCT {S.cleaned('raw_title')} AS title FROM v_listing"
@@ -107,6 +108,19 @@ def j7(spark, sf):
     return lookup.fetch(table(spark, sf, "v_listing"), wanted, "content_hash").select("row_key", "content_hash")
 
 
+@query(
+    "j7_point_reads",
+    """SELECT row_key, content_hash FROM v_listing WHERE content_hash IN (SELECT md5(concat('o',o_orderkey)) FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100)""",
+)
+def j7_points(spark, sf):
+    """Listings of the hundred dearest orders, read by key from the stored catalogue."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = points.write_points(table(spark, sf, "v_listing").select("row_key", "content_hash"), "catalogue", "content_hash", buckets)
+    dearest = table(spark, sf, "orders").orderBy(F.col("o_totalprice").desc(), F.col("o_orderkey")).limit(100)
+    wanted = dearest.select(F.md5(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).alias("content_hash"))
+    return points.fetch_points(spark.table(name), wanted, "content_hash")
+
+
 @query(
     "j8_availability",
     """SELECT row_key, coalesce(s.status='downloaded', false) AS available FROM v_listing l LEFT JOIN v_status s ON lower(l.content_hash)=lower(s.content_hash)""",
@@ -136,6 +150,24 @@ def j9(spark, sf):
     )
 
 
+@query(
+    "j10_point_insert",
+    """WITH old AS (SELECT content_hash, row_key, raw_title, arrived_at FROM v_listing WHERE arrived_at < TIMESTAMP '1998-07-01'),
+new AS (SELECT content_hash, row_key, raw_title, arrived_at, row_number() OVER (PARTITION BY content_hash ORDER BY arrived_at, row_key) AS n
+ FROM v_listing WHERE arrived_at >= TIMESTAMP '1998-07-01' AND content_hash NOT IN (SELECT content_hash FROM old))
+SELECT content_hash, row_key, raw_title FROM old UNION ALL SELECT content_hash, row_key, raw_title FROM new WHERE n=1""",
+)
+def j10_points(spark, sf):
+    """The stored catalogue after two batches of later listings (the second brings the first again)."""
+    listings = table(spark, sf, "v_listing").select("content_hash", "row_key", "raw_title", "arrived_at")
+    split, buckets = F.lit("1998-07-01").cast("timestamp_ntz"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = points.write_points(listings.where(F.col("arrived_at") < split), "catalogue", "content_hash", buckets)
+    batch = listings.where(F.col("arrived_at") >= split)
+    for _ in range(2):
+        points.insert_points(spark, name, batch, "content_hash", ["arrived_at", "row_key"], buckets)
+    return spark.table(name).select("content_hash", "row_key", "raw_title")
+
+
 @query(
     "j10_insert_if_absent",
     """WITH old AS (SELECT content_hash FROM v_listing WHERE arrived_at < TIMESTAMP '1998-01-01'),
