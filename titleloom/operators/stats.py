@@ -110,12 +110,12 @@ def main_item(
     )
 
 
-def nested_by_work(df: DataFrame, work_id: str, order: Sequence[str], values: Sequence[str], parts: int = 1) -> DataFrame:
+def nested_by_work(df: DataFrame, work_id: str, order: Sequence[str], values: Sequence[str], parts: int) -> DataFrame:
     """(work_id, part, entries): the listings of a work as sorted arrays.
 
-    A work has one array, or, with more parts, one for each of this number of
-    hash ranges of its order columns that has listings; how many listings there
-    are never changes the shape. Choose parts so that a hot work's array fits.
+    A work has one array for each of `parts` hash ranges of its order columns
+    that has listings; how many listings there are never changes the shape.
+    Choose parts so that a part of the hottest work fits in a task.
     """
     spread = F.conv(F.substring(F.md5(F.concat_ws("|", *order)), 1, 8), 16, 10).cast("bigint")
     placed = df.withColumn("part", F.floor(spread * parts / float(1 << 32)).cast("bigint"))

@@ -174,7 +174,7 @@ def a10(spark, sf):
 @query("a10_flattened", "SELECT work_id, row_key, raw_title FROM v_listing")
 def a10_flat(spark, sf):
     rows = table(spark, sf, "v_listing").select("work_id", "row_key", "raw_title")
-    return stats.flattened(stats.nested_by_work(rows, "work_id", ["row_key"], ["raw_title"]), "work_id")
+    return stats.flattened(stats.nested_by_work(rows, "work_id", ["row_key"], ["raw_title"], parts=4), "work_id")
 
 
 @query(
