@@ -17,11 +17,11 @@ scored AS (SELECT query_id, row_key, link, l.title, tier, seeders, size_bytes, m
 best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, tier ORDER BY confidence DESC, relevance_score DESC, seeders DESC, size_bytes DESC, row_key) AS INT) AS rank FROM scored) x WHERE rank<=3)"""
 
 
-@query(
-    "w1_best_per_tier",
-    f"""WITH {SEARCH_SQL} SELECT query_id, tier, rank, row_key, title, match_type, round(confidence,6) AS confidence, relevance_score, seeders, size_bytes,
- CASE tier WHEN '2160p' THEN 1 WHEN '1080p' THEN 2 WHEN '720p' THEN 3 ELSE 4 END AS tier_order FROM best""",
-)
+BEST_SQL = f"""WITH {SEARCH_SQL} SELECT query_id, tier, rank, row_key, title, match_type, round(confidence,6) AS confidence, relevance_score, seeders, size_bytes,
+ CASE tier WHEN '2160p' THEN 1 WHEN '1080p' THEN 2 WHEN '720p' THEN 3 ELSE 4 END AS tier_order FROM best"""
+
+
+@query("w1_best_per_tier", BEST_SQL)
 def w1(spark, sf):
     best = search.best_matches(table(spark, sf, "v_query"), search.searchable(table(spark, sf, "v_listing")))
     return best.select(

@@ -5,11 +5,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from titleloom.functions import attributes as A
+from titleloom.operators import rank
+from titleloom.plans import search
 from titleloom.queries.base import query, table
 from titleloom.queries.joins import LINKED, clean_titles
-from titleloom.queries.ranks import _BASE, _upsert_sql
-from titleloom.streaming import availability, jobs, sessions, standing, ttl, upsert, versions
-from titleloom.streaming.bounded import STATE_STORE, STORE_SETTING, run_to_end
+from titleloom.queries.ranks import BEST_SQL, _BASE, _upsert_sql
+from titleloom.streaming import availability, health, jobs, leaders, requests, sessions, standing, ttl, upsert, versions
+from titleloom.streaming.bounded import STATE_STORE, STORE_SETTING, run_in_steps, run_to_end
 from titleloom.workspace import new_folder
 
 GAP_SECONDS = 6 * 3600
@@ -233,3 +235,94 @@ def j1_standing(spark, sf):
     stored = standing.store_queries(table(spark, sf, "v_query"), buckets)
     pairs = drain(spark, standing.match(spark, arriving, stored), "linked")
     return pairs.select("query_id", "title", "match_type", F.round("confidence", 6).alias("confidence"))
+
+
+@query("w1_best_stream", BEST_SQL)
+def w1_stream(spark, sf):
+    """Listings arrive in three parts and meet the stored queries; the changes of the best three, replayed, give what one batch job gives."""
+    listings = search.searchable(table(spark, sf, "v_listing")).drop("link")
+    parts = [listings.where(F.pmod(F.xxhash64("row_key"), F.lit(3)) == i) for i in range(3)]
+    stored = standing.store_queries(table(spark, sf, "v_query"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out, state = new_folder(spark, "best"), new_folder(spark, "best-state")
+    shapes = []
+
+    def start(arriving):
+        pairs = standing.match(spark, arriving, stored, keep=["row_key", "tier", "seeders", "size_bytes"])
+        score = A.relevance_score(F.col("tier"), F.col("confidence"), F.col("title"), F.col("seeders"))
+        changes = leaders.best_changes(pairs.withColumn("relevance_score", score), ["title", "match_type"])
+        shapes.append(changes.schema)
+        return changes.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append")
+
+    run_in_steps(spark, parts, start, "listings")
+    best = rank.best_per_tier(leaders.replayed(spark.read.schema(shapes[-1]).parquet(out)))
+    return best.select(
+        "query_id", "tier", "rank", "row_key", "title", "match_type", F.round("confidence", 6).alias("confidence"),
+        "relevance_score", "seeders", "size_bytes", "tier_order",
+    )
+
+
+LATE_SECONDS = 1800
+
+
+def by_arrival(events, steps=3):
+    """The events in parts of equal time, each row up to half an hour late."""
+    arrival = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(LATE_SECONDS))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_arrival", arrival)
+    first, last = rows.agg(F.min("_arrival"), F.max("_arrival")).first()
+    step = F.floor((F.col("_arrival") - F.lit(first)) * steps / F.lit((last or 0) - (first or 0) + 1))
+    part = F.coalesce(step, F.lit(0))
+    return [rows.where(part == i).drop("_arrival") for i in range(steps)]
+
+
+@query(
+    "t19_requests_once_stream",
+    """SELECT DISTINCT CASE WHEN event_type='signup' THEN concat('app://', user_id) ELSE
+ array_to_string(list_filter([event_type, nullif(CAST(user_id AS VARCHAR),''), json_extract_string(props,'$.k')], lambda x: x IS NOT NULL AND x<>''), '|') END AS request_key,
+ CAST(CAST(date_trunc('hour', ts) AS TIMESTAMP) AS VARCHAR) AS span_start FROM events""",
+)
+def t19_stream(spark, sf):
+    """Requests that come again within the hour are answered once, whatever the order of their arrival."""
+    url = F.when(F.col("event_type") == "signup", F.concat(F.lit("app://"), F.col("user_id").cast("string")))
+    key = A.request_key([F.col("event_type"), F.col("user_id"), F.get_json_object("props", "$.k")], url).alias("request_key")
+    out, state = new_folder(spark, "once"), new_folder(spark, "once-state")
+
+    def start(arriving):
+        found = requests.once(arriving.select(key, "ts"), "request_key", "ts", 3600, 3600).select("request_key", "span_start")
+        return found.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append")
+
+    run_in_steps(spark, by_arrival(table(spark, sf, "events")), start, "requests")
+    found = spark.read.schema("request_key STRING, span_start TIMESTAMP").parquet(out)
+    return found.select("request_key", F.col("span_start").cast("string").alias("span_start"))
+
+
+_HEALTH = """WITH p AS (SELECT s.w AS w, event_type AS source, count(*) AS probes, count(*) FILTER (event_type='error' OR value<1) AS failures, round(avg(value) FILTER (event_type<>'error' AND value>=1), 6) AS mean_time
+ FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOURS]) AS w FROM events) s GROUP BY 1, 2)
+SELECT CAST(w AS VARCHAR) AS window_start, source, probes, failures, mean_time, mean_time IS NOT NULL AS healthy, rank, rank=1 AS chosen
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY w ORDER BY mean_time IS NULL, mean_time, source) AS INT) AS rank FROM p) x"""
+PROBE_ORDER = ["click", "purchase", "signup", "view"]
+
+
+def _probe():
+    return (F.col("event_type") != "error") & (F.col("value") >= 1), F.col("value")
+
+
+def _ranked_health(windows):
+    return health.chosen(windows, PROBE_ORDER).select(
+        F.col("window_start").cast("string").alias("window_start"), "source", "probes", "failures", "mean_time", "healthy", "rank", "chosen"
+    )
+
+
+@query("a7_health_by_window", _HEALTH)
+def a7_windows(spark, sf):
+    ok, time = _probe()
+    return _ranked_health(health.per_window(table(spark, sf, "events"), "event_type", ok, time, "ts", "12 hours", "6 hours"))
+
+
+@query("a7_health_stream", _HEALTH)
+def a7_stream(spark, sf):
+    """Probes arrive in three parts; the last update of each window equals the batch form."""
+    ok, time = _probe()
+    path, state = new_folder(spark, "health"), new_folder(spark, "health-state")
+    start = lambda rows: health.update_stream(rows, path, state, "event_type", ok, time, "ts", "12 hours", "6 hours", f"{LATE_SECONDS} seconds")
+    run_in_steps(spark, by_arrival(table(spark, sf, "events")), start, "probes")
+    return _ranked_health(health.latest(spark, path))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter
 
 from titleloom.workspace import new_folder
 
@@ -41,3 +42,21 @@ def run_to_end(
     finally:
         spark.conf.unset(STORE_SETTING) if before is None else spark.conf.set(STORE_SETTING, before)
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_in_steps(spark: SparkSession, parts: Sequence[DataFrame], start: Callable[[DataFrame], DataStreamWriter], name: str) -> None:
+    """Let the parts arrive one after the other, each as one micro-batch (runs the stream).
+
+    start gives the writer of the stream of all parts, with its checkpoint; it is
+    started anew for each part and goes on where it stopped.
+    """
+    landing = new_folder(spark, name)
+    before = spark.conf.get(STORE_SETTING, None)
+    spark.conf.set(STORE_SETTING, STATE_STORE)
+    try:
+        for part in parts:
+            part.write.mode("append").parquet(landing)
+            arriving = spark.readStream.schema(part.schema).parquet(landing)
+            start(arriving).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(STORE_SETTING) if before is None else spark.conf.set(STORE_SETTING, before)
