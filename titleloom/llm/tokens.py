@@ -16,6 +16,7 @@ RUNS = re.compile(r"\s\s")
 MEMO_WORDS = 350_000
 MEMO_LENGTH = 48
 WIDTH = 4  # bytes of an id
+SPECIAL = "<|endoftext|>"  # fixed value of the vocabulary: one id, the first after the ranks
 
 
 class _Memo(dict):
@@ -43,7 +44,8 @@ class Encoder:
     The vocabulary's pattern never lets a token run from a word across a blank:
     the blank starts the next token. So where no two white space characters
     meet, a text may be encoded word by word and equal words give equal ids.
-    Texts with such runs are encoded whole.
+    Texts with such runs are encoded whole. The special string is one id wherever
+    it stands, and what is on its two sides is encoded apart.
     """
 
     def __init__(self, path: str):
@@ -52,11 +54,17 @@ class Encoder:
         self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.first, self.rest = _Memo("", self._plain), _Memo(" ", self._plain)
         self.newline = self._plain("\n")
+        self.special = array.array("I", [len(ranks)]).tobytes()
 
     def _plain(self, text: str) -> bytes:
         return array.array("I", self.encoding.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if SPECIAL in text:
+            return self.special.join(map(self._ordinary, text.split(SPECIAL)))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if RUNS.search(text):
             return self._plain(text)
         first, rest, lines = self.first, self.rest, []
