@@ -80,6 +80,9 @@ def fetch_points(table: DataFrame, wanted: DataFrame, key: str, key_limit: int =
 def insert_points(
     spark: SparkSession, table: str, batch: DataFrame, key: str, arrival: Sequence[str], buckets: int, key_limit: int = KEY_LIMIT
 ) -> None:
-    """Append to the table the rows of the batch with new keys, the first arrival of each (reads and writes)."""
+    """Append to the table the rows of the batch with new keys, the first arrival of each (reads and writes).
+
+    As in insert_if_absent a null key equals no stored one, so each batch that has any adds one row of it.
+    """
     known = fetch_points(spark.table(table), batch, key, key_limit).select(key)
     append_points(lookup.insert_if_absent(known, batch, key, arrival), table, key, buckets)
