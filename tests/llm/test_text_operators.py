@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm.conftest import LONG, ODD
 from titleloom.llm import languages as lang
@@ -209,6 +210,20 @@ def test_language_equals_plain_compression(spark, texts, languages):
     assert lang.learn(docs, "text", "lang") == models
 
 
+def test_language_draws_the_smallest_hashes_of_each_language(spark):
+    rows = [(lang_name, f"{word} text {i:03d} " + word * (i % 7)) for lang_name, word in (("de", "wort"), ("en", "word")) for i in range(300)]
+    rows = [(name, t.translate(str.maketrans("0123456789", "abcdefghij"))) for name, t in rows] * 2
+    models = lang.learn(spark.createDataFrame(rows, "lang STRING, text STRING").repartition(40), "text", "lang", texts=60)
+
+    def order(text):
+        key = xxhash.xxh64_intdigest(text, 42)
+        return key & ((1 << 30) - 1), key - (1 << 64 if key >> 63 else 0)
+
+    for name in ("de", "en"):
+        drawn = sorted({t for n, t in rows if n == name}, key=order)[:60]
+        assert models[name] == (b" ".join(lang.letters(t) for t in drawn), 600)
+
+
 def test_language_odd_rows(odd, empty, spark):
     rows = [(i, "the cat and the dog in the house") for i in range(5)] + [(i, "der hund und die katze im haus") for i in range(5)]
     labelled = spark.createDataFrame([(i, t, "en" if "cat" in t else "de") for i, t in rows], "doc_id LONG, text STRING, lang STRING")

@@ -34,6 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from titleloom.llm.common import batch, documents, pieces_of, query, remainder
 
 TEXTS, BYTES_PER_LANGUAGE, PIECE, LEVEL = 400, 220_000, 2000, 3
+SLICES = 16
 UNKNOWN = "und"
 MIN_MARGIN = 0.004
 ADDED = ("lang_pred", "lang_score", "lang_rejected")
@@ -52,7 +53,10 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, texts: int = TEXTS,
         return {}
     usable = rows.where(F.octet_length("text") <= size).where(F.col("text").rlike(r"\p{L}")).withColumn("key", F.xxhash64("text"))
     drawn = usable.select("lang", "key").distinct().withColumn("draw", F.pmod("key", F.lit(1 << 30)))
-    drawn = drawn.withColumn("k", F.expr("row_number() OVER (PARTITION BY lang ORDER BY draw, key)")).where(F.col("k") <= texts)
+    # first within slices of the hashes: no task takes the draws of all partitions for a language
+    drawn = drawn.withColumn("slice", F.pmod(F.shiftright("key", 40), F.lit(SLICES)))
+    for group in ("lang, slice", "lang"):
+        drawn = drawn.withColumn("k", F.expr(f"row_number() OVER (PARTITION BY {group} ORDER BY draw, key)")).where(F.col("k") <= texts)
     taken = F.broadcast(drawn.select("lang", "key", "k"))  # bounded by languages x texts
     first = usable.join(taken, ["lang", "key"]).select("lang", "k", "text").distinct()
     held: dict[str, list[bytes]] = {lang: [] for lang in counts}
