@@ -15,7 +15,7 @@ from titleloom.llm.contamination import drop_leaked
 from titleloom.llm.languages import keep_identified
 from titleloom.llm.lines import drop_repeated_runs
 from titleloom.llm.packing import pack
-from titleloom.llm.shingles import drop_similar
+from titleloom.llm.prefixes import drop_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its five-word shingles."""
+    """One document of each group that shares 0.8 or more of its five-word shingles, with no link missed.
+
+    SimHash fingerprints near each other by anchors give candidates, with MinHash bands
+    and prefixes beside them; each is checked on its whole sets.
+    """
     return drop_similar(docs)
 
 

@@ -3,11 +3,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.conftest import ODD
 from tests.llm.test_copies import jaccard_groups
-from titleloom.llm import prefixes
+from titleloom.llm import prefixes, simhash
 from titleloom.llm.simhash import components
 
 
@@ -78,3 +80,39 @@ def test_exact_groups_of_odd_and_empty_tables(odd, empty):
     # groups: rows without a word (1, 2, 3, null), copies (7, 7, 10), and six of one row
     assert kept.columns == odd.columns and kept.count() == 8
     assert prefixes.similar(empty).collect() == []
+
+
+def hidden_pairs():
+    """A family whose members are mostly under the bound, with close pairs hidden in it."""
+    draw = random.Random(8)
+    base, texts = [f"w{draw.randrange(9000)}" for _ in range(150)], []
+    for _ in range(250):
+        own = list(base)
+        for at in draw.sample(range(150), 6):
+            own[at] = f"x{draw.randrange(9000)}"
+        texts.append(" ".join(own))
+        if draw.random() < 0.3:
+            own[draw.randrange(150)] = "y"
+            texts.append(" ".join(own))
+    draw.shuffle(texts)
+    return texts
+
+
+def test_stage_goes_through_anchors_and_misses_no_link(spark, monkeypatch):
+    texts, compared = hidden_pairs(), []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda classes, *rest: compared.append(classes.count()) or links(classes, *rest))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, texts), None).collect()}
+    assert kept == set(jaccard_groups(texts))
+    assert compared == [len({simhash.fingerprint(t, 5) for t in texts})]
+
+
+def test_any_order_of_shingles_finds_every_link():
+    draw = np.random.default_rng(3)
+    for _ in range(300):
+        every = np.unique(draw.integers(0, 1 << 62, 60).astype(np.uint64))
+        a, b = (np.sort(draw.choice(every, draw.integers(1, len(every)), replace=False)) for _ in range(2))
+        b = np.unique(np.concatenate([a[: int(len(a) * 0.9)], b[:2]]))
+        common = draw.choice(every, 20, replace=False)
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(prefixes.lead_of(a, common, 0.8), prefixes.lead_of(b, common, 0.8)))

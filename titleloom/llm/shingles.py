@@ -18,6 +18,9 @@ A text is checked against a bounded number of others however large its buckets a
 so a link between two texts that met the same leaders in vain can be missed where
 no chain of other links joins them. Measured recall is in the README.
 
+`anchored` gives the candidates of SimHash and anchor covering, at the same width: texts
+of one fingerprint and those that its forest links. `links` checks them like the others.
+
 Words are those of SimHash: lower case, white space between them. Texts of fewer
 words are one shingle; those without a word are equal to each other.
 
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from titleloom.llm import simhash
 from titleloom.llm.common import batch, pieces_of, stored
 from titleloom.llm.lines import text_key
 from titleloom.llm.simhash import components, keep_first, shingle_hashes
@@ -77,14 +81,31 @@ def _mapped(rows: DataFrame, fields: list[T.StructField], of) -> DataFrame:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, text_key, n (shingles) and bands of each row."""
+    """doc_id, text_key, n (shingles), bands and print (SimHash, a signed long) of each row."""
 
     def of(text):
-        found = shingle_set(text, width)
-        return len(found), bands(found)
+        every = shingle_hashes(text, width)
+        found = np.unique(every)
+        return len(found), bands(found), int(np.uint64(simhash.majority(every)).astype(np.int64))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return _mapped(rows, [T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))], of)
+    made = [T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("print", T.LongType())]
+    return _mapped(rows, made, of)
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """One row per text of the rows of `sketched`."""
+    return rows.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("n", "bands", "print")])
+
+
+def anchored(classes: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b): each text with the first one of its fingerprint, and the first ones of fingerprints that anchors link."""
+    first = stored(classes.groupBy("print").agg(F.min(F.struct("text_key", "n")).alias("least")), "prints")
+    same = classes.join(first, "print").select(F.col("least").alias("x"), F.struct("text_key", "n").alias("y"))
+    ends = lambda c: first.select(F.col("print").alias(c), F.col("least").alias("xy"[c == "b"]))
+    near = simhash.links(first.select("print")).join(ends("a"), "a").join(ends("b"), "b").select("x", "y")
+    pairs = same.unionAll(near).where((F.col("x.text_key") != F.col("y.text_key")) & _near(F.col("x.n"), F.col("y.n"), similarity))
+    return pairs.select(F.least("x.text_key", "y.text_key").alias("a"), F.greatest("x.text_key", "y.text_key").alias("b")).distinct()
 
 
 def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -131,18 +152,27 @@ def stars(crowd: DataFrame, similarity: float, leaders: int) -> DataFrame:
     return rows.select(F.least("text_key", "head").alias("a"), F.greatest("text_key", "head").alias("b")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) between text keys that connect each group of similar texts."""
+def sets_for(docs: DataFrame, members: DataFrame, text_col: str, width: int) -> DataFrame:
+    """text_key and held (its distinct shingles) of the texts in members."""
+    texts = docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    held = T.StructField("held", T.ArrayType(T.LongType()))
+    sets = _mapped(texts.join(members, "text_key", "left_semi"), [held], lambda t: (shingle_set(t, width).view(np.int64),))
+    return sets.groupBy("text_key").agg(F.first("held").alias("held"))
+
+
+def links(docs: DataFrame, classes: DataFrame, text_col: str, width: int, similarity: float, more: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between text keys that connect each group of similar texts; pairs in `more` are checked first, with those of the buckets."""
     placed = classes.select("text_key", "n", F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("key").agg(F.min(F.struct("text_key", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(shared.select("key", "least"), "buckets")
     crowd = stored(placed.join(shared, "key"), "crowd")
-    texts = docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    members = stored(crowd.select("text_key").distinct(), "members")
-    sets = _mapped(texts.join(members, "text_key", "left_semi"), [T.StructField("held", T.ArrayType(T.LongType()))], lambda t: (shingle_set(t, width).view(np.int64),))
-    sets = stored(sets.groupBy("text_key").agg(F.first("held").alias("held")), "sets")
+    members = crowd.select("text_key")
+    if more is not None:
+        members = members.unionAll(more.select("a")).unionAll(more.select("b"))
+    sets = stored(sets_for(docs, stored(members.distinct(), "members"), text_col, width), "sets")
     first = crowd.where((F.col("text_key") != F.col("least.text_key")) & _near("n", F.col("least.n"), similarity))
-    first = first.select(F.col("least.text_key").alias("a"), F.col("text_key").alias("b")).distinct()
+    first = first.select(F.col("least.text_key").alias("a"), F.col("text_key").alias("b"))
+    first = (first if more is None else first.unionAll(more)).distinct()
     found = stored(checked(stored(first, "pairs"), sets, similarity), "links")
     crowd = crowd.select("key", "band", F.lit(0).alias("step"), "text_key", "n")
     for depth in range(1, DEPTH + 1):
@@ -159,7 +189,7 @@ def links(docs: DataFrame, classes: DataFrame, text_col: str, width: int, simila
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, component (its smallest text key) of each document."""
     rows = stored(sketched(docs, id_col, text_col, width), "sketches")
-    classes = stored(rows.groupBy("text_key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = stored(classes_of(rows), "classes")
     roots = components(links(docs, classes, text_col, width, similarity)).withColumnRenamed("node", "text_key")
     return rows.select("doc_id", "text_key").join(roots, "text_key", "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("component"))
 
