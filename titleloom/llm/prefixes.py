@@ -73,12 +73,17 @@ def lead_of(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
     return found[np.lexsort((found, place))[:length]]
 
 
-def exploded(leads: DataFrame) -> DataFrame:
-    return leads.select("text_key", "n", F.posexplode("lead").alias("place", "token"))
+def exploded(leads: DataFrame, *keep: str) -> DataFrame:
+    return leads.select("text_key", "n", *keep, F.posexplode("lead").alias("place", "token"))
 
 
 def leading(sets: DataFrame, similarity: float) -> DataFrame:
     """text_key, n, place, token: the first shingles of each set of n, of which any two similar sets share one."""
+    return exploded(leads_in(sets, similarity))
+
+
+def leads_in(sets: DataFrame, similarity: float) -> DataFrame:
+    """text_key, n and lead (its first shingles) of each set."""
     common = common_shingles(sets)
     rows = sets.select("text_key", "held")
     schema = T.StructType([rows.schema["text_key"], N, LEAD])
@@ -89,11 +94,11 @@ def leading(sets: DataFrame, similarity: float) -> DataFrame:
             held = [np.sort(np.array(h.as_py(), np.int64).view(np.uint64)) for h in b.column(1)]
             yield batch(arrow, [b.column(0), [len(h) for h in held], [lead_of(h, common, similarity).view(np.int64) for h in held]])
 
-    return exploded(rows.mapInArrow(per_partition, schema))
+    return rows.mapInArrow(per_partition, schema)
 
 
 def leads_of(docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """`leading` of each distinct text, from the texts; their sets are not kept."""
+    """`leads_in` of each distinct text, from the texts; their sets are not kept."""
     texts = docs.select(text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     drawn = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0)
     common = common_shingles(sets_of(drawn, "text", width))
@@ -102,14 +107,14 @@ def leads_of(docs: DataFrame, text_col: str, width: int, similarity: float) -> D
         found = shingles.shingle_set(text, width)
         return len(found), lead_of(found, common, similarity).view(np.int64)
 
-    rows = shingles._mapped(texts, [N, LEAD], of).groupBy("text_key").agg(F.first("n").alias("n"), F.first("lead").alias("lead"))
-    return exploded(rows)
+    return shingles._mapped(texts, [N, LEAD], of).groupBy("text_key").agg(F.first("n").alias("n"), F.first("lead").alias("lead"))
 
 
 def candidates(leads: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of texts of different groups that share a leading shingle and can be similar."""
     roots = stored(components(found), "roots")
-    rows = leads.join(roots, F.col("text_key") == F.col("node"), "left").select("token", "text_key", "n", "place", F.coalesce("root", "text_key").alias("group"))
+    rows = leads.join(roots, F.col("text_key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "text_key"))
+    rows = exploded(rows, "group")  # after the join, which moves a row per text
     span = "OVER (PARTITION BY token)"
     rows = rows.withColumns({"low": F.expr(f"min(group) {span}"), "high": F.expr(f"max(group) {span}")}).where("low <> high")
     rows = stored(rows.drop("low", "high"), "leading")
@@ -124,7 +129,7 @@ def candidates(leads: DataFrame, found: DataFrame, similarity: float) -> DataFra
 
 def missed(sets: DataFrame, found: DataFrame, similarity: float = shingles.SIMILARITY) -> DataFrame:
     """The links (a, b) between texts that the links found do not connect."""
-    return shingles.checked(candidates(leading(sets, similarity), found, similarity), sets, similarity)
+    return shingles.checked(candidates(leads_in(sets, similarity), found, similarity), sets, similarity)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
