@@ -118,3 +118,21 @@ def test_inserts_by_key_equal_the_join(spark):
     want = old.unionAll(lookup.insert_if_absent(old, batch.where("key IS NOT NULL"), "key", ["at"]))
     assert sorted(map(str, spark.table(table).collect())) == sorted(map(str, want.collect()))
     assert len(spark.table(table).where("key = 'k55'").collect()) == 1
+
+
+def test_listings_are_cut_by_title_over_all_batches_of_a_task(spark, monkeypatch):
+    """Nulls, ties and big numbers; a task that holds little passes on more, never less."""
+    rng = random.Random(4)
+    schema = "row_key STRING, title STRING, tier STRING, seeders BIGINT, size_bytes BIGINT"
+    rows = [
+        (rng.choice([None, f"r{i:05d}"]), rng.choice(["a", "b", "c", None]), rng.choice(["HD", "720p"]), rng.choice([0, 3, None, 2**60, 2**60 + 1]), rng.choice([None, 1, 2**60 + 3]))
+        for i in range(30_000)
+    ]
+    listings = spark.createDataFrame(rows, schema).coalesce(1)
+    order = [F.col("seeders").desc(), F.col("size_bytes").desc(), F.col("row_key").asc()]
+    want = sorted(map(str, rank.top_k(listings, ["title", "tier"], order, 3).drop("rank").collect()))
+    assert sorted(map(str, leaders.best_of_titles(listings).collect())) == want  # the task has several batches
+    monkeypatch.setattr(leaders, "HELD_ROWS", 20)
+    more = leaders.best_of_titles(listings)
+    assert sorted(map(str, rank.top_k(more, ["title", "tier"], order, 3).drop("rank").collect())) == want
+    assert leaders.best_of_titles(listings.limit(0)).collect() == []

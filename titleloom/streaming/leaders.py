@@ -37,6 +37,63 @@ def best_changes(scored: DataFrame, values: Sequence[str] = (), k: int = rules.T
     return found.select(*GROUP, "row_key", *back, *values, "change")
 
 
+HELD_ROWS = 1 << 17
+
+
+def best_of_titles(listings: DataFrame, k: int = rules.TOP_PER_TIER) -> DataFrame:
+    """The listings without those that no query can have among its best k, cut inside each task (stream or batch).
+
+    listings: title, tier, row_key, seeders, size_bytes and other columns. For one
+    query, listings with the same title and tier share confidence, and their score
+    only grows with seeders; so those behind the k best of a (title, tier)
+    that arrived with them are never among its best. A task cuts what it holds whenever
+    that reaches HELD_ROWS, over all its batches, and passes on what it can't cut, so its
+    memory is bounded whatever the titles. Nothing moves, and there is no state.
+    """
+
+    def cut(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def code(c):
+            found = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+            return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(found.dictionary)
+
+        (title, _), (tier, n) = code("title"), code("tier")
+        group = title * max(n, 1) + tier
+        rows = pa.table({
+            "group": group, "seeders": table.column("seeders"), "size_bytes": table.column("size_bytes"),
+            "known": table.column("row_key").is_valid(), "row_key": table.column("row_key"),
+        })
+        by = [("group", "ascending"), ("seeders", "descending"), ("size_bytes", "descending"), ("known", "ascending"), ("row_key", "ascending")]
+        order = pc.sort_indices(rows, sort_keys=by, null_placement="at_end").to_numpy()
+        sorted_ = group[order]
+        place, starts = np.arange(len(order)), np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+        first = np.repeat(starts, np.diff(np.append(starts, len(order))))
+        return table.take(order[place - first < k])
+
+    def per_task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, n = [], 0
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            n += b.num_rows
+            if n < HELD_ROWS:
+                continue
+            left = cut(pa.concat_tables(held))
+            if left.num_rows > HELD_ROWS // 2:  # hardly a title comes again
+                yield from left.to_batches(max_chunksize=10_000)
+                held, n = [], 0
+            else:
+                held, n = [left], left.num_rows
+        if n:
+            yield from cut(pa.concat_tables(held)).to_batches(max_chunksize=10_000)
+
+    return listings.mapInArrow(per_task, listings.schema)
+
+
 def _least(type_: str) -> Column:
     """Stands for null in state; ranks last."""
     return F.lit(float("-inf")) if type_ == "DOUBLE" else F.lit(-(1 << 63))
