@@ -136,7 +136,8 @@ UNION ALL SELECT item_key, 'kept' AS outcome, content_hash FROM v_item WHERE con
 UNION ALL SELECT item_key, 'nulled' AS outcome, CASE WHEN content_hash NOT IN (SELECT lower(content_hash) FROM v_status WHERE status='error') THEN content_hash END FROM v_item""",
 )
 def j9(spark, sf):
-    items = table(spark, sf, "v_item").select("item_key", "content_hash")
+    # key first, as the anti-joins put it: the items are then dealt by key once for all three checks
+    items = table(spark, sf, "v_item").select("content_hash", "item_key")
     parents = table(spark, sf, "v_status").withColumn("content_hash", F.lower("content_hash"))
     deleted = parents.where(F.col("status") == "error")
 
