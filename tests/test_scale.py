@@ -5,6 +5,7 @@ import io
 import re
 
 
+from titleloom.operators import lookup
 
 
 def plan_of(df):
@@ -36,3 +37,16 @@ def test_integrity_checks_deal_the_items_once(spark):
     final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     dealt = [x for x in final.splitlines() if re.search(r" Exchange hashpartitioning\(content_hash", x)]
     assert len(dealt) + len(re.findall("ReusedExchange", final)) >= 5 and final.count("ReusedExchange") >= 2
+
+
+def test_wanted_last_finds_the_same_items_and_moves_them_once_less(spark):
+    items = spark.createDataFrame([(k, e, f"i{n}", f"h{n % 7}") for n, (k, e) in enumerate([("a", 1), ("a", 1), ("b", 2), (None, 1), ("c", None)] * 4)],
+                                  "work STRING, episode INT, item_key STRING, content_hash STRING")
+    listings = spark.createDataFrame([(f"h{n}", n if n % 3 else None, f"r{n}") for n in range(6)], "content_hash STRING, seeders INT, row_key STRING")
+    wanted = items.where("work <> 'b' OR work IS NULL")
+    with no_broadcast(spark):
+        first, last = (lookup.items_of_work(wanted, items, listings, ["work", "episode"], limit=3, tie=["item_key"], wanted_last=w) for w in (False, True))
+        cols = sorted(first.columns)
+        assert sorted(map(str, last.select(cols).collect())) == sorted(map(str, first.select(cols).collect())) != []
+        moves = [len(re.findall(r"Exchange hashpartitioning", plan_of(d))) for d in (first, last)]
+    assert moves == [5, 4]

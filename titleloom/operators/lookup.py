@@ -14,7 +14,7 @@ from titleloom.operators.rank import top_k
 
 def items_of_work(
     wanted: DataFrame, items: DataFrame, listings: DataFrame, keys: Sequence[str],
-    listing_key: str = "content_hash", limit: int | None = None, tie: Sequence[str] = (),
+    listing_key: str = "content_hash", limit: int | None = None, tie: Sequence[str] = (), wanted_last: bool = False,
 ) -> DataFrame:
     """Items that match wanted on keys, with their listing.
 
@@ -22,13 +22,18 @@ def items_of_work(
     Rows without a listing are dropped. With a limit only the first rows per
     wanted key stay, best seeders first (null in front), with their rank;
     without one all rows come, in no order.
+
+    Items meet the wanted keys first, so that few are joined where few are wanted.
+    Where most are, wanted_last saves moving them by key before the join: they are
+    ranked per key, and the keys that lie dealt by then meet the wanted ones.
     """
-    found = items.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    asked = wanted.select(*keys).distinct()
+    found = items if wanted_last else items.join(asked, list(keys), "left_semi")
     joined = found.join(listings, listing_key)
-    if limit is None:
-        return joined
-    order = [F.col("seeders").desc_nulls_first(), *[F.col(c).asc() for c in tie]]
-    return top_k(joined, keys, order, limit)
+    if limit is not None:
+        order = [F.col("seeders").desc_nulls_first(), *[F.col(c).asc() for c in tie]]
+        joined = top_k(joined, keys, order, limit)
+    return joined.join(asked, list(keys), "left_semi") if wanted_last else joined
 
 
 def fetch(listings: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -69,9 +69,9 @@ def _lookup_sql(keys: str, source: str = "v_item", where: str = "") -> str:
  FROM (SELECT DISTINCT {keys} FROM {source}{where}) w JOIN v_item USING ({keys}) JOIN v_store USING (content_hash)) x WHERE rank<=500"""
 
 
-def _lookup(spark, sf, wanted, keys):
+def _lookup(spark, sf, wanted, keys, wanted_last=False):
     found = lookup.items_of_work(
-        wanted, table(spark, sf, "v_item"), table(spark, sf, "v_store"), keys, limit=rules.LOOKUP_LIMIT, tie=["item_key"]
+        wanted, table(spark, sf, "v_item"), table(spark, sf, "v_store"), keys, limit=rules.LOOKUP_LIMIT, tie=["item_key"], wanted_last=wanted_last
     )
     return found.select(*keys, "item_key", "row_key", "seeders", "rank")
 
@@ -93,12 +93,12 @@ def j4_all(spark, sf):
 
 @query("j5_items_of_episode", _lookup_sql("work_id, season, episode"))
 def j5(spark, sf):
-    return _lookup(spark, sf, table(spark, sf, "v_item"), ["work_id", "season", "episode"])
+    return _lookup(spark, sf, table(spark, sf, "v_item"), ["work_id", "season", "episode"], wanted_last=True)
 
 
 @query("j6_items_of_alternate_id", _lookup_sql("group_id, episode"))
 def j6(spark, sf):
-    return _lookup(spark, sf, table(spark, sf, "v_item"), ["group_id", "episode"])
+    return _lookup(spark, sf, table(spark, sf, "v_item"), ["group_id", "episode"], wanted_last=True)
 
 
 @query("j7_fetch_by_key", "SELECT row_key, content_hash FROM v_listing WHERE content_hash IN (SELECT lower(content_hash) FROM v_status WHERE status='downloaded')")
