@@ -4,8 +4,11 @@ import contextlib
 import io
 import re
 
+from pyspark.sql import functions as F
 
-from titleloom.operators import lookup
+from titleloom.functions import attributes as A
+from titleloom.operators import lookup, quality
+from titleloom.plans import curated
 
 
 def plan_of(df):
@@ -50,3 +53,17 @@ def test_wanted_last_finds_the_same_items_and_moves_them_once_less(spark):
         assert sorted(map(str, last.select(cols).collect())) == sorted(map(str, first.select(cols).collect())) != []
         moves = [len(re.findall(r"Exchange hashpartitioning", plan_of(d))) for d in (first, last)]
     assert moves == [5, 4]
+
+
+def test_good_rows_compute_their_columns_once(spark):
+    columns = ["composite_id", "raw_title", "link", "seeders", "row_key"]
+    rows = spark.createDataFrame(
+        [("tt1:2:3", "A 1080p", "cat:?a", 3, "r1"), ("tt2", "B 480p", "cat:?b", 3, "r2"), ("tt3", None, "cat:?c", 3, "r3"),
+         (None, "D 4k", "cat:?d", 3, "r4"), ("tt5", "E 4k", "cat:?e", None, "r5"), ("tt6", "F 2160P", "cat:?f", 1, "r6")],
+        "composite_id STRING, raw_title STRING, link STRING, seeders INT, row_key STRING",
+    )
+    kept = curated.curate(rows.select(*columns), "cat:?", ["row_key"])
+    assert plan_of(kept).count("4K|2160p") == 1
+    assert sorted((r.work_id, r.tier, r.row_key) for r in kept.collect()) == [("tt1", "1080p", "r1"), ("tt6", "4K", "r6")]
+    odd = rows.withColumn("a.b", F.lit(1)).withColumn("failures", F.array().cast("array<string>")).withColumn("first_failure", F.lit(None))
+    assert quality.good(odd).columns == [*rows.columns, "a.b"] and quality.good(odd).count() == 6

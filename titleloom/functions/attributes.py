@@ -44,7 +44,10 @@ def tier(title: Column) -> Column:
     Explicit resolutions come first, then dotted source tags, then words. The
     bare word "hd" is tested before "full hd" and "ultra hd", so those are HD.
     """
-    t = F.lower(title)
+    return once(F.lower(title), _tier)
+
+
+def _tier(t: Column) -> Column:
     return (
         F.when(_has_any(t, "2160p", "4k"), "2160p")
         .when(_has(t, "1080p"), "1080p")
@@ -79,7 +82,7 @@ def simple_tier(title: Column) -> Column:
 def curated_tier(title: Column) -> Column:
     """Leftmost tier token lower-cased, 2160p as 4K, 1080p when there is none."""
     found = F.lower(F.regexp_extract(title, "(?i)(4K|2160p|1080p|720p|480p|SD)", 1))
-    return F.when(found == "", "1080p").when(found == "2160p", "4K").otherwise(found)
+    return once(found, lambda x: F.when(x == "", "1080p").when(x == "2160p", "4K").otherwise(x))
 
 
 def tier_score(title: Column) -> Column:
@@ -191,12 +194,14 @@ def ordinal(path: Column, fix_season_episode: bool = False) -> Column:
 def size_bytes(text: Column) -> Column:
     """Bytes of the first "number unit" as a double; 1.5 GiB when there is none."""
     pattern = r"(?i)(\d+\.?\d*)\s*(GB|MB|G|M)"
-    value = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
-    unit = F.upper(F.substring(F.regexp_extract(text, pattern, 2), 1, 1))
-    return F.coalesce(
-        F.when(unit == "G", value * F.lit(1024.0 ** 3)).when(unit == "M", value * F.lit(1024.0 ** 2)),
-        F.lit(float(rules.DEFAULT_SIZE_BYTES)),
-    )
+
+    def read(found: Column) -> Column:
+        value = F.nullif(F.regexp_extract(found, pattern, 1), F.lit("")).try_cast("double")
+        unit = F.upper(F.substring(F.regexp_extract(found, pattern, 2), 1, 1))
+        return F.when(unit == "G", value * F.lit(1024.0 ** 3)).when(unit == "M", value * F.lit(1024.0 ** 2))
+
+    # the whole match alone is read further: the text, which may be made by patterns itself, is gone through once
+    return F.coalesce(once(F.regexp_extract(text, pattern, 0), read), F.lit(float(rules.DEFAULT_SIZE_BYTES)))
 
 
 def _size_text(text: Column, units: str) -> Column:
