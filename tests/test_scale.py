@@ -7,8 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from titleloom.functions import attributes as A
+from titleloom.functions import text as X
 from titleloom.operators import lookup, quality
 from titleloom.plans import curated
+from titleloom.sources import payloads
 
 
 def plan_of(df):
@@ -67,3 +69,23 @@ def test_good_rows_compute_their_columns_once(spark):
     assert sorted((r.work_id, r.tier, r.row_key) for r in kept.collect()) == [("tt1", "1080p", "r1"), ("tt6", "4K", "r6")]
     odd = rows.withColumn("a.b", F.lit(1)).withColumn("failures", F.array().cast("array<string>")).withColumn("first_failure", F.lit(None))
     assert quality.good(odd).columns == [*rows.columns, "a.b"] and quality.good(odd).count() == 6
+
+
+def test_tiers_of_gathered_listings_are_computed_once(spark):
+    payload = '{"results":[{"title":"X Full HD","magnet_link":"m"},{"title":"Y 4K","magnet_link":"n","seed_count":7}],"count":2}'
+    rows = spark.createDataFrame([(payload, "p", 40), ("broken", "q", None)], "payload STRING, provider STRING, base INT")
+    found = payloads.from_search_payload(rows, "payload", F.lit("2002-01-01"))
+    assert plan_of(found).count("hd.rip") == 1
+    assert sorted((r.title, r.tier, r.seeders) for r in found.collect()) == [("X Full HD", "HD", 44), ("Y 4K", "2160p", 7)]
+
+
+def test_shortcuts_of_title_columns_change_no_value(values):
+    titles = ["a b", "a  b", " a", "a\tb", "a b", "a  b", "é  x", "a\rb", "a\x0bb", "", None, "a\u0085b"]
+    plain = F.regexp_replace(X.narrow_space(F.col("x")), r"\s{2,}|[\t\n\x0B\f\r]", " ")
+    assert values(X.single_space(F.col("x")), titles) == values(plain, titles)
+    sizes = ["12.5 GB", "5gb and 3 MB", "7 KB", "1.2.3 M", "9 x 4 mib", "", None, "3.g"]
+    pattern = r"(?i)(\d+\.?\d*)\s*(GB|MB|G|M)"
+    number = F.nullif(F.regexp_extract("x", pattern, 1), F.lit("")).try_cast("double")
+    unit = F.upper(F.substring(F.regexp_extract("x", pattern, 2), 1, 1))
+    whole = F.coalesce(F.when(unit == "G", number * 1024.0**3).when(unit == "M", number * 1024.0**2), F.lit(1.5 * 1024**3))
+    assert values(A.size_bytes(F.col("x")), sizes) == values(whole, sizes)

@@ -75,8 +75,15 @@ def narrow_space(c: Column) -> Column:
 
 
 def single_space(c: Column) -> Column:
-    """Runs of white space as one space. Lone plain spaces do not match, so most rows stay as they are."""
-    return F.regexp_replace(narrow_space(c), r"\s{2,}|[\t\n\x0B\f\r]", " ")
+    """Runs of white space as one space. Lone plain spaces do not match, so most rows stay as they are, without the regex."""
+
+    def squeeze(x: Column) -> Column:
+        plain = ~F.contains(x, F.lit("  "))
+        for space in "\t\n\x0b\f\r":
+            plain = plain & ~F.contains(x, F.lit(space))
+        return F.when(plain, x).otherwise(F.regexp_replace(x, r"\s{2,}|[\t\n\x0B\f\r]", " "))
+
+    return once(narrow_space(c), squeeze)
 
 
 def collapse_space(c: Column) -> Column:

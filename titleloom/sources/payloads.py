@@ -19,16 +19,16 @@ def _listing(
     source_row: Column, title: Column, link: Column, seeders: Column, leechers: Column, size_text: Column,
     provider: Column, kind: Column, updated_at: Column,
 ) -> list[Column]:
-    """Columns of schemas.SCORED_LISTING for a raw title."""
+    """Columns of schemas.SCORED_LISTING for a raw title, whose tier is the column _tier."""
     return [
         source_row.alias("source_row"),
         X.clean_listing_title(title).alias("title"),
         link.alias("link"),
-        F.coalesce(F.nullif(seeders, F.lit(0)), estimated_seeders(F.col("base"), A.tier(title))).cast("bigint").alias("seeders"),
+        F.coalesce(F.nullif(seeders, F.lit(0)), estimated_seeders(F.col("base"), F.col("_tier"))).cast("bigint").alias("seeders"),
         F.coalesce(leechers, F.lit(0)).cast("bigint").alias("leechers"),
         size_text.alias("size_text"),
         A.size_bytes(size_text).alias("size_bytes"),
-        A.tier(title).alias("tier"),
+        F.col("_tier").alias("tier"),
         provider.alias("provider"),
         A.language_tag(title).alias("language"),
         kind.alias("type"),
@@ -59,7 +59,7 @@ def from_search_payload(
     # outer: inline would infer a filter that parses the payload a second time;
     # the empty rows fall to the next filter
     rows = df.select(F.col(provider).alias("provider"), F.col(base).alias("base"), F.inline_outer(results))
-    usable = rows.where(_filled(F.col("title")) & _filled(F.col("magnet_link")))
+    usable = rows.where(_filled(F.col("title")) & _filled(F.col("magnet_link"))).withColumn("_tier", A.tier(F.col("title")))
     return usable.select(
         *_listing(
             F.col("info_hash"), F.col("title"), F.col("magnet_link"), F.col("seed_count"), F.col("leech_count"),
@@ -88,7 +88,7 @@ def from_post_payload(
     posts = F.inline_outer(F.from_json(F.col(payload), schemas.POST_PAYLOAD))  # outer: as above
     rows = df.select(F.col(provider).alias("provider"), F.col(base).alias("base"), posts)
     title, content = F.col("title.rendered"), F.col("content.rendered")
-    usable = rows.where(F.length(title) >= rules.MIN_TITLE_LENGTH)
+    usable = rows.where(F.length(title) >= rules.MIN_TITLE_LENGTH).withColumn("_tier", A.tier(title))
     return usable.select(
         *_listing(
             F.lit(None).cast("string"), title,
@@ -108,7 +108,7 @@ def from_items(
     A page tells no seeders: they are estimated; the size is looked for in the title.
     """
     title = F.col("title")
-    return df.select(
+    return df.withColumn("_tier", A.tier(title)).select(
         *_listing(
             F.concat_ws("-", "page_id", "position"), title, F.col("link"), F.lit(None).cast("bigint"), F.lit(0),
             A.size_text_in_content(title), F.col(provider), F.lit("movie") if kind is None else kind, as_of.cast("timestamp"),
