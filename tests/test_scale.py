@@ -10,7 +10,8 @@ from titleloom.functions import attributes as A
 from titleloom.functions import text as X
 from titleloom.operators import lookup, quality
 from titleloom.plans import curated
-from titleloom.sources import payloads
+from titleloom.sources import catalogue, payloads
+from titleloom.workspace import WRITERS, open_writers
 
 
 def plan_of(df):
@@ -89,3 +90,25 @@ def test_shortcuts_of_title_columns_change_no_value(values):
     unit = F.upper(F.substring(F.regexp_extract("x", pattern, 2), 1, 1))
     whole = F.coalesce(F.when(unit == "G", number * 1024.0**3).when(unit == "M", number * 1024.0**2), F.lit(1.5 * 1024**3))
     assert values(A.size_bytes(F.col("x")), sizes) == values(whole, sizes)
+
+
+def test_partitioned_writes_keep_files_open_instead_of_sorting(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "movie", 1), ("y", "series", 2), ("z", None, 3)], "title STRING, type STRING, n INT")
+    before = spark.conf.get(WRITERS, None)
+    with open_writers(spark, 2):
+        assert spark.conf.get(WRITERS) == "2"
+    assert spark.conf.get(WRITERS, None) == before
+    seen = []
+    conf = type(spark.conf)
+    put = conf.set
+    conf.set = lambda self, key, value: (seen.append(key), put(self, key, value))[1]
+    try:
+        catalogue.append_catalogue(rows, str(tmp_path / "appended"))
+        catalogue.write_table(rows, str(tmp_path / "table"), rows.schema, ["type"])
+    finally:
+        conf.set = put
+    assert seen.count(WRITERS) >= 2 and spark.conf.get(WRITERS, None) == before
+    for name in ("appended", "table"):
+        assert sorted(r.n for r in spark.read.parquet(str(tmp_path / name)).collect()) == [1, 2, 3]
+        files = list((tmp_path / name).rglob("*.parquet"))
+        assert files and all(f.name.endswith(".zstd.parquet") for f in files)

@@ -12,6 +12,7 @@ from titleloom import schemas
 from titleloom.functions import attributes as A
 from titleloom.operators import quality
 from titleloom.operators.rank import keyed_upsert
+from titleloom.workspace import open_writers
 
 
 def entries_of(documents: DataFrame, array: str, as_of: Column) -> DataFrame:
@@ -51,10 +52,11 @@ def read_catalogue(
 
 def append_catalogue(df: DataFrame, path: str, partition_by: str | None = "type") -> None:
     """Append listings to the catalogue table (runs the write)."""
-    writer = df.write.mode("append")
+    writer = df.write.mode("append").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with open_writers(df.sparkSession):
+        writer.parquet(path)
 
 
 def load_catalogue(df: DataFrame, work_id: str, link: str, arrival: Sequence[str]) -> DataFrame:
@@ -65,7 +67,9 @@ def load_catalogue(df: DataFrame, work_id: str, link: str, arrival: Sequence[str
 def write_table(df: DataFrame, path: str, schema, partition_by: Sequence[str] = ()) -> None:
     """Write a keyed table with exactly the given schema (runs the write)."""
     shaped = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    shaped.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    writer = shaped.write.mode("errorifexists").option("compression", "zstd").partitionBy(*partition_by)
+    with open_writers(df.sparkSession):
+        writer.parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
