@@ -10,8 +10,8 @@ from titleloom.functions import attributes as A
 from titleloom.functions import text as X
 from titleloom.operators import lookup, quality
 from titleloom.plans import curated
-from titleloom.sources import catalogue, payloads
-from titleloom.workspace import WRITERS, open_writers
+from titleloom.sources import catalogue, keyed, payloads
+from titleloom.workspace import WRITERS, open_writers, stored
 
 
 def plan_of(df):
@@ -112,3 +112,11 @@ def test_partitioned_writes_keep_files_open_instead_of_sorting(spark, tmp_path):
         assert sorted(r.n for r in spark.read.parquet(str(tmp_path / name)).collect()) == [1, 2, 3]
         files = list((tmp_path / name).rglob("*.parquet"))
         assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+
+
+def test_written_tables_are_packed(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k STRING, n INT")
+    keyed.write_keyed(rows, "packed", ["k"], 2, path=str(tmp_path / "keyed"))
+    files = list((tmp_path / "keyed").rglob("*.parquet"))
+    assert files and all("zstd" in f.name for f in files)
+    assert all(".zstd." in f for f in stored(rows, "rows").inputFiles())

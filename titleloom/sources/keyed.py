@@ -24,7 +24,7 @@ def write_keyed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, pat
     full = f"{name}_{uuid.uuid4().hex}"
     dealt = df.repartition(buckets, *keys)
     writer = dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
-    writer.option("path", path or new_folder(spark, name)).saveAsTable(full)
+    writer.option("compression", "zstd").option("path", path or new_folder(spark, name)).saveAsTable(full)
     return full
 
 
