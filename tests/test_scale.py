@@ -120,3 +120,14 @@ def test_written_tables_are_packed(spark, tmp_path):
     files = list((tmp_path / "keyed").rglob("*.parquet"))
     assert files and all("zstd" in f.name for f in files)
     assert all(".zstd." in f for f in stored(rows, "rows").inputFiles())
+
+
+def test_requests_are_written_so_that_their_size_is_known(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(curated, "stored", lambda df, name: (written.append(name), stored(df, name))[1])
+    requests = spark.range(3).select(F.col("id").cast("string").alias("request_id"), F.concat(F.lit("tt"), "id").alias("work_id"), F.concat(F.lit("name "), "id").alias("wanted"))
+    listings = spark.range(20_000).select(F.concat(F.lit("tt"), F.col("id") % 50).alias("work_id"), F.concat(F.lit("Name "), F.col("id") % 10).alias("raw_title"),
+                                          F.lit("4K").alias("tier"), F.col("id").cast("int").alias("seeders"), F.col("id").cast("string").alias("row_key"))
+    kept = curated.search_places(requests, listings, collation="UTF8_BINARY")
+    assert "requests" in written
+    assert kept.count() == 3 * 400 and sorted(r.via for r in kept.select("via").distinct().collect()) == ["id"]

@@ -102,7 +102,7 @@ def positions_within(
     spark, order = df.sparkSession, [*group, *level, *tie]
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     path = new_folder(spark, "positions")
-    ranged.write.parquet(path)
+    ranged.write.option("compression", "zstd").parquet(path)
     dealt = spark.read.schema(ranged.schema).parquet(path)
     inner = Window.partitionBy("_part", *group).orderBy(*level, *tie)
     sizes = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -27,9 +27,11 @@ def search_places(requests: DataFrame, catalogue: DataFrame, key: str = "row_key
     """All hits with their place in catalogue order within the request; titles are compared in the collation (runs writes).
 
     The catalogue is written before it is searched in four ways, and the hits
-    before they are ranged, so each is computed once.
+    before they are ranged, so each is computed once. The requests are written
+    too: their size is known then, and where they are few the catalogue is not
+    moved to meet them.
     """
-    hits = stored(id_then_title(requests, stored(catalogue, "catalogue"), "work_id", "raw_title"), "hits")
+    hits = stored(id_then_title(stored(requests, "requests"), stored(catalogue, "catalogue"), "work_id", "raw_title"), "hits")
     hits = hits.withColumn("_tier", -A.table_value(F.col("tier"), rules.CURATED_TIER_SCORE, 0)).withColumn("_seeds", -F.col("seeders"))
     tie = [F.collate(F.col("raw_title"), collation), F.col(key)]
     return rank.positions_within(hits, ["request_id"], ["_tier", "_seeds"], tie, "place").drop("_tier", "_seeds")
