@@ -11,6 +11,7 @@ from titleloom.functions import text as X
 from titleloom.operators import lookup, quality
 from titleloom.plans import curated
 from titleloom.sources import catalogue, keyed, payloads
+from titleloom.streaming import upsert
 from titleloom.workspace import WRITERS, open_writers, stored
 
 
@@ -131,3 +132,28 @@ def test_requests_are_written_so_that_their_size_is_known(spark, monkeypatch):
     kept = curated.search_places(requests, listings, collation="UTF8_BINARY")
     assert "requests" in written
     assert kept.count() == 3 * 400 and sorted(r.via for r in kept.select("via").distinct().collect()) == ["id"]
+def test_bucketed_upserts_move_no_row_when_read(spark, tmp_path):
+    schema, source, table = "k STRING, at BIGINT, v STRING", str(tmp_path / "in"), str(tmp_path / "table")
+    for part in ([("a", 1, "first"), ("b", 2, None), (None, 1, "no key")], [("a", 3, "last"), (None, 0, "older")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    want = {"a": ("last", 1), "b": (None, 2), None: ("no key", 0)}
+
+    def read():
+        now = upsert.current(spark, table, ["k"], ["at"], 8)
+        assert "Exchange" not in plan_of(now)
+        return {r["k"]: (r["v"], r["first_arrival"]["at"]) for r in now.collect()}
+
+    for attempt in ("1", "2"):  # the second has lost its checkpoint and reads the same files again
+        upsert.upsert_stream(stream, table, str(tmp_path / attempt), ["k"], ["at"], 8).trigger(availableNow=True).start().awaitTermination()
+        assert read() == want
+    upsert.compact(spark, table, ["k"], ["at"], 8)
+    assert read() == want and len(list((tmp_path / "table").glob("delta=*"))) == 1
+
+
+def test_a_bucketed_delta_replaces_itself(spark, tmp_path):
+    folder = str(tmp_path / "delta=s-0")
+    for values in (["old", "gone"], ["new"]):
+        rows = spark.createDataFrame([(str(i), i, v) for i, v in enumerate(values)], "k STRING, at BIGINT, v STRING")
+        upsert._write_delta(rows.repartition(8, "k"), folder, ["k"], 8)
+    assert [r.v for r in spark.read.parquet(folder).collect()] == ["new"]

@@ -9,28 +9,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titleloom.operators.rank import keyed_upsert
+from titleloom.workspace import open_writers
 
 
-def upsert_stream(rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], arrival: Sequence[str]):
+def _write_delta(rows: DataFrame, folder: str, keys: Sequence[str], buckets: int | None) -> None:
+    writer = rows.write.mode("overwrite").option("compression", "zstd")
+    if buckets is None:
+        writer.parquet(folder)
+        return
+    # the rows come dealt by key, so a bucket is a file where there are as many shuffle partitions
+    name = f"delta_{uuid.uuid4().hex}"
+    with open_writers(rows.sparkSession, buckets):
+        writer.format("parquet").bucketBy(buckets, *keys).option("path", folder).saveAsTable(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")  # its files stay
+
+
+def upsert_stream(
+    rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], arrival: Sequence[str], buckets: int | None = None
+):
     """Writer of a stream of listings: one delta folder per stream and micro-batch.
 
     Each batch is reduced to one row per key and written under the id of its
     stream (kept in the checkpoint) and its batch id with overwrite, so a batch
     that runs again replaces itself, and a stream with a new checkpoint adds to
     the table and replaces nothing. No batch reads or rewrites the table; readers
-    resolve versions (current) and compact() folds the deltas now and then.
+    resolve versions (current) and compact() folds the deltas now and then. With
+    buckets the deltas are bucketed by key: give the same number to current and
+    compact, and reading the table moves no row.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        keyed_upsert(batch, keys, arrival).write.mode("overwrite").parquet(f"{path}/delta={stream}-{batch_id}")
+        _write_delta(keyed_upsert(batch, keys, arrival), f"{path}/delta={stream}-{batch_id}", keys, buckets)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+def current(spark: SparkSession, path: str, keys: Sequence[str], arrival: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Table state: last write wins over all deltas, first arrival kept."""
     stored = spark.read.parquet(path).drop("delta")
+    if buckets is not None:
+        name = f"upserted_{uuid.uuid4().hex}"
+        by, columns = ", ".join(f"`{k}`" for k in keys), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (recursiveFileLookup 'true') CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+        stored = spark.table(name)
     return merge(stored, keys, arrival)
 
 
@@ -47,7 +71,7 @@ def merge(stored: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> Dat
     )
 
 
-def compact(spark: SparkSession, path: str, keys: Sequence[str], arrival: Sequence[str]) -> None:
+def compact(spark: SparkSession, path: str, keys: Sequence[str], arrival: Sequence[str], buckets: int | None = None) -> None:
     """Fold the deltas of the table into one and drop them (runs the write).
 
     Merging a row twice changes nothing, so the table reads the same before,
@@ -61,6 +85,6 @@ def compact(spark: SparkSession, path: str, keys: Sequence[str], arrival: Sequen
     if not old:
         return
     stored = spark.read.option("basePath", path).parquet(*[p.toString() for p in old]).drop("delta")
-    merge(stored, keys, arrival).write.parquet(f"{path}/delta=folded-{uuid.uuid4().hex}")
+    _write_delta(merge(stored, keys, arrival), f"{path}/delta=folded-{uuid.uuid4().hex}", keys, buckets)
     for delta in old:
         files.delete(delta, True)
