@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from titleloom.functions import attributes as A
 from titleloom.functions import text as X
-from titleloom.operators import lookup, quality
+from titleloom.operators import lookup, quality, rank
 from titleloom.plans import curated
 from titleloom.sources import catalogue, keyed, payloads
 from titleloom.streaming import upsert
@@ -157,3 +157,14 @@ def test_a_bucketed_delta_replaces_itself(spark, tmp_path):
         rows = spark.createDataFrame([(str(i), i, v) for i, v in enumerate(values)], "k STRING, at BIGINT, v STRING")
         upsert._write_delta(rows.repartition(8, "k"), folder, ["k"], 8)
     assert [r.v for r in spark.read.parquet(folder).collect()] == ["new"]
+
+
+def test_the_last_row_carries_its_arrival_once(spark):
+    rows = spark.createDataFrame([("a", 1, "x", "old"), ("a", 1, "y", None), ("a", None, "z", "undated"), (None, 2, "w", "no key")], "k STRING, at INT, id STRING, v STRING")
+    now = rank.keyed_upsert(rows, ["k"], ["at", "id"])
+    assert now.columns == ["k", "at", "id", "v", "first_arrival"] and "max_by" not in plan_of(now)
+    assert sorted(map(str, ((r.k, r.at, r.id, r.v, tuple(r.first_arrival)) for r in now.collect()))) == sorted(
+        map(str, [("a", 1, "y", None, (None, "z")), (None, 2, "w", "no key", (2, "w"))])
+    )
+    maps = rows.withColumn("m", F.array(F.struct(F.create_map("id", "v").alias("m"))))  # maps have no order
+    assert sorted(r.m[0].m.popitem()[0] for r in rank.keyed_upsert(maps, ["k"], ["at", "id"]).collect()) == ["w", "y"]

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from titleloom import rules
 from titleloom.functions import attributes as A
@@ -48,16 +49,30 @@ def keyed_upsert(df: DataFrame, keys: Sequence[str], arrival: Sequence[str]) ->
     One aggregation: both extremes combine on the map side, so a key with many
     versions never gathers in one task.
     """
+    at = F.struct(*[F.col(c) for c in arrival])
     values = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(last_row(df, values, arrival).alias("last"), F.min(at).alias("first_arrival"))
+    return rows.select(*keys, *[F.col("last")[c].alias(c) for c in values], "first_arrival")
+
+
+def last_row(df: DataFrame, values: Sequence[str], arrival: Sequence[str]) -> Column:
+    """Struct of at least the values of the row that arrived last, for an aggregation.
+
+    The arrival leads the struct, so the largest struct is the last row: max_by
+    would carry the arrival a second time through the shuffle. Columns without
+    an order, as maps, need it.
+    """
     at = F.struct(*[F.col(c) for c in arrival])
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.max_by(F.struct(*[F.col(c) for c in values]), at).alias("last"),
-            F.min(at).alias("first_arrival"),
-        )
-        .select(*keys, "last.*", "first_arrival")
-    )
+    rest = [c for c in values if c not in arrival]
+    if any(_unordered(df.schema[c].dataType) for c in rest):
+        return F.max_by(F.struct(*[F.col(c) for c in values]), at)
+    return F.max(F.struct(*[F.col(c) for c in (*arrival, *rest)]))
+
+
+def _unordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind.fields)
+    return _unordered(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.MapType, T.VariantType))
 
 
 def catalogue_order(tier: Column, seeds: Column, title: Column, key: Column) -> list[Column]:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titleloom.operators.rank import keyed_upsert
+from titleloom.operators.rank import keyed_upsert, last_row
 from titleloom.workspace import open_writers
 
 
@@ -60,15 +60,8 @@ def current(spark: SparkSession, path: str, keys: Sequence[str], arrival: Sequen
 
 def merge(stored: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
     values = [c for c in stored.columns if c not in (*keys, "first_arrival")]
-    at = F.struct(*[F.col(c) for c in arrival])
-    return (
-        stored.groupBy(*keys)
-        .agg(
-            F.max_by(F.struct(*[F.col(c) for c in values]), at).alias("last"),
-            F.min("first_arrival").alias("first_arrival"),
-        )
-        .select(*keys, "last.*", "first_arrival")
-    )
+    rows = stored.groupBy(*keys).agg(last_row(stored, values, arrival).alias("last"), F.min("first_arrival").alias("first_arrival"))
+    return rows.select(*keys, *[F.col("last")[c].alias(c) for c in values], "first_arrival")
 
 
 def compact(spark: SparkSession, path: str, keys: Sequence[str], arrival: Sequence[str], buckets: int | None = None) -> None:
