@@ -1,5 +1,6 @@
 """Exact groups by shingle sets, against all pairs."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -9,8 +10,9 @@ import pytest
 import corpus_pipeline
 from tests.llm.conftest import ODD
 from tests.llm.test_copies import jaccard_groups
-from titleloom.llm import prefixes, simhash
+from titleloom.llm import prefixes, shingles, simhash
 from titleloom.llm.simhash import components
+from titleloom.workspace import CLEANUP
 
 
 def families():
@@ -116,3 +118,53 @@ def test_any_order_of_shingles_finds_every_link():
         common = draw.choice(every, 20, replace=False)
         if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
             assert len(np.intersect1d(prefixes.lead_of(a, common, 0.8), prefixes.lead_of(b, common, 0.8)))
+
+
+def drawn_sets():
+    """Sets around a base of 120: some at the bound or above it with another, most with a third of it or less in common."""
+    draw = np.random.default_rng(21)
+    base, sets = draw.integers(-(1 << 62), 1 << 62, 120), []
+    for i in range(120):
+        own = draw.choice(base, 40 if i % 4 else 118, replace=False)
+        sets.append(np.unique(np.concatenate([own, draw.integers(-(1 << 62), 1 << 62, 80 if i % 4 else draw.integers(0, 20))])))
+    return sets
+
+
+def jaccard(a, b):
+    return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+
+def test_pairs_that_share_too_little_of_their_prefixes_are_no_candidates(spark):
+    held = drawn_sets()
+    similar = {(a, b) for b in range(len(held)) for a in range(b) if jaccard(held[a], held[b]) >= 0.8}
+    sets = spark.createDataFrame([(i, h.tolist()) for i, h in enumerate(held)], "text_key LONG, held ARRAY<LONG>")
+    none = spark.createDataFrame([], "a LONG, b LONG")
+    found = {(r.a, r.b) for r in prefixes.candidates(prefixes.leads_in(sets, 0.8), none, 0.8).collect()}
+    assert similar and similar <= found
+    assert len(found) <= 2 * len(similar)
+
+
+@pytest.mark.parametrize("bound", [0.8, 0.75, 0.5])
+def test_no_similar_pair_is_held_impossible(spark, bound):
+    draw, rows = np.random.default_rng(5), []
+    for _ in range(600):
+        whole = draw.integers(0, 1 << 62, 60).astype(np.uint64)
+        n, m = (int(draw.integers(max(1, int(30 * bound)), 31)) for _ in range(2))
+        shared = int(draw.integers(0, min(n, m) + 1)) if draw.random() < 0.3 else min(n, m, math.ceil(bound / (1 + bound) * (n + m)))
+        a, b = np.sort(whole[:n]), np.sort(np.concatenate([whole[:shared], whole[30 : 30 + m - shared]]))
+        common = draw.choice(whole, 15, replace=False)
+        heads = [prefixes.lead_of(s, common, bound).tolist() for s in (a, b)]
+        met = set(heads[0]) & set(heads[1])
+        if jaccard(a, b) >= bound:
+            assert met
+            rows.append((n, m, len(met), *[max(h.index(t) for t in met) for h in heads]))
+    frame = spark.createDataFrame(rows, "n INT, m INT, met LONG, at_n INT, at_m INT")
+    assert len(rows) > 100 and frame.where(~prefixes.can_be_similar(bound)).collect() == []
+
+
+def test_steps_leave_no_shuffle_files(spark, monkeypatch):
+    texts, seen, sketched = families()[:30], [], shingles.sketched
+    before = spark.conf.get(CLEANUP)
+    monkeypatch.setattr(shingles, "sketched", lambda *args: seen.append(spark.conf.get(CLEANUP)) or sketched(*args))
+    prefixes.similar(frame(spark, texts))
+    assert seen == ["true"] and spark.conf.get(CLEANUP) == before

@@ -6,7 +6,9 @@ Both check every text against a bounded number of others. What they found is
 completed here by prefix filtering. The shingles of a set are put in one order, the same
 for all sets; sets of n shingles that share at least `similarity` with another share
 one of their first n - ceil(similarity * n) + 1 (otherwise the rest alone would have to
-hold the whole overlap). So texts meet on those shingles. Shingles that only texts
+hold the whole overlap). So texts meet on those shingles. How many of them two texts
+share bounds their overlap from above; most pairs that can't be similar are told by that,
+before a whole set is read or moved. Shingles that only texts
 of one group hold are dropped by one aggregation per shingle, before any join: a large
 group of near copies, whose texts share all their shingles, makes no pair.
 
@@ -29,7 +31,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,7 @@ from titleloom.llm import shingles
 from titleloom.llm.common import batch, stored
 from titleloom.llm.lines import text_key
 from titleloom.llm.simhash import components, keep_first
+from titleloom.workspace import shuffles_removed
 
 SAMPLED, COMMON = 16, 1 << 14
 HELD, LEAD = (T.StructField(n, T.ArrayType(T.LongType())) for n in ("held", "lead"))
@@ -120,11 +123,22 @@ def candidates(leads: DataFrame, found: DataFrame, similarity: float) -> DataFra
     rows = stored(rows.drop("low", "high"), "leading")
     a, b = rows.alias("a"), rows.alias("b")
     other = (F.col("a.text_key") < F.col("b.text_key")) & (F.col("a.group") != F.col("b.group"))
-    # at the first shared shingle of two sets the overlap is at most what is left of either
-    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    enough = left >= F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & other & enough & shingles._near(F.col("a.n"), F.col("b.n"), similarity))
-    return stored(pairs.select(F.col("a.text_key").alias("a"), F.col("b.text_key").alias("b")).distinct(), "pairs")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & other & shingles._near(F.col("a.n"), F.col("b.n"), similarity))
+    met = met.groupBy(F.col("a.text_key").alias("a"), F.col("b.text_key").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+    pairs = met.agg(F.count(F.lit(1)).alias("met"), F.max("a.place").alias("at_n"), F.max("b.place").alias("at_m"))
+    return stored(pairs.where(can_be_similar(similarity)).select("a", "b"), "pairs")
+
+
+def can_be_similar(similarity: float) -> Column:
+    """Sets of n and m shingles whose prefixes share `met`, the last of them at places at_n and at_m, may have the overlap that similar sets need.
+
+    The prefix that ends first in the order has all that it shares among `met`, so
+    the rest of the overlap comes after that prefix, and after the last shared place of the other.
+    """
+    n, m = F.col("n"), F.col("m")
+    past = lambda size: F.ceil(F.lit(similarity) * size - F.lit(1e-9)) - 1  # noqa: E731  # as in lead_of
+    rest = F.greatest(F.least(past(n), m - F.col("at_m") - 1), F.least(n - F.col("at_n") - 1, past(m)))
+    return F.col("met") + rest >= F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-9)
 
 
 def missed(sets: DataFrame, found: DataFrame, similarity: float = shingles.SIMILARITY) -> DataFrame:
@@ -134,15 +148,16 @@ def missed(sets: DataFrame, found: DataFrame, similarity: float = shingles.SIMIL
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = shingles.WIDTH, similarity: float = shingles.SIMILARITY) -> DataFrame:
     """doc_id, text_key, component (its smallest text key) of each document, by all links."""
-    rows = stored(shingles.sketched(docs, id_col, text_col, width), "sketches")
-    classes = stored(shingles.classes_of(rows), "classes")
-    near = stored(shingles.anchored(classes, similarity), "anchored")
-    found = shingles.links(docs, classes, text_col, width, similarity, near)
-    pairs = candidates(leads_of(docs, text_col, width, similarity), found, similarity)
-    members = stored(pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "text_key"), "members")
-    sets = stored(shingles.sets_for(docs, members, text_col, width), "sets")
-    found = stored(found.unionAll(shingles.checked(pairs, sets, similarity)), "links")
-    roots = components(found).withColumnRenamed("node", "text_key")
+    with shuffles_removed(docs.sparkSession):
+        rows = stored(shingles.sketched(docs, id_col, text_col, width), "sketches")
+        classes = stored(shingles.classes_of(rows), "classes")
+        near = stored(shingles.anchored(classes, similarity), "anchored")
+        found = shingles.links(docs, classes, text_col, width, similarity, near)
+        pairs = candidates(leads_of(docs, text_col, width, similarity), found, similarity)
+        members = stored(pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "text_key"), "members")
+        sets = stored(shingles.sets_for(docs, members, text_col, width), "sets")
+        found = stored(found.unionAll(shingles.checked(pairs, sets, similarity)), "links")
+        roots = components(found).withColumnRenamed("node", "text_key")
     return rows.select("doc_id", "text_key").join(roots, "text_key", "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("component"))
 
 
