@@ -1,6 +1,7 @@
 """Exact groups by shingle sets, against all pairs."""
 
 import math
+import os
 import random
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ from tests.llm.conftest import ODD
 from tests.llm.test_copies import jaccard_groups
 from titleloom.llm import prefixes, shingles, simhash
 from titleloom.llm.simhash import components
-from titleloom.workspace import CLEANUP
+from titleloom.workspace import CLEANUP, shared_root
 
 
 def families():
@@ -168,3 +169,12 @@ def test_steps_leave_no_shuffle_files(spark, monkeypatch):
     monkeypatch.setattr(shingles, "sketched", lambda *args: seen.append(spark.conf.get(CLEANUP)) or sketched(*args))
     prefixes.similar(frame(spark, texts))
     assert seen == ["true"] and spark.conf.get(CLEANUP) == before
+
+
+def test_components_keep_no_table_of_earlier_rounds(spark):
+    root = shared_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60)], "a LONG, b LONG")
+    found = {r.node: r.root for r in components(links).collect()}
+    assert found == {**dict.fromkeys(range(41), 0), 50: 50, 60: 50}
+    assert [name.split("-")[0] for name in set(os.listdir(root)) - before] == ["edges"]

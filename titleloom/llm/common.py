@@ -43,6 +43,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `stored` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pieces_of(texts: pa.Array, most: int = 4096, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Slices of a batch of texts that hold a bounded number of rows and bytes (one text at least)."""
     start = held = 0

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from titleloom.llm.common import batch, documents, pieces_of, query, stored
+from titleloom.llm.common import batch, discard, documents, pieces_of, query, stored
 from titleloom.llm.lines import row_key, text_key
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -234,8 +234,8 @@ def links(classes: DataFrame, tile: int = TILE) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node reachable over edges (a, b), for every node that has an edge.
 
-    Large-star and small-star rounds; each is written to the shared folder, and the
-    last one changes nothing. Hot nodes are aggregated map-side and split in joins.
+    Large-star and small-star rounds; each is written to the shared folder, where the one
+    before is removed, and the last one changes nothing. Hot nodes are aggregated map-side and split in joins.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
@@ -249,7 +249,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         lower = stored(lower, "lower")
         small = large.join(lower, F.col("a") == F.col("node"))
         small = small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
-        edges = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        last, edges = edges, stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        discard(last, least, large, lower)
         after = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
