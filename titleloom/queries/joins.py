@@ -39,7 +39,7 @@ def j1_pages(spark, sf):
     h1 = X.collapse_space(F.regexp_extract("html", "(?is)<h1>(.*?)</h1>", 1)).alias("title")
     headings = table(spark, sf, "pages").select(h1).distinct()
     queries = headings.withColumn("query_id", F.substring(F.md5("title"), 1, 12))
-    return link.link_titles(queries, headings).withColumn("confidence", F.round("confidence", 6))
+    return link.link_titles(queries, headings, tile=1024).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
