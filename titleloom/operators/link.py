@@ -79,10 +79,12 @@ def _offered(titles: DataFrame, title: str, keep: Sequence[str]) -> DataFrame:
     # Blocked titles lose their blocks instead of being filtered: a filter would
     # be pushed below the caller's distinct and run on every listing.
     allowed = ~blocked(F.col("rn")) & ~blocked(F.col("title"))
-    return df.select(
+    df = df.select(
         "title", "r_words", _padded(F.col("rc")).alias("r_padded"), _marks(F.col("r_words")).alias("r_marks"), *keep,
-        F.explode_outer(F.when(allowed, blocks)).alias("block"),
+        F.when(allowed, blocks).alias("r_blocks"),
     )
+    # on its own: beside the generator the other columns would be worked out for each block
+    return df.withColumn("block", F.explode_outer("r_blocks")).drop("r_blocks")
 
 
 def _verdicts() -> Column:
